@@ -4,17 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .packing import pack
 from .runtime import session_of
+from .tokens import byte_bpe_decode, byte_bpe_encode, token_counts, token_pieces
+
+SEQUENCE_TOKENS = 4096
+TOKEN_LIMIT = 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session_of(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE_TOKENS)
+    return pack(pieces.withColumnRenamed("id", "doc_id"), SEQUENCE_TOKENS)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe_encode(_table(spark, sf_dir, "documents"), path, pattern)
+    return byte_bpe_decode(encoded, path, pattern).select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -38,7 +68,12 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op2_pack": op2_pack,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op6_token_counts": op6_token_counts,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
