@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_duplicates
 from .packing import pack
 from .runtime import session_of
+from .simhash import near_duplicates
 from .tokens import byte_bpe_decode, byte_bpe_encode, token_counts, token_pieces
 
 SEQUENCE_TOKENS = 4096
@@ -45,6 +46,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, bits=4)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -72,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pack": op2_pack,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_counts": op6_token_counts,
+        "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

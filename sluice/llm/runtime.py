@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,20 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 500
 
 
+@functools.cache
+def _send_package(application: str, context) -> None:
+    """The package's modules to the executors, whatever their Python path."""
+    top = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='sluice-')}/sluice.zip"
+    with zipfile.ZipFile(path, "w") as file:
+        for module in top.rglob("*.py"):
+            file.write(module, module.relative_to(top.parent))
+    context.addPyFile(path)
+
+
 def session_of(spark: SparkSession) -> SparkSession:
-    """Set the batch size for Python stages where the session has Spark's default."""
+    """Send the package to the executors, and set the batch size for Python stages where it is Spark's default."""
+    _send_package(spark.sparkContext.applicationId, spark.sparkContext)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 import zlib
 from collections import Counter
@@ -71,6 +72,7 @@ def _ranks(path: str, pattern: str):
 
 @functools.cache
 def _library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
