@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .html_text import extract_text
 from .packing import pack
 from .runtime import session_of
 from .simhash import near_duplicates
@@ -28,6 +29,13 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumnRenamed("id", "doc_id"), SEQUENCE_TOKENS)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's address stands beside its text, so that no page is looked up again."""
+    pages = _table(spark, sf_dir, "pages")
+    found = extract_text(pages.select(F.struct("page_id", "url").alias("page"), "html"), "page", "html")
+    return found.select("id.page_id", "id.url", "text", "n_chars")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe_encode(_table(spark, sf_dir, "documents"), path, pattern)
@@ -80,6 +88,7 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pack": op2_pack,
+        "op3_html_text": op3_html_text,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_counts": op6_token_counts,
         "op9_simhash": op9_simhash,
