@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .html_text import extract_text
+from .langid import fit_language_model, predict_language
 from .packing import pack
 from .runtime import session_of
+from .sampling import crc_rest
 from .simhash import near_duplicates
 from .tokens import byte_bpe_decode, byte_bpe_encode, token_counts, token_pieces
 
@@ -54,6 +56,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.where(crc_rest("doc_id", 3) != 1))
+    return predict_language(docs, model).select(
+        F.col("id").alias("doc_id"), (crc_rest("id", 3) == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, bits=4)
     return found.select(
@@ -91,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_text": op3_html_text,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_counts": op6_token_counts,
+        "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
