@@ -12,6 +12,7 @@ from .exact_dedup import exact_duplicates
 from .html_text import extract_text
 from .langid import fit_language_model, predict_language
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .runtime import session_of
 from .sampling import crc_rest
 from .simhash import near_duplicates
@@ -25,6 +26,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session_of(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels.where(crc_rest("doc_id", 5) != 0))
+    return score_quality(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (crc_rest("id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE_TOKENS)
@@ -97,6 +109,7 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM g
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_pack": op2_pack,
         "op3_html_text": op3_html_text,
         "op5_byte_bpe": op5_byte_bpe,
