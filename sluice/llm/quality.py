@@ -18,6 +18,10 @@ GRAMS = (3, 4, 5)
 #: Log of the number of hashed vectors.
 BUCKET_BITS = 17
 DIMENSIONS = 12
+#: The bucket of words that repeat the word before them.
+AGAIN = (1 << BUCKET_BITS) - 1
+#: Stands between texts hashed together; UTF-8 has no such byte.
+BETWEEN = b" \xff "
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +50,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 
 def _hashed(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray | None, int]]:
-    """Buckets, first bytes (None: every byte) and widths (words: 1) of the words, then of the n-grams."""
+    """Buckets, first bytes (None: every byte) and widths (words: 1) of the words, of words said twice, of the n-grams."""
     b = np.frombuffer(data, np.uint8)
     shift = np.uint32(32 - BUCKET_BITS)
     with np.errstate(over="ignore"):
@@ -57,6 +61,8 @@ def _hashed(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray | None, int]]:
         sums = np.r_[np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], dtype=np.uint64)]
         h = ((sums[ends] - sums[starts]) * down[starts]) * _BASE >> np.uint64(32)
         yield (h.astype(np.uint32) >> shift).astype(np.int32), starts, 1
+        again = starts[1:][h[1:] == h[:-1]]
+        yield np.full(len(again), AGAIN, np.int32), again, 1
         h = b.astype(np.uint32)
         for n in range(2, max(GRAMS) + 1):
             if len(b) < n:
@@ -151,10 +157,10 @@ def _scores(texts: list[str], model: QualityModel) -> list[float]:
     sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
 
     def add(data: list[bytes], own: list[int]) -> None:
-        joined = b" ".join(data)
+        joined = BETWEEN.join(data)
         if not joined:
             return
-        ends = np.cumsum([len(x) + 1 for x in data]) - 1
+        ends = np.cumsum([len(x) + len(BETWEEN) for x in data]) - len(BETWEEN)
         starts = ends - [len(x) for x in data]
         for buckets, first, width in _hashed(joined):
             total = np.r_[0.0, np.cumsum(model.weights[buckets], dtype=np.float64)]
@@ -168,12 +174,12 @@ def _scores(texts: list[str], model: QualityModel) -> list[float]:
     size = 0
     for i, text in enumerate(texts):
         for piece in _pieces(text.encode()):
-            if size + len(piece) + 1 > PIECE and data:
+            if size + len(piece) + len(BETWEEN) > PIECE + 48 and data:
                 add(data, own)
                 data, own, size = [], [], 0
             data.append(piece)
             own.append(i)
-            size += len(piece) + 1
+            size += len(piece) + len(BETWEEN)
     if data:
         add(data, own)
     logits = sums / np.maximum(counts, 1) + model.bias
