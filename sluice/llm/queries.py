@@ -17,6 +17,7 @@ from .runtime import session_of
 from .sampling import crc_rest
 from .simhash import near_duplicates
 from .tokens import byte_bpe_decode, byte_bpe_encode, token_counts, token_pieces
+from .toxicity import fit_toxicity, score_toxicity
 
 SEQUENCE_TOKENS = 4096
 TOKEN_LIMIT = 1024
@@ -50,6 +51,17 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id.page_id", "id.url", "text", "n_chars")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(crc_rest("doc_id", 3) != 1))
+    return score_toxicity(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (crc_rest("id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe_encode(_table(spark, sf_dir, "documents"), path, pattern)
@@ -112,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_pack": op2_pack,
         "op3_html_text": op3_html_text,
+        "op4_toxicity": op4_toxicity,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_counts": op6_token_counts,
         "op8_language": op8_language,
