@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cover_tree import embedding_links
 from .exact_dedup import exact_duplicates
 from .html_text import extract_text
 from .langid import fit_language_model, predict_language
@@ -80,6 +81,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"), cosine=0.95).select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        (F.col("component") == F.col("id")).alias("kept"),
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_language_model(docs.where(crc_rest("doc_id", 3) != 1))
@@ -127,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_token_counts": op6_token_counts,
+        "op7_cover_tree": op7_cover_tree,
         "op8_language": op8_language,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,

@@ -172,7 +172,9 @@ def linked(prints: DataFrame, bits: int) -> DataFrame:
         keys, rows = keys_of(fps)
         return {"key": pa.array(keys), "fp": pa.array(fps[rows])}
 
-    keys = mapped(prints.select("fp").distinct(), ["fp"], "key long, fp long", spread)
+    # Each row makes some 84: spread over all tasks, however few rows there are.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = mapped(prints.select("fp").distinct().repartition(tasks), ["fp"], "key long, fp long", spread)
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
