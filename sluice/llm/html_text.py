@@ -8,6 +8,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import schema_of
 from .tokens import mapped
 
 #: Elements whose content is no text of the page, with their content (fixed values).
@@ -159,4 +160,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         texts = [main_text(x.as_py() or "", window, surge) for x in batch.column(1)]
         return {"id": batch.column(0), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())}
 
-    return mapped(pages, [id_col, html_col], f"id {pages.schema[id_col].dataType.simpleString()}, text string, n_chars long", work)
+    return mapped(pages, [id_col, html_col], schema_of(pages, {"id": id_col}, "text string, n_chars long"), work)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import schema_of, written
 from .sampling import per_class
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -181,5 +181,4 @@ def predict_language(
                 ["id", "lang_pred", "score"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, schema_of(docs, {"id": id_col}, "lang_pred string, score double"))

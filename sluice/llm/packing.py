@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import written
+from .runtime import schema_of, written
 
 
 def fullest(counts: dict[int, int], order: list[int], room: int) -> Counter:
@@ -92,7 +92,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     """
     kept = pieces.columns
     at = kept.index(length_col)
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in pieces.schema)
+    same = {x: x for x in kept}
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(capacity + 1, np.int64)
@@ -113,7 +113,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
                 [*batch.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], [*kept, "_task", "_rank"]
             )
 
-    rows = written(pieces.mapInArrow(number, f"{fields}, _task int, _rank long"))
+    rows = written(pieces.mapInArrow(number, schema_of(pieces, same, "_task int, _rank long")))
     per_task = rows.groupBy("_task", length_col).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length_col).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     first = per_task.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -132,4 +132,4 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], [*kept, "sequence_id", "offset"])
 
     ranked = rows.join(first.drop("_n"), ["_task", length_col]).select(*kept, (F.col("_rank") + F.col("_first")).alias("_rank"))
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, schema_of(pieces, same, "sequence_id long, offset long"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import schema_of
 from .sampling import labelled_texts
 
 #: Lengths, in bytes, of the character n-grams.
@@ -144,8 +145,7 @@ def fit_quality(
             )
 
     texts = labelled_texts(docs, labels.where(F.col(label_col).isin(0, 1)), label_col, sample, id_col, text_col)
-    kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.mapInArrow(run, f"id {kind}, label int, buckets binary, shares binary").collect()
+    rows = texts.mapInArrow(run, schema_of(texts, {"id": "id"}, "label int, buckets binary, shares binary")).collect()
     rows.sort(key=lambda r: str(r[0]))
     found = [(r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows]
     if len({x[0] for x in found}) < 2:
@@ -200,5 +200,4 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             scores = _scores([x or "" for x in batch.column(1).to_pylist()], sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, schema_of(docs, {"id": id_col}, "score double"))

@@ -99,10 +99,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, bits=4)
+    found = near_duplicates(_table(spark, sf_dir, "documents"), words=4, bits=4, width=1)
     return found.select(
         F.col("id").alias("doc_id"),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows in an Arrow batch handed to Python. Whole texts are in these batches, so the default of 10,000 rows is too many.
 ARROW_ROWS = 500
@@ -34,6 +35,11 @@ def session_of(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def schema_of(df: DataFrame, names: dict[str, str], more: str) -> StructType:
+    """Columns of ``df`` under new names (new: old), then those of the DDL string ``more``."""
+    return StructType([StructField(new, df.schema[old].dataType) for new, old in names.items()] + StructType.fromDDL(more).fields)
+
+
 @functools.cache
 def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="sluice-")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .runtime import components, written
 from .tokens import mapped
@@ -19,7 +20,7 @@ from .tokens import mapped
 GOLAY = 0xC75
 #: First bit and bits of the fingerprint's three segments; the last has five bits less than a codeword.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: The most differing bits that the keys below promise to find.
+#: The most differing bits of a fingerprint that the keys below promise to find.
 MOST_BITS = 5
 #: Fingerprints of one key that one group compares; more are compared block by block, in groups of their own.
 BLOCK = 4096
@@ -27,11 +28,19 @@ SHINGLES_AT_ONCE = 1 << 15
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str, words: int) -> int:
-    """The 64-bit SimHash of the text's word shingles, as a signed number; 0 without words."""
+def _remixed(h: np.ndarray) -> np.ndarray:
+    """Further independent hashes from hashes (constants: fixed values of a known 64-bit finaliser)."""
+    with np.errstate(over="ignore"):
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return h ^ h >> np.uint64(31)
+
+
+def fingerprint(text: str, words: int, width: int = 1) -> list[int]:
+    """``width`` 64-bit SimHashes of the text's word shingles, as signed numbers; 0 without words."""
     found = text.encode().translate(_LOWER).split()
     if not found:
-        return 0
+        return [0] * width
     n = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
@@ -39,22 +48,24 @@ def fingerprint(text: str, words: int) -> int:
     starts = (ends - sizes + 1)[:n].tolist()
     ends = ends[min(words, len(found)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((width, 64), np.int64)
     for at in range(0, n, SHINGLES_AT_ONCE):
         pairs = zip(starts[at : at + SHINGLES_AT_ONCE], ends[at : at + SHINGLES_AT_ONCE], strict=True)
-        h = np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64).astype(">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+        h = np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64)
+        for k in range(width):
+            h = _remixed(h) if k else h
+            ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * x > n).tobytes(), "big", signed=True) for x in ones]
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``fp`` of each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``fp0`` ... ``fp(width - 1)`` of each row; null texts count as empty."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        found = [fingerprint(x.as_py() or "", words) for x in batch.column(1)]
-        return {"id": batch.column(0), "fp": pa.array(found, pa.int64())}
+        found = np.array([fingerprint(x.as_py() or "", words, width) for x in batch.column(1)], np.int64).reshape(-1, width)
+        return {"id": batch.column(0)} | {f"fp{k}": pa.array(found[:, k]) for k in range(width)}
 
-    return mapped(docs, [id_col, text_col], "id long, fp long", work)
+    return mapped(docs, [id_col, text_col], StructType.fromDDL("id long, " + ", ".join(f"fp{k} long" for k in range(width))), work)
 
 
 @functools.cache
@@ -135,68 +146,78 @@ class _Forest:
         return a != b
 
 
-def _links(group: np.ndarray, fps: np.ndarray, halves: np.ndarray, bits: int, forest: _Forest) -> Iterator[tuple[int, int]]:
+def _links(
+    group: np.ndarray, half: np.ndarray, nodes: np.ndarray, fps: list[np.ndarray], bits: int, forest: _Forest
+) -> Iterator[tuple[int, int]]:
     """Links inside groups (rows are sorted by group) that join what is not yet joined.
 
     Rows d apart are compared for d = 1, 2, ... until no group is that long. A row of a block pair is compared with
     rows of the other block only, unless both blocks are the same.
     """
-    label, d = np.arange(len(fps)), 1
-    here = np.arange(len(fps) - 1)
-    unsigned = fps.view(np.uint64)
-    while len(here := here[here < len(fps) - d]) and len(here := here[group[here] == group[here + d]]):
+    label, d = np.arange(len(nodes)), 1
+    here = np.arange(len(nodes) - 1)
+    fps = [x.view(np.uint64) for x in fps]
+    while len(here := here[here < len(nodes) - d]) and len(here := here[group[here] == group[here + d]]):
         there = here + d
-        near = np.bitwise_count(unsigned[here] ^ unsigned[there]) <= bits
-        near &= (label[here] != label[there]) & ((halves[here] != halves[there]) | (halves[here] == 2))
+        near = sum(np.bitwise_count(x[here] ^ x[there]).astype(np.int16) for x in fps) <= bits
+        near &= (label[here] != label[there]) & ((half[here] != half[there]) | (half[here] == 2))
         if near.any():
             a, b = here[near], there[near]
             low = np.minimum(label[a], label[b])
             np.minimum.at(label, a, low)
             np.minimum.at(label, b, low)
-            yield from ((x, y) for x, y in zip(fps[a].tolist(), fps[b].tolist(), strict=True) if forest.new(x, y))
+            yield from ((x, y) for x, y in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True) if forest.new(x, y))
         d += 1
 
 
-def linked(prints: DataFrame, bits: int) -> DataFrame:
-    """Links (``a``, ``b``) that connect the distinct ``fp`` of ``prints`` wherever two differ in ``bits`` or fewer.
+def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
+    """Links (``a``, ``b``) that connect the ``node`` of ``prints`` whose fingerprints differ in ``bits`` or fewer.
+
+    Each row goes to the keys of its fingerprints; those that share one are compared by all fingerprints. What comes
+    out is not every pair but, for each task, links that connect the same nodes. Keys shared by more than ``BLOCK``
+    rows are divided into pairs of blocks, each compared in a group of its own, so that no group outgrows a task and
+    no pair is lost.
 
-    Each fingerprint goes to its keys; those that share one are compared. What comes out is not every pair but, for
-    each task, links that connect the same fingerprints. Keys shared by more than ``BLOCK`` fingerprints are divided
-    into pairs of blocks, each compared in a group of its own, so that no group outgrows a task and no pair is lost.
+    Pairs with up to ``MOST_BITS`` differing bits in any one fingerprint are found for certain; so are all pairs if
+    ``bits`` is below ``width * (MOST_BITS + 1)``. Others are found where two segments of a fingerprint have few of
+    the differing bits.
     """
-    if bits > MOST_BITS:
-        raise ValueError(f"the keys find {MOST_BITS} differing bits at most")
+    names = [f"fp{k}" for k in range(width)]
+    fields = ", ".join(f"{x} long" for x in names)
 
     def spread(batch: pa.RecordBatch) -> dict:
-        fps = batch.column(0).to_numpy()
-        keys, rows = keys_of(fps)
-        return {"key": pa.array(keys), "fp": pa.array(fps[rows])}
-
-    # Each row makes some 84: spread over all tasks, however few rows there are.
+        columns = [x.to_numpy() for x in batch.columns]
+        keys, rows = zip(*(keys_of(x) for x in columns[1:]), strict=True)
+        key = np.concatenate([k + (np.int64(3 * i) << 24) for i, k in enumerate(keys)]).astype(np.int32)
+        row = np.concatenate(rows)
+        return {"key": pa.array(key), "node": pa.array(columns[0][row])} | {
+            x: pa.array(c[row]) for x, c in zip(names, columns[1:], strict=True)
+        }
+
+    # Each row makes some 84 a fingerprint: spread over all tasks, however few rows there are.
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = mapped(prints.select("fp").distinct().repartition(tasks), ["fp"], "key long, fp long", spread)
+    rows = prints.select("node", *names).repartition(tasks)
+    keys = mapped(rows, ["node", *names], StructType.fromDDL(f"key int, node long, {fields}"), spread)
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.when(F.col("n").isNotNull(), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    half = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
     dealt = (
         keys.join(hot, "key", "left")
-        .select("key", "fp", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-        .select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
-            "fp",
-            F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int")).alias("half"),
-        )
+        .select("key", "node", *names, F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+        # Two groups with one hash only mean a few comparisons more.
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), half.alias("half"), "node", *names)
+        .repartition("group")
+        .sortWithinPartitions("group")
     )
-    # Two groups with one hash only mean a few comparisons more.
-    dealt = dealt.repartition("group").sortWithinPartitions("group")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        rest = [np.zeros(0, np.int64)] * (3 + width)
 
         def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.array(list(_links(*rows, bits, forest)), np.int64).reshape(-1, 2)
+            pairs = np.array(list(_links(*rows[:3], rows[3:], bits, forest)), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
         for batch in batches:
@@ -213,20 +234,33 @@ def linked(prints: DataFrame, bits: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, bits: int = 21, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``id``, ``fp``, ``component`` of each row of ``docs``: rows are linked if their fingerprints differ in ``bits``
-    bits or fewer (5 at most), and ``component`` is the smallest id reachable by links.
+    """``id``, ``fp0`` ..., ``component`` of each row of ``docs``: rows are linked if their fingerprints of ``width``
+    times 64 bits differ in ``bits`` bits or fewer, and ``component`` is the smallest id reachable by links.
+
+    By default texts with a Jaccard similarity of 0.8 or more between their sets of five-word shingles are linked:
+    their 128 bits differ in 21 on average. (``linked`` says which pairs are found for certain.)
 
     A-Z are lower-cased; words are what lies between space, tab, line feed, vertical tab, form feed and carriage
     return; a text with fewer words than a shingle is one shingle; texts without words, and nulls, have fingerprint 0
     and are linked like any others. Equal fingerprints are one row from the start, so a group of copies costs as much
     as one text. Ids must be unique integers. An empty table gives an empty result; other columns are not read.
     """
-    prints = written(fingerprints(docs, words, id_col, text_col))
-    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(linked(prints, bits))
-    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = written(named.join(least, "root").select("fp", "component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
+    names = [f"fp{k}" for k in range(width)]
+    prints = written(fingerprints(docs, words, width, id_col, text_col))
+    nodes = prints.groupBy(*names).agg(F.min("id").alias("node"))
+    roots = components(linked(nodes, bits, width)).withColumnRenamed("node", "linked")
+    named = nodes.join(roots, nodes["node"] == roots["linked"], "left").select(
+        *names, F.coalesce("root", "node").alias("component")
+    )
+    return prints.join(written(named), names).select("id", *names, "component")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, words: int = 5, bits: int = 21, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with all its columns, without the rows whose component has a smaller id. See ``near_duplicates``."""
+    found = near_duplicates(docs, words, bits, width, id_col, text_col)
+    gone = found.where("component <> id").select(F.col("id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

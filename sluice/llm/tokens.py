@@ -17,6 +17,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from .runtime import schema_of
 
 #: The characters of Unicode's White_Space property, which the vocabularies' patterns mean by \s (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -34,7 +37,7 @@ REMEMBERED = 300_000
 LONG_CHARS = 50_000
 
 
-def mapped(df: DataFrame, columns: list[str], schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def mapped(df: DataFrame, columns: list[str], schema: StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``work`` over batches of ``columns`` only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +103,7 @@ def byte_bpe_encode(
             counts.append(len(ids[-1]) // 4)
         return {"id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(ids, pa.binary())}
 
-    return mapped(df, [id_col, text_col], f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary", work)
+    return mapped(df, [id_col, text_col], schema_of(df, {"id": id_col}, "n_tokens long, ids binary"), work)
 
 
 def byte_bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -115,8 +118,7 @@ def byte_bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFr
         ]
         return dict(zip(kept, batch.columns, strict=True)) | {"data": pa.array(data, pa.binary())}
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in encoded.schema)
-    return mapped(encoded, kept, f"{fields}, data binary", work)
+    return mapped(encoded, kept, schema_of(encoded, {x: x for x in kept}, "data binary"), work)
 
 
 def runs_of(text: str) -> list[str]:
@@ -181,7 +183,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         sizes = [len(x.encode()) for x in texts]
         return {"id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(totals, pa.int64())}
 
-    return mapped(df, [id_col, text_col], f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long", work)
+    return mapped(df, [id_col, text_col], schema_of(df, {"id": id_col}, "n_bytes long, n_tokens long"), work)
 
 
 class _Words:
@@ -242,5 +244,5 @@ def token_pieces(
         found = {k: pa.array(table[:, i], pa.int32() if k == "piece" else pa.int64()) for i, k in enumerate(names)}
         return {"id": pa.array(ids, batch.schema.field(0).type)} | found
 
-    schema = f"id {df.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = schema_of(df, {"id": id_col}, "piece int, start long, length long, ids_crc32 long")
     return mapped(df, [id_col, text_col], schema, work)

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import schema_of, written
 from .sampling import labelled_texts
 
 WORDS = re.compile(r"[^\W\d_]{3,}")
@@ -194,5 +194,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             scores = 1 / (1 + np.exp(-np.clip(x @ weights + model.bias, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["id", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(run, schema_of(docs, {"id": id_col}, "score double"))
