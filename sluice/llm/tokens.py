@@ -10,6 +10,7 @@ import base64
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -31,8 +32,10 @@ RUNS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space before a space: only here may a space not begin a run.
 LOOSE = re.compile(f"[{WHITE}] ")
 
+#: Marks that are pre-tokens of their own behind a word of letters.
+MARKS = ".,!?;:"
 #: Pre-tokens that a worker remembers; the store starts anew when full, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Longer texts are encoded in parts cut at safe boundaries.
 LONG_CHARS = 50_000
 
@@ -193,24 +196,52 @@ class _Words:
         self.library = _library(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def packed(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """A word of letters only is one pre-token, so many are encoded as one text and told apart by their last
+        tokens; one mark behind letters is a pre-token of its own."""
+        marked = {x for x in words if len(x) > 1 and x[-1] in MARKS and x[:-1].isalpha()}
+        wanted = {x for x in words - marked if x.isalpha()} | {x[:-1] for x in marked}
+        letters = [x for x in wanted if x not in self.known]
+        self.encode([x for x in words - marked if not x.isalpha()] + [x for x in MARKS if x not in self.known])
+        for at in range(0, len(letters), 512):
+            part = letters[at : at + 512]
+            ids = np.asarray(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self.encode(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known[word] = data[start:end]
+                start = end
+        for word in marked:
+            self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
 
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
-            return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        # The library lower-cases each character by itself; only these two may then differ.
+        plain = "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text)
+        text = text.lower() if plain else text
         words = WORDS.findall(text) if SEPARATORS.search(text) else text.split()
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({x for x in words if x not in known})
-            for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = self.packed(found.ids)
-            return b"".join(map(known.__getitem__, words))
+            new = {x for x in words if x not in self.known}
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = set(words)
+            self.learn(new) if plain else self.encode(list(new))
+            return b"".join(map(self.known.__getitem__, words))
 
 
 @functools.cache
