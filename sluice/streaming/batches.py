@@ -1,0 +1,33 @@
+"""Loads of a stream's batches: each file batch runs the same checks and is committed as one version."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.checks import constrain, convert_fields
+from ..plans.load import load_rows
+from ..plans.options import LoadOptions
+from ..plans.spec import TableSpec
+from ..sinks import table
+from ..workspace import written
+
+
+def load_stream(lines: DataFrame, options: LoadOptions, spec: TableSpec, checkpoint: str) -> StreamingQuery:
+    """Append the records of a text stream (unquoted lines in ``value``) to a table, one commit a batch.
+
+    The order inside a batch is that of its partitions; a batch that is run again after a failure is committed again,
+    so a table without unique keys may then hold its rows twice.
+    """
+
+    def one(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        split = F.split("value", "\\Q" + options.DELIMITER + "\\E", -1)
+        fields = F.transform(split, lambda t: F.struct(t.alias("t"), F.lit(False).alias("q"))).alias("fields")
+        records = batch.select(F.monotonically_increasing_id().alias("rec_no"), F.col("value").alias("raw"), fields)
+        rows = constrain(convert_fields(records, spec, options.NULL), spec, options.CHECK_CONSTRAINTS)
+        plan = load_rows(written(rows), options, spec, table.read_table(spark, options.OUTPUT, spec.ddl))
+        table.commit(spark, options.OUTPUT, plan.accepted, [])
+
+    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
