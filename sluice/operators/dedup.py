@@ -44,13 +44,13 @@ def deduplicate(new: DataFrame, existing: DataFrame | None, spec: TableSpec, kee
         names = [F.expr(x) for x in key.expressions]
         taking = _compared(key, names)
         rank = F.struct((-F.col("is_new") if keep == "NEW" else F.col("is_new")).alias("a"), "seq")
-        keyed = rows.withColumn("_take", taking).withColumn("_key", F.struct(*(x.alias(f"k{i}") for i, x in enumerate(names))))
+        parts = [f"_k{i}" for i in range(len(names))]
+        keyed = rows.withColumns({"_take": taking} | dict(zip(parts, names, strict=True)))
         # The best rank of each key combines before the shuffle; joined back, it marks the row that stays.
-        best = keyed.where("_take").groupBy("_key").agg(F.min(rank).alias("_best"))
-        condition = keyed["_take"] & reduce(
-            lambda a, b: a & b, (keyed["_key"][f"k{i}"].eqNullSafe(best["_key"][f"k{i}"]) for i in range(len(names)))
-        )
-        marked = keyed.join(best, condition, "left").withColumn("_stays", ~F.col("_take") | (rank == F.col("_best")))
+        best = keyed.where("_take").groupBy(*parts).agg(F.min(rank).alias("_best"))
+        best = best.select(*(F.col(x).alias(f"b{x}") for x in parts), "_best")
+        same = reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(f"b{x}")) for x in parts), F.col("_take"))
+        marked = keyed.join(best, same, "left").withColumn("_stays", ~F.col("_take") | (rank == F.col("_best")))
         plain = ["is_new", "seq", *own]
         removed.append(marked.where(~F.col("_stays")).select(*plain))
         rows = marked.where("_stays").select(*plain)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 #: Declared type names and the Spark type each becomes (fixed values).
 TYPES = {
     "int2": "smallint", "smallint": "smallint", "int4": "int", "int": "int", "integer": "int", "int8": "bigint",
-    "bigint": "bigint", "float4": "float", "real": "float", "float8": "double", "double": "double", "text": "string",
+    "bigint": "bigint", "float4": "float", "real": "float", "float": "float", "float8": "double", "double": "double", "text": "string",
     "timestamp": "timestamp_ntz", "date": "date", "bool": "boolean", "boolean": "boolean",
 }
 

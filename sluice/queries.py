@@ -243,14 +243,18 @@ def fixed_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of all widths and text of both kinds, at offsets, in records longer than their columns; a part record at the end."""
-    rows = _read(spark, sf_dir, "orders")
-    pad = lambda x, n: F.encode(F.rpad(x, n, " "), "ISO-8859-1")
-    number = lambda x, n: F.reverse(F.unhex(F.substring(F.lpad(F.hex(x), 16, "0"), 17 - 2 * n, 2 * n)))
-    record = F.concat(number(F.col("o_orderkey"), 8), number(F.pmod("o_custkey", F.lit(60000)), 2), number(-F.pmod("o_orderkey", F.lit(3000)), 2), pad("o_orderpriority", 15), pad("o_orderstatus", 3))
+    rows = _read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("rec_no"),
+        "o_orderkey",
+        F.pmod("o_custkey", F.lit(60000)).alias("cust"),
+        (-F.pmod("o_orderkey", F.lit(3000))).alias("neg"),
+        "o_orderpriority",
+        "o_orderstatus",
+    )
+    fields, _ = parse_layout(["BIGINT", "UNSIGNED SMALLINT", "SMALLINT", "CHAR(15)", "CHAR(3)"], output=True)
     path = _make_parent(_fixed_path(spark))
-    with open(path, "wb") as file:  # the test's input, not the load
-        for r in rows.orderBy("o_orderkey").select(record).toLocalIterator():
-            file.write(bytes(r[0]))
+    write_fixed(rows, rows.columns[1:], fields, path)
+    with open(path, "ab") as file:
         file.write(b"rest")
     columns = ["BIGINT", "UNSIGNED SMALLINT", "SMALLINT", "CHAR(13:27)", "VARCHAR (28 + 1)"]
     fields, stride = parse_layout(columns, stride=30)
