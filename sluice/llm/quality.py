@@ -165,7 +165,10 @@ def _scores(texts: list[str], model: QualityModel) -> list[float]:
         for buckets, first, width in _hashed(joined):
             total = np.r_[0.0, np.cumsum(model.weights[buckets], dtype=np.float64)]
             last = np.maximum(starts, ends - width + 1)  # an n-gram that begins later ends in the next text
-            a, b = (starts, last) if first is None else (np.searchsorted(first, starts), np.searchsorted(first, last))
+            if first is not None:
+                a, b = np.searchsorted(first, starts), np.searchsorted(first, last)
+            else:  # the last texts may be shorter than an n-gram
+                a, b = np.minimum(starts, len(total) - 1), np.minimum(last, len(total) - 1)
             np.add.at(sums, own, total[b] - total[a])
             np.add.at(counts, own, b - a)
 
