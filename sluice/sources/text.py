@@ -117,71 +117,71 @@ def _simple(lines: DataFrame, d: Dialect, skip: int) -> DataFrame:
     )
 
 
-def _quoted(lines: DataFrame, d: Dialect, skip: int) -> DataFrame:
-    lines = numbered(lines, "block", "within", "line").where(F.col("line") > skip).select("block", "line", "value")
+def _chunks(batches: Iterator[pa.RecordBatch], skipped: str, skip: int, size: int = 4096) -> Iterator[tuple]:
+    """(block, position of the first line in it, lines) for runs of lines as a task reads them, in order.
 
-    def runs(batches: Iterator[pa.RecordBatch], each) -> Iterator:
-        """Calls ``each(block, rows)`` for the rows of each block in a task; lines stay in order."""
-        block, kept = None, []
-        for batch in batches:
-            for b, n, v in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if b != block and kept:
-                    yield from each(block, kept)
-                    kept = []
+    The first ``skip`` lines of the block ``skipped`` are left out.
+    """
+    block, at, kept = None, 0, []
+    for batch in batches:
+        for b, value in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if b != block or len(kept) >= size:
+                if kept:
+                    yield block, at, kept
+                at, kept = (at + len(kept), []) if b == block else (0, [])
                 block = b
-                kept.append((n, v))
-                if len(kept) >= 4096:
-                    yield from each(block, kept)
-                    kept = []
-        if kept:
-            yield from each(block, kept)
+            if b == skipped and at + len(kept) < skip:
+                at += 1
+                continue
+            kept.append(value)
+    if kept:
+        yield block, at, kept
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(block, rows):
-            out, inside = False, True
-            for _, value in rows:
-                ends = end_states(value, d)
-                out, inside = ends[out], ends[inside]
-            yield pa.RecordBatch.from_pydict(
-                {"block": [block], "line": [rows[0][0]], "n": [len(rows)], "s0": [out], "s1": [inside]},
-                pa.schema([("block", pa.string()), ("line", pa.int64()), ("n", pa.int64()), ("s0", pa.bool_()), ("s1", pa.bool_())]),
-            )
 
-        yield from runs(batches, each)
+def _quoted(lines: DataFrame, d: Dialect, skip: int, skipped: str) -> DataFrame:
+    """A block is a part of a file that one task reads, so the two scans see the same lines in the same order."""
+    lines = lines.select("block", "value")
+    kinds = pa.schema([("block", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("s0", pa.bool_()), ("s1", pa.bool_())])
 
-    chunks = lines.mapInArrow(scan, "block string, line long, n long, s0 boolean, s1 boolean").orderBy("line").collect()
-    inside, begins = False, {}
-    for c in chunks:  # one row for some thousand lines
-        begins[c["line"]] = inside
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at, values in _chunks(batches, skipped, skip):
+            out, inside = False, True
+            for value in values:
+                out, inside = end_states(value, d)[out], end_states(value, d)[inside]
+            yield pa.RecordBatch.from_pylist([{"block": block, "at": at, "n": len(values), "s0": out, "s1": inside}], kinds)
+
+    inside, line, begins = False, 1, {}
+    for c in lines.mapInArrow(scan, "block string, at long, n long, s0 boolean, s1 boolean").orderBy("block", "at").collect():
+        begins[c["block"], c["at"]] = (line, inside)  # one entry for some thousand lines
+        line += c["n"]
         inside = c["s1"] if inside else c["s0"]
     sent = lines.sparkSession.sparkContext.broadcast(begins)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of (line a record begins on or None, line, text): whole records, and parts of those that cross a chunk."""
+        """Whole records, and the parts of those that cross a chunk: the line a record begins on (null if before), the
+        line it ends on, its text."""
         kinds = pa.schema([("start", pa.int64()), ("line", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())])
-
-        def each(block, rows):
-            inside = sent.value[rows[0][0]]
-            found, part, start = [], [], None if inside else rows[0][0]
-            for n, value in rows:
+        for block, at, values in _chunks(batches, skipped, skip):
+            line, inside = sent.value[block, at]
+            found, part, start = [], [], None if inside else line
+            for value in values:
                 part.append(value)
                 inside = end_states(value, d)[inside]
                 if not inside:
-                    found.append((start, n, "\n".join(part), start is not None))
-                    part, start = [], n + 1
+                    found.append((start, line, "\n".join(part), start is not None))
+                    part, start = [], line + 1
+                line += 1
             if part:
-                found.append((start, rows[-1][0], "\n".join(part), False))
+                found.append((start, line - 1, "\n".join(part), False))
             columns = list(zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.types, strict=True)], schema=kinds)
 
-        yield from runs(batches, each)
-
     parts = lines.mapInArrow(cut, "start long, line long, text string, whole boolean")
     # The parts of a record have the number of record beginnings among parts up to them in common.
-    broken = parts.where(~F.col("whole"))
     group = F.sum(F.col("start").isNotNull().cast("int")).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     joined = (
-        broken.withColumn("g", group)
+        parts.where(~F.col("whole"))
+        .withColumn("g", group)
         .groupBy("g")
         .agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("line", "text"))).alias("p"))
         .select("start", F.array_join("p.text", "\n").alias("text"))
@@ -219,12 +219,13 @@ def read_records(spark: SparkSession, path: str, dialect: Dialect | None = None,
     """``rec_no`` (from 1, after ``skip`` lines), ``raw``, ``fields`` (null if a quote is not closed) of a text file.
 
     Records end at a line feed, a carriage return or both, outside quotes; a blank line is a record of one empty field.
-    ``skip`` counts line feeds, whatever quotes say; a file with fewer lines raises an error.
+    ``skip`` counts line feeds, whatever quotes say; a file with fewer lines raises an error. Where there are quotes,
+    the lines to skip must lie in the first block that a task reads.
     """
     d = dialect or Dialect()
     lines = lines_of(spark, path)
     has = F.max(F.contains("value", F.lit(d.quote)) | F.contains("value", F.lit("\r")))
-    n, special = lines.agg(F.count("*"), has).first()
+    n, special, first = lines.agg(F.count("*"), has, F.min("block")).first()
     if n < skip:
         raise ValueError(f"cannot skip {skip} lines: the input has {n}")
-    return _quoted(lines, d, skip) if special else _simple(lines, d, skip)
+    return _quoted(lines, d, skip, first) if special else _simple(lines, d, skip)
