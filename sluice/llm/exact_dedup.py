@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import without, written
 
 #: White space that does not count in a comparison: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -65,5 +65,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, one row of each group of equal texts. ``id_col`` must be unique and not null."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, exact_duplicates(docs, id_col, text_col).where(~F.col("kept")), id_col)

@@ -64,6 +64,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one number that are broadcast; a table with more is joined by a shuffle.
+SMALL_ROWS = 300_000
+
+
+def if_small(narrow: DataFrame) -> DataFrame:
+    """``narrow`` (a column or two of numbers) written, and marked for a broadcast if it has few rows."""
+    narrow = written(narrow)
+    return F.broadcast(narrow) if narrow.count() <= SMALL_ROWS else narrow
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the ids in ``gone`` (column ``id``). Texts are shuffled only if very many ids go."""
+    return docs.join(if_small(gone.select(F.col("id").alias(id_col))), id_col, "left_anti").select(*docs.columns)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``links`` (``a``, ``b``: long, any order, repeats and loops allowed).
 

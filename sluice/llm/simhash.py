@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import components, written
+from .runtime import components, if_small, without, written
 from .tokens import mapped
 
 #: Generator polynomial of the perfect binary (23, 12) Golay code (fixed value).
@@ -128,7 +128,7 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Forest:
-    """Union-find over what a task has linked so far: a link inside a tree says nothing new."""
+    """Union-find over what a task has linked so far."""
 
     def __init__(self):
         self.above: dict[int, int] = {}
@@ -139,20 +139,19 @@ class _Forest:
             above[x] = x = above.get(y, y)
         return x
 
-    def new(self, a: int, b: int) -> bool:
+    def join(self, a: int, b: int) -> None:
         a, b = self.top(a), self.top(b)
         if a != b:
             self.above[max(a, b)] = min(a, b)
-        return a != b
 
 
-def _links(
+def _link(
     group: np.ndarray, half: np.ndarray, nodes: np.ndarray, fps: list[np.ndarray], bits: int, forest: _Forest
-) -> Iterator[tuple[int, int]]:
-    """Links inside groups (rows are sorted by group) that join what is not yet joined.
+) -> None:
+    """Join in ``forest`` what is linked inside groups (rows are sorted by group).
 
     Rows d apart are compared for d = 1, 2, ... until no group is that long. A row of a block pair is compared with
-    rows of the other block only, unless both blocks are the same.
+    rows of the other block only, unless both blocks are the same. Rows with one label are joined already.
     """
     label, d = np.arange(len(nodes)), 1
     here = np.arange(len(nodes) - 1)
@@ -164,9 +163,13 @@ def _links(
         if near.any():
             a, b = here[near], there[near]
             low = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
             np.minimum.at(label, a, low)
             np.minimum.at(label, b, low)
-            yield from ((x, y) for x, y in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True) if forest.new(x, y))
+            label = label[label]
+            for x, y in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True):
+                forest.join(x, y)
         d += 1
 
 
@@ -174,7 +177,7 @@ def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
     """Links (``a``, ``b``) that connect the ``node`` of ``prints`` whose fingerprints differ in ``bits`` or fewer.
 
     Each row goes to the keys of its fingerprints; those that share one are compared by all fingerprints. What comes
-    out is not every pair but, for each task, links that connect the same nodes. Keys shared by more than ``BLOCK``
+    out is not every pair but one row for each node that a task linked, with the smallest node it is connected to. Keys shared by more than ``BLOCK``
     rows are divided into pairs of blocks, each compared in a group of its own, so that no group outgrows a task and
     no pair is lost.
 
@@ -198,7 +201,7 @@ def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = prints.select("node", *names).repartition(tasks)
     keys = mapped(rows, ["node", *names], StructType.fromDDL(f"key int, node long, {fields}"), spread)
-    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = if_small(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.when(F.col("n").isNotNull(), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
@@ -216,10 +219,6 @@ def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
         forest = _Forest()
         rest = [np.zeros(0, np.int64)] * (3 + width)
 
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.array(list(_links(*rows[:3], rows[3:], bits, forest)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
         for batch in batches:
             rows = [np.concatenate([x, y.to_numpy().astype(np.int64)]) for x, y in zip(rest, batch.columns, strict=True)]
             if not len(rows[0]):
@@ -227,8 +226,13 @@ def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
             whole = np.searchsorted(rows[0], rows[0][-1])
             rest = [x[whole:] for x in rows]
             if whole:
-                yield found([x[:whole] for x in rows])
-        yield found(rest)
+                own = [x[:whole] for x in rows]
+                _link(*own[:3], own[3:], bits, forest)
+        _link(*rest[:3], rest[3:], bits, forest)
+        pairs = np.array([(x, forest.top(x)) for x in list(forest.above)], np.int64).reshape(-1, 2)
+        for at in range(0, len(pairs), 10_000):
+            part = pairs[at : at + 10_000]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(part[:, 0]), "b": pa.array(part[:, 1])})
 
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -261,6 +265,4 @@ def drop_near_duplicates(
     docs: DataFrame, words: int = 5, bits: int = 21, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with all its columns, without the rows whose component has a smaller id. See ``near_duplicates``."""
-    found = near_duplicates(docs, words, bits, width, id_col, text_col)
-    gone = found.where("component <> id").select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, words, bits, width, id_col, text_col).where("component <> id"), id_col)
