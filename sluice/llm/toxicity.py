@@ -23,6 +23,8 @@ DICTIONARY = 16_384
 #: Compression level; lower ones miss matches in texts as short as a window.
 LEVEL = 5
 REMEMBERED = 300_000
+#: Settings that a word of a toxic dictionary may be required to stand in, in half of the sample.
+LEAST = (2, 3, 4, 6, 10)
 #: Of a text, how many of the windows most like toxic text count.
 STRONGEST = 3
 
@@ -101,33 +103,38 @@ class Distance:
         return (sorted(found, reverse=True) + [0.0] * STRONGEST)[:STRONGEST]
 
 
-def telling_words(texts: DataFrame, most: int = 1200, ratio: float = 10.0, least: int = 5) -> tuple[list, list]:
-    """Words (with counts) of toxic texts that ordinary ones lack, and as many of the most frequent ordinary words.
+def settings_of(texts: DataFrame) -> DataFrame:
+    """``word``, ``half``, ``toxic``, ``ordinary``: in how many settings (pairs of neighbours) a word stands.
 
-    A word counts once for each pair of neighbours it stands between, so that passages which many texts share, and
-    copies, count once. Toxic ones stand in ``least`` settings or more and, by share, ``ratio`` times as often as in
-    ordinary texts.
+    A setting counts once, so passages that many texts share, and copies, count once.
     """
 
     def settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = set()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                rows.update((w, label, f"{a} {b}") for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False))
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            kinds = (pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["word", "label", "at"])
-
-    found = texts.select("label", "text").mapInArrow(settings, "word string, label int, at string")
-    found = found.select("word", "label", F.xxhash64("at").alias("at")).distinct()
-    counts = written(found.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary")))
+            for label, half, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words = words_of(text)
+                rows.update((w, label, half, f"{a} {b}") for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False))
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["word", "label", "half", "at"])
+
+    found = texts.select("label", "half", "text").mapInArrow(settings, "word string, label int, half int, at string")
+    found = found.select("word", "label", "half", F.xxhash64("at").alias("at")).distinct()
+    return found.groupBy("word", "half").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
+
+
+def telling_words(counts: DataFrame, least: int, ratio: float = 10.0, most: int = 1200) -> tuple[list, list]:
+    """Words (with counts) of toxic texts that ordinary ones lack, and frequent ordinary words: at most ``most`` each.
+
+    Toxic ones stand in ``least`` settings or more and, by share, ``ratio`` times as often as in ordinary texts.
+    """
     toxic, ordinary = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not toxic or not ordinary:
         return [], []
     often = (F.col("toxic") + 0.5) / toxic > ratio * (F.col("ordinary") + 0.5) / ordinary
     bad = counts.where(often & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "word").limit(most).collect()
-    good = counts.where(~often).orderBy(F.desc("ordinary"), "word").limit(max(100, len(bad))).collect()
+    good = counts.where(~often).orderBy(F.desc("ordinary"), "word").limit(most).collect()
     return [(r["word"], r["toxic"]) for r in bad], [(r["word"], r["ordinary"]) for r in good]
 
 
@@ -144,6 +151,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
     return w
 
 
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Mean of the classes' logarithmic losses."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return -float(np.log(p[y == 1]).mean() + np.log(1 - p[y == 0]).mean())
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -154,24 +167,45 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Dictionaries and threshold from about ``sample`` labelled documents of each class at most, whole texts.
 
-    Words are counted in Spark; to the driver come the windows of the dictionaries and, to calibrate, three numbers
-    for each sampled text. Labels other than 0 and 1 are ignored. Without rows of both classes all texts score 0.
+    Words are counted in Spark; to the driver come the windows of the dictionaries and, to calibrate, a few numbers for
+    each sampled text. Labels other than 0 and 1 are ignored. Without rows of both classes all texts score 0.
     """
     texts = labelled_texts(docs, labels.where(F.col(label_col).isin(0, 1)), label_col, sample, id_col, text_col)
-    texts = written(texts.select("label", "text"))
-    toxic, ordinary = telling_words(texts)
-    if not toxic:
+    texts = written(texts.select("label", "text", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half")))
+    counts = written(settings_of(texts))
+
+    def model_of(bad: list, good: list, least: int) -> ToxicityModel:
+        bad = [x for x in bad if x[1] >= least]
+        good = good[: max(100, len(bad))]
+        return ToxicityModel(dictionary_of(bad), dictionary_of(good), [0.0] * STRONGEST, 0.0)
+
+    def strongest(texts: DataFrame, models: list[ToxicityModel]) -> tuple[np.ndarray, np.ndarray]:
+        """Labels, and what each model finds in each text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            distances = [Distance(m.toxic, m.ordinary) for m in models]
+            for batch in batches:
+                rows = [[y for d in distances for y in d.strongest(x.as_py())] for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+
+        rows = texts.select("label", "text").mapInArrow(run, "label int, x array<double>").collect()
+        return np.array([r["label"] for r in rows]), np.array([r["x"] for r in rows]).reshape(len(rows), len(models), STRONGEST)
+
+    # How rare a word may be is settled on the half of the sample that the trial dictionaries haven't seen.
+    bad, good = telling_words(counts.where("half = 0"), LEAST[0])
+    best = 0
+    if bad:
+        y, x = strongest(texts.where("half = 1"), [model_of(bad, good, n) for n in LEAST])
+        if 0 < y.sum() < len(y):
+            losses = [_loss(x[:, k], y, _logistic(x[:, k], y)) for k in range(len(LEAST))]
+            best = int(np.argmin(losses))
+    both = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    bad, good = telling_words(both, 2 * LEAST[best])
+    if not bad:
         return ToxicityModel(b"", b"", [0.0] * STRONGEST, -5.0)
-    model = ToxicityModel(dictionary_of(toxic), dictionary_of(ordinary), [0.0] * STRONGEST, 0.0)
-
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model.toxic, model.ordinary)
-        for batch in batches:
-            rows = [distance.strongest(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
-
-    rows = texts.mapInArrow(strongest, "label int, x array<double>").collect()
-    w = _logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]))
+    model = model_of(bad, good, 0)
+    y, x = strongest(texts, [model])
+    w = _logistic(x[:, 0], y)
     model.weights, model.bias = w[:-1].tolist(), float(w[-1])
     return model
 
