@@ -74,20 +74,23 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
         rows = rows.select("rec_no", "raw", "err", *(F.col(f"`{a}`").cast(c.spark_type).alias(c.name) for a, c in zip(names, spec.columns, strict=True)))
         return constrain(rows, spec, o.CHECK_CONSTRAINTS)
     path = spooled(spark) if o.INPUT.lower() == "stdin" else o.INPUT
+    encoding = encoding_named(o.ENCODING) if o.ENCODING else None
+    other = None if encoding == "utf-8" else encoding
     if o.TYPE == "CSV":
-        records = text.read_records(spark, path, text.Dialect(o.DELIMITER, o.QUOTE, o.ESCAPE), o.SKIP)
+        records = text.read_records(spark, path, text.Dialect(o.DELIMITER, o.QUOTE, o.ESCAPE), o.SKIP, other)
         defaults = dict(zip([a.name for a in f.arguments][len(f.arguments) - len(f.defaults) :], f.defaults, strict=True)) if f and f.defaults else None
         least = len(own.columns) - len(defaults or {})
         if f and not own.columns:  # a filter without arguments takes blank lines
             rows = records.select("rec_no", "raw", F.when(F.col("raw") != "", F.struct(F.lit("arity").alias("code"), F.lit(1).alias("col"), F.lit("").alias("msg"))).cast(ERR).alias("err"))
         else:
             rows = convert_fields(records, own, o.NULL, tuple(o.FORCE_NOT_NULL), least, defaults)
-        if o.ENCODING and encoding_named(o.ENCODING) == "utf-8":
-            bad = F.when(~F.is_valid_utf8("raw"), F.struct(F.lit("encoding").alias("code"), F.lit(None).cast("int").alias("col"), F.lit("").alias("msg")).cast(ERR))
+        if encoding:
+            wrong = F.contains("raw", F.lit("\ufffd")) if other else ~F.is_valid_utf8("raw")
+            bad = F.when(wrong, F.struct(F.lit("encoding").alias("code"), F.lit(None).cast("int").alias("col"), F.lit("").alias("msg")).cast(ERR))
             rows = rows.withColumn("err", F.coalesce("err", bad))
     else:
         fields, stride = parse_layout(o.COL, o.STRIDE)
-        rows = fixed.convert_fields(fixed.read_records(spark, path, stride, o.SKIP), fields, stride, own)
+        rows = fixed.convert_fields(fixed.read_records(spark, path, stride, o.SKIP), fields, stride, own, other)
     if f:
         rows = coerce(apply_filter(rows, f), as_spec(f.result), spec)
     return constrain(rows, spec, o.CHECK_CONSTRAINTS)

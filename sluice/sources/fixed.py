@@ -39,7 +39,17 @@ def read_records(spark: SparkSession, path: str, stride: int, skip: int = 0) ->
     return found.where(F.col("n") > skip).select((F.col("n") - skip).alias("rec_no"), "raw")
 
 
-def decoded(records: DataFrame, fields: list[Field], stride: int) -> DataFrame:
+def _utf8(data: bytes, encoding: str | None) -> bytes:
+    """Bytes of another encoding as UTF-8; a byte that UTF-8 doesn't have if they are malformed."""
+    if not encoding:
+        return data
+    try:
+        return data.decode(encoding).encode()
+    except UnicodeDecodeError:
+        return b"\xff"
+
+
+def decoded(records: DataFrame, fields: list[Field], stride: int, encoding: str | None = None) -> DataFrame:
     """``rec_no``, ``raw``, ``f0``, ``f1``, ...: numbers typed, text as bytes; numbers whose bytes are NULLIF are null."""
     kind = np.dtype(
         {
@@ -58,7 +68,7 @@ def decoded(records: DataFrame, fields: list[Field], stride: int) -> DataFrame:
             for i, f in enumerate(fields):
                 own = rows[f"f{i}"]
                 if not f.code:
-                    columns.append(pa.array([x.tobytes() for x in own], pa.binary()))
+                    columns.append(pa.array([_utf8(x.tobytes(), encoding) for x in own], pa.binary()))
                     continue
                 null = None
                 if f.nullif is not None:
@@ -111,7 +121,9 @@ def _rounded(value: Column, digits: int) -> Column:
     return F.when(v == 0, v).otherwise(F.round(v * shift) / shift).cast("string")
 
 
-def convert_fields(records: DataFrame, fields: list[Field], stride: int, spec: TableSpec) -> DataFrame:
+def convert_fields(
+    records: DataFrame, fields: list[Field], stride: int, spec: TableSpec, encoding: str | None = None
+) -> DataFrame:
     """``rec_no``, ``raw``, ``err`` and the columns of ``spec``, one field each."""
     if len(fields) != len(spec.columns):
         raise ValueError(f"{len(fields)} COL for {len(spec.columns)} columns")
@@ -128,4 +140,4 @@ def convert_fields(records: DataFrame, fields: list[Field], stride: int, spec: T
         columns.append(typed(text, c).cast(c.spark_type).alias(c.name))
         wrong = code(text, c)
         errors.append(F.when(wrong.isNotNull(), error(wrong, i + 1, c.name)))
-    return decoded(records, fields, stride).select("rec_no", "raw", first_of(errors).alias("err"), *columns)
+    return decoded(records, fields, stride, encoding).select("rec_no", "raw", first_of(errors).alias("err"), *columns)

@@ -215,7 +215,21 @@ def _ranked(found: DataFrame, bucket: int = 65536) -> DataFrame:
     return found.withColumn("r", rank).join(counts, "b").select((F.col("_before") + F.col("r")).alias("rec_no"), "raw", "fields")
 
 
-def read_records(spark: SparkSession, path: str, dialect: Dialect | None = None, skip: int = 0) -> DataFrame:
+def in_encoding(lines: DataFrame, encoding: str) -> DataFrame:
+    """Lines whose bytes are of another encoding as text; U+FFFD, which none of these has, stands for malformed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([x.decode(encoding, "replace") for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], text], ["block", "within", "value"])
+
+    raw = lines.select("block", "within", F.col("value").cast("binary").alias("value"))
+    return raw.mapInArrow(run, "block string, within long, value string")
+
+
+def read_records(
+    spark: SparkSession, path: str, dialect: Dialect | None = None, skip: int = 0, encoding: str | None = None
+) -> DataFrame:
     """``rec_no`` (from 1, after ``skip`` lines), ``raw``, ``fields`` (null if a quote is not closed) of a text file.
 
     Records end at a line feed, a carriage return or both, outside quotes; a blank line is a record of one empty field.
@@ -224,6 +238,8 @@ def read_records(spark: SparkSession, path: str, dialect: Dialect | None = None,
     """
     d = dialect or Dialect()
     lines = lines_of(spark, path)
+    if encoding:
+        lines = in_encoding(lines, encoding)
     has = F.max(F.contains("value", F.lit(d.quote)) | F.contains("value", F.lit("\r")))
     n, special, first = lines.agg(F.count("*"), has, F.min("block")).first()
     if n < skip:

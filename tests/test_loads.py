@@ -291,3 +291,14 @@ def test_stream(spark, run):
     o = options_of({"INPUT": "/in", "OUTPUT": str(run.folder / "table"), "PARSE_ERRORS": "-1"})
     load_stream(spark.readStream.text(str(run.folder / "in")), o, spec, str(run.folder / "cp")).awaitTermination()
     assert run.rows(spec) == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize(("encoding", "counts"), [(None, (0, 9, 0, 0, 0)), ("UTF8", (0, 6, 3, 0, 0)), ("EUC_JP", (0, 6, 3, 0, 0))])
+def test_encodings(run, encoding, counts):
+    spec = spec_of("id int, str text, master int")
+    data = (b"1,aaa,1\n2," + "あ".encode() + b",2\n3,\xa4\xa2 ,3\n") * 3
+    assert run(data, spec, **({"ENCODING": encoding} if encoding else {})) == counts
+    if encoding == "EUC_JP":
+        assert (3, "あ ", 3) in run.rows(spec)
+    with pytest.raises(ValueError, match="encoding"):
+        run(data, spec, ENCODING="nonsense")
