@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import schema_of, written
-from .sampling import per_class
+from .sampling import picked_by_class
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Longest and shortest character n-grams tried for a word that is not known.
 ORDERS = (5, 4, 3, 2, 1)
 #: Words whose evidence counts in the score; more would only saturate it.
 SATURATED = 20
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 UNDETERMINED = "und"
 
 
@@ -63,7 +63,7 @@ def fit_language_model(
     text_col: str = "text",
     sample: int = 2000,
     most_words: int = 60_000,
-    most_grams: int = 200_000,
+    most_grams: int = 120_000,
 ) -> LanguageModel:
     """Count words and character n-grams of about ``sample`` documents of each language, chosen by a hash of their id.
 
@@ -71,8 +71,8 @@ def fit_language_model(
     bounds what is collected and sent to the tasks. Rows without language or text teach nothing. Without any rows the
     model knows no language.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = per_class(rows.select(id_col, lang_col, text_col), lang_col, sample, id_col).select(lang_col, text_col)
+    condition = picked_by_class(docs.select(id_col, lang_col), lang_col, sample, id_col)
+    picked = docs.where(condition & F.col(text_col).isNotNull()).select(lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Rows in an Arrow batch handed to Python. Whole texts are in these batches, so the default of 10,000 rows is too many.
-ARROW_ROWS = 500
+#: Bytes of an Arrow batch handed to Python: a worker holds a batch of whole texts several times over.
+ARROW_BYTES = "4m"
 
 
 @functools.cache
@@ -30,8 +30,8 @@ def _send_package(application: str, context) -> None:
 def session_of(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, and set the batch size for Python stages where it is Spark's default."""
     _send_package(spark.sparkContext.applicationId, spark.sparkContext)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 

@@ -11,18 +11,18 @@ def crc_rest(id_col: str, divisor: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor
 
 
-def per_class(rows: DataFrame, class_col: str, size: int, id_col: str) -> DataFrame:
-    """About ``size`` rows of each class at most (all rows of smaller ones), picked by a hash of the id.
+def picked_by_class(rows: DataFrame, class_col: str, size: int, id_col: str) -> Column:
+    """A condition that holds for about ``size`` rows of each class at most (all rows of smaller ones), by a hash of the id.
 
-    A count for each class, then a filter: no sort, no shuffle of rows. ``rows`` should be narrow: it is read twice.
-    Classes must be few.
+    ``rows`` are counted by class, which reads that column only; there is no sort and no shuffle of rows. Classes must
+    be few.
     """
     counts = {r[0]: r[1] for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()}
     share = F.lit(0.0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(class_col) == value, size / n).otherwise(share)
     at = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(F.col(class_col).isNotNull() & (at < share))
+    return F.col(class_col).isNotNull() & (at < share)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, class_col: str, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -31,7 +31,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, class_col: str, size: int
     The sampled ids are at most ``size`` a class, so they are broadcast and the texts are not shuffled. Null texts are
     empty; ids without a document are left out.
     """
-    picked = per_class(labels.select(id_col, class_col).dropDuplicates([id_col]), class_col, size, id_col)
-    picked = picked.select(F.col(id_col).alias("_id"), F.col(class_col).cast("int").alias("label"))
+    own = labels.select(id_col, class_col).dropDuplicates([id_col])
+    picked = own.where(picked_by_class(own, class_col, size, id_col)).select(F.col(id_col).alias("_id"), F.col(class_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), texts["id"] == picked["_id"]).select("id", "label", "text")

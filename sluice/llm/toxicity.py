@@ -22,7 +22,7 @@ WINDOW = 24
 DICTIONARY = 16_384
 #: Compression level; lower ones miss matches in texts as short as a window.
 LEVEL = 5
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Settings that a word of a toxic dictionary may be required to stand in, in half of the sample.
 LEAST = (2, 3, 4, 6, 10)
 #: Of a text, how many of the windows most like toxic text count.
