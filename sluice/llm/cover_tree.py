@@ -24,6 +24,8 @@ LEVELS = 12
 AT_ONCE = 1 << 20
 #: Lengths may be wrong by so much.
 SLACK = 1e-7
+#: Cosines in single precision may be wrong by so much.
+ROUGH = 1e-4
 
 
 @dataclass
@@ -93,6 +95,13 @@ def _pairs_below(a: Tree, b: Tree, p: np.ndarray, q: np.ndarray, same: bool) ->
     return new_p, new_q
 
 
+def _by_width(tree: Tree) -> list[np.ndarray]:
+    """The root's children: those with a small radius, and the few others."""
+    nodes = np.arange(tree.child[0], tree.child[0] + tree.below[0])
+    narrow = tree.radius[nodes] <= RADIUS / 3
+    return [x for x in (nodes[narrow], nodes[~narrow]) if len(x)]
+
+
 def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each point of ``a`` and of ``b`` to points of the other tree, and links that connect what is linked.
 
@@ -166,21 +175,29 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
     def descend(p: np.ndarray, q: np.ndarray) -> None:
         for at in range(0, len(p), 64):
             new_p, new_q = _pairs_below(a, b, p[at : at + 64], q[at : at + 64], same)
-            for k in range(0, len(new_p), 1 << 16):
-                s, t = new_p[k : k + (1 << 16)], new_q[k : k + (1 << 16)]
-                apart = _distance(np.einsum("ij,ij->i", a.points[a.first[s]], b.points[b.first[t]]))
-                near = apart <= far + a.radius[s] + b.radius[t]
-                if near.any():
-                    visit(s[near], t[near])
+            near_pairs(new_p, new_q)
+
+    def near_pairs(p: np.ndarray, q: np.ndarray) -> None:
+        """Visits those of the node pairs that are near enough."""
+        for k in range(0, len(p), 1 << 16):
+            s, t = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            apart = _distance(np.einsum("ij,ij->i", a.points[a.first[s]], b.points[b.first[t]]))
+            near = apart <= far + a.radius[s] + b.radius[t]
+            if near.any():
+                visit(s[near], t[near])
 
     if a.below[0] and b.below[0]:  # the roots' children, as one product
-        s, t = np.arange(a.child[0], a.child[0] + a.below[0]), np.arange(b.child[0], b.child[0] + b.below[0])
-        for at in range(0, len(s), 512):
-            own = s[at : at + 512]
-            apart = _distance(a.points[a.first[own]] @ b.points[b.first[t]].T)
-            x, y = np.nonzero(apart <= far + a.radius[own][:, None] + b.radius[t][None, :])
-            if len(x):
-                visit(own[x], t[y])
+        # Single precision and the greatest radii of narrow and of wide nodes leave out nearly all pairs; the rest are
+        # looked at one by one.
+        for s in _by_width(a):
+            rough_a = a.points[a.first[s]].astype(np.float32)
+            for t in _by_width(b):
+                rough_b = b.points[b.first[t]].astype(np.float32)
+                reach = min(2.0, far + a.radius[s].max() + b.radius[t].max())
+                least = np.float32(1.0 - reach * reach / 2.0 - ROUGH)
+                for at in range(0, len(s), 512):
+                    x, y = np.nonzero(rough_a[at : at + 512] @ rough_b.T >= least)
+                    near_pairs(s[at + x], t[y])
     else:
         visit(np.zeros(1, np.int64), np.zeros(1, np.int64))
     return links_a, links_b, [(x, top(x)) for x in list(found)]
