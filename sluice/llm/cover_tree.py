@@ -95,19 +95,23 @@ def _pairs_below(a: Tree, b: Tree, p: np.ndarray, q: np.ndarray, same: bool) ->
     return new_p, new_q
 
 
-def _by_width(tree: Tree) -> list[np.ndarray]:
-    """The root's children: those with a small radius, and the few others."""
-    nodes = np.arange(tree.child[0], tree.child[0] + tree.below[0])
-    narrow = tree.radius[nodes] <= RADIUS / 3
-    return [x for x in (nodes[narrow], nodes[~narrow]) if len(x)]
+def _narrow(tree: Tree) -> np.ndarray:
+    """The first nodes on the way down whose radius is small; together they hold all points."""
+    found, last = [], np.zeros(1, np.int64)
+    while len(last):
+        wide = (tree.radius[last] > RADIUS / 3) & (tree.below[last] > 0)
+        found.append(last[~wide])
+        last = np.concatenate([np.arange(0), *(np.arange(c, c + n) for c, n in zip(tree.child[last[wide]], tree.below[last[wide]], strict=True))])
+    return np.concatenate(found)
 
 
 def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each point of ``a`` and of ``b`` to points of the other tree, and links that connect what is linked.
 
     From the roots down, pairs of nodes are dropped if their centres are farther apart than the threshold and both
-    radii allow. Pairs of few points are computed outright, and so are the children of a root, all at once. With
-    ``same`` both trees are one, and each pair of points is met in both directions.
+    radii allow. Wide nodes can't be pruned, so the walk starts at the narrow ones, all pairs of them at once; below,
+    pairs of few points are computed outright. With ``same`` both trees are one, and each pair of points is met in both
+    directions.
     """
     far = np.sqrt(2.0 - 2.0 * cosine) + SLACK
     links_a, links_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
@@ -186,20 +190,15 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
             if near.any():
                 visit(s[near], t[near])
 
-    if a.below[0] and b.below[0]:  # the roots' children, as one product
-        # Single precision and the greatest radii of narrow and of wide nodes leave out nearly all pairs; the rest are
-        # looked at one by one.
-        for s in _by_width(a):
-            rough_a = a.points[a.first[s]].astype(np.float32)
-            for t in _by_width(b):
-                rough_b = b.points[b.first[t]].astype(np.float32)
-                reach = min(2.0, far + a.radius[s].max() + b.radius[t].max())
-                least = np.float32(1.0 - reach * reach / 2.0 - ROUGH)
-                for at in range(0, len(s), 512):
-                    x, y = np.nonzero(rough_a[at : at + 512] @ rough_b.T >= least)
-                    near_pairs(s[at + x], t[y])
-    else:
-        visit(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    # The narrow nodes, as one product. Single precision and their greatest radii leave out nearly all pairs; the rest
+    # are looked at one by one.
+    s, t = _narrow(a), _narrow(b)
+    reach = min(2.0, far + a.radius[s].max() + b.radius[t].max())
+    least = np.float32(1.0 - reach * reach / 2.0 - ROUGH)
+    rough_a, rough_b = (x.points[x.first[y]].astype(np.float32) for x, y in ((a, s), (b, t)))
+    for at in range(0, len(s), 512):
+        x, y = np.nonzero(rough_a[at : at + 512] @ rough_b.T >= least)
+        near_pairs(s[at + x], t[y])
     return links_a, links_b, [(x, top(x)) for x in list(found)]
 
 
