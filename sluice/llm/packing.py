@@ -113,7 +113,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
                 [*batch.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], [*kept, "_task", "_rank"]
             )
 
-    rows = written(pieces.mapInArrow(number, schema_of(pieces, same, "_task int, _rank long")))
+    # Pieces are a few numbers each; written first, so that no task holds two Python workers.
+    rows = written(written(pieces).mapInArrow(number, schema_of(pieces, same, "_task int, _rank long")))
     per_task = rows.groupBy("_task", length_col).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(length_col).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     first = per_task.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
