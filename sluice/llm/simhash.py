@@ -8,11 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .near_copies import near_copies, remixed, shingle_hashes
 from .runtime import components, if_small, without, written
 from .tokens import mapped
 
@@ -24,36 +24,15 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 MOST_BITS = 5
 #: Fingerprints of one key that one group compares; more are compared block by block, in groups of their own.
 BLOCK = 4096
-SHINGLES_AT_ONCE = 1 << 15
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def _remixed(h: np.ndarray) -> np.ndarray:
-    """Further independent hashes from hashes (constants: fixed values of a known 64-bit finaliser)."""
-    with np.errstate(over="ignore"):
-        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        return h ^ h >> np.uint64(31)
 
 
 def fingerprint(text: str, words: int, width: int = 1) -> list[int]:
     """``width`` 64-bit SimHashes of the text's word shingles, as signed numbers; 0 without words."""
-    found = text.encode().translate(_LOWER).split()
-    if not found:
-        return [0] * width
-    n = max(1, len(found) - words + 1)
-    joined = b" ".join(found)
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = (ends - sizes + 1)[:n].tolist()
-    ends = ends[min(words, len(found)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros((width, 64), np.int64)
-    for at in range(0, n, SHINGLES_AT_ONCE):
-        pairs = zip(starts[at : at + SHINGLES_AT_ONCE], ends[at : at + SHINGLES_AT_ONCE], strict=True)
-        h = np.array([digest(joined[a:b], 42) for a, b in pairs], np.uint64)
+    n, ones = 0, np.zeros((width, 64), np.int64)
+    for h in shingle_hashes(text, words):
+        n += len(h)
         for k in range(width):
-            h = _remixed(h) if k else h
+            h = remixed(h) if k else h
             ones[k] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return [int.from_bytes(np.packbits(2 * x > n).tobytes(), "big", signed=True) for x in ones]
 
@@ -243,8 +222,7 @@ def near_duplicates(
     """``id``, ``fp0`` ..., ``component`` of each row of ``docs``: rows are linked if their fingerprints of ``width``
     times 64 bits differ in ``bits`` bits or fewer, and ``component`` is the smallest id reachable by links.
 
-    By default texts with a Jaccard similarity of 0.8 or more between their sets of five-word shingles are linked:
-    their 128 bits differ in 21 on average. (``linked`` says which pairs are found for certain.)
+    ``linked`` says which pairs are found for certain. Bits only estimate a similarity; ``near_copies`` verifies it.
 
     A-Z are lower-cased; words are what lies between space, tab, line feed, vertical tab, form feed and carriage
     return; a text with fewer words than a shingle is one shingle; texts without words, and nulls, have fingerprint 0
@@ -262,7 +240,7 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, words: int = 5, bits: int = 21, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose component has a smaller id. See ``near_duplicates``."""
-    return without(docs, near_duplicates(docs, words, bits, width, id_col, text_col).where("component <> id"), id_col)
+    """``docs`` with all its columns, without the rows whose component has a smaller id. See ``near_copies``."""
+    return without(docs, near_copies(docs, words, least, id_col, text_col).where("component <> id"), id_col)

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 from conftest import CLASHING
 
-from sluice.llm import simhash
+from sluice.llm import near_copies, simhash
 from sluice.llm.cover_tree import embedding_links
 from sluice.llm.runtime import components
 from sluice.llm.simhash import drop_near_duplicates, fingerprint, keys_of, near_duplicates
@@ -117,3 +117,50 @@ def test_embedding_links_as_brute_force(spark):
         assert {i: r.component for i, r in found.items()} == root
     assert embedding_links(own.where("false")).count() == 0
     assert embedding_links(own.where("embedding is null")).count() == 1
+
+
+def brute_set(text, words=5):
+    found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(words, at, rng):
+    """A copy with single words changed far apart, each of which changes five shingles."""
+    own = list(words)
+    for i in at:
+        own[i] = f"new{rng.randrange(10**9)}"
+    return own
+
+
+def test_near_copies_are_those_of_exact_similarity(docs, monkeypatch):
+    rng = random.Random(5)
+    own = [None, "", "one two", "ONE  two", "one two three", "a b " * 300, "a b " * 500]
+    for edits in [8, 9] * 40:  # of 404 words: 40 of 400 shingles make 0.818, 45 make 0.798
+        words = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        own += [" ".join(words), " ".join(edited(words, range(20, 20 + 40 * edits, 40), rng))]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+    # A large group that no single text links: copies of a base that are mostly less than 0.8 like each other.
+    own += [" ".join(edited(base, rng.sample(range(10, 390, 12), rng.choice((3, 5, 7))), rng)) for _ in range(60)]
+    # Long texts that share 0.7 of their shingles are no copies.
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    own += [" ".join(words), " ".join([*words[:1647], *(f"x{i}" for i in range(353))])]
+    sets = [brute_set(x) for x in own]
+    want = brute_components(len(own), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    assert len(set(want)) > 50
+    for stars, block in ((3, 1024), (0, 4)):
+        monkeypatch.setattr(near_copies, "STARS", stars)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        found = {r.id: r.component for r in near_copies.near_copies(docs(own, extra=CLASHING)).collect()}
+        assert [found[i] for i in range(len(own))] == want
+
+
+def test_bands_find_pairs_of_just_enough_similarity():
+    rng = np.random.default_rng(9)
+    sets = rng.integers(0, 2**63, (20_000, 120), np.uint64)
+    a, b = sets[:, :90], np.concatenate([sets[:, :80], sets[:, 90:100]], axis=1)  # 80 of 100 in common
+    keys = [near_copies.band_keys(np.array([near_copies.least_hashes(x) for x in side])) for side in (a, b)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() > 0.9995
