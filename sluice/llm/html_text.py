@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +33,26 @@ BLOCKS = (
 #: Elements without content, and those that hold the page itself whatever their class says (fixed values).
 EMPTY = "area base br col embed hr img input link meta param source track wbr"
 WHOLE = "html body main article"
-
-_dropped, _furniture, _marks, _blocks, _empty, _whole = (
-    frozenset(x.split()) for x in (DROPPED, FURNITURE, MARKS, BLOCKS, EMPTY, WHOLE)
+#: First words of names that only say what a page has or lacks (fixed values).
+WITHOUT = "has no with without hide show is not"
+#: Last words of names that only say what part it is of what stands before them (fixed values).
+TAILS = "area bar block body box container inner item items link links list text wrapper"
+#: Elements whose end tag may be left out, and the start tags that end them then (fixed values).
+IMPLIED = {
+    "p": "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul",
+    "li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option optgroup", "tr": "tr tbody tfoot", "td": "td th tr tbody tfoot", "th": "td th tr tbody tfoot",
+}
+#: Elements whose end tags never end an element around which they stand (fixed values).
+INLINE = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var"
+
+_dropped, _furniture, _marks, _blocks, _empty, _whole, _without, _inline, _tails = (
+    frozenset(x.split()) for x in (DROPPED, FURNITURE, MARKS, BLOCKS, EMPTY, WHOLE, WITHOUT, INLINE, TAILS)
 )
+#: Elements whose content is no markup.
+_raw = frozenset("head script style noscript template iframe object textarea title".split())
+#: Passes over a page that free one marked element each; after them names decide nothing on the page.
+PASSES = 8
+_implied = {k: frozenset(v.split()) for k, v in IMPLIED.items()}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S
 )
@@ -43,25 +60,55 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(\"[^\"]*\"|
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether an element's attributes say that it is furniture or hidden."""
+def _names_furniture(name: str) -> bool:
+    """Whether a name is a mark or ends in one. ``has-sidebar`` and the like tell of something else on the page."""
+    words = [x.lower() for x in _WORD.findall(name)]
+    while len(words) > 1 and words[-1] in _tails:
+        words.pop()
+    return bool(words) and words[-1] in _marks and words[0] not in _without
+
+
+def _marked(attributes: str) -> str:
+    """What an element's attributes say: that it is ``hidden``, that it is furniture by its ``name``, or nothing."""
+    found = ""
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
         name = name.lower()
         if hidden or name == "aria-hidden" and "true" in value.lower():
-            return True
+            return "hidden"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif any(x.lower() in _marks for x in _WORD.findall(value)):
-            return True
-    return False
+                return "hidden"
+        elif any(_names_furniture(x) for x in value.strip("\"'").split()):
+            found = "name"
+    return found
 
 
 def lines_of(page: str, gap: int) -> list[tuple[str, int]]:
-    """The page's lines and how much text, links apart, each has. Furniture leaves ``gap`` empty lines, unless it stands in the article."""
+    """The page's lines and how much text, links apart, each has. Furniture leaves ``gap`` empty lines, unless it stands in the article.
+
+    An element that only its names mark is none if it holds more than half of the page's text, unless there is text in an article outside it.
+    """
+    free: set[int] = set()
+    for k in range(PASSES + 1):
+        lines, named, article = _pass(page, gap, free if k < PASSES else None)
+        total = sum(n for _, n in lines) + sum(n for n, _ in named.values())
+        large = {x for x, (n, within) in named.items() if 2 * n > total and (within or not article)}
+        if not large:
+            break
+        free |= large
+    return lines
+
+
+def _pass(page: str, gap: int, free: set[int] | None) -> tuple[list[tuple[str, int]], dict[int, list[int]], int]:
+    """Lines; the text of each element left out for its names, by its place, and whether an article holds it; text in articles. Names of elements at ``free`` (None: of all) don't count."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    size = links = inside = at = 0
+    size = links = inside = at = article = 0
+    named: dict[int, list[int]] = {}
+    around: list[str] = []  # open elements outside what is skipped
+    count: Counter[str] = Counter()
+    inner: list[str] = []  # open elements from the skipped one
+    place = -1
 
     def end() -> None:
         nonlocal size
@@ -72,51 +119,92 @@ def lines_of(page: str, gap: int) -> list[tuple[str, int]]:
             parts.clear()
         size = 0
 
-    skip, depth = "", 0
     for tag in _TAG.finditer(page):
         closing, name, rest = tag[1], tag[2], tag[3]
-        if not skip and tag.start() > at:
+        if tag.start() > at:
             text = page[at : tag.start()]
-            parts.append(text)
-            if not links:
-                size += len(text) - text.count(" ")
+            if not inner:
+                parts.append(text)
+                if not links:
+                    size += len(text) - text.count(" ")
+                    article += len(text.strip()) if inside else 0
+            elif place >= 0 and not links and inner[-1] not in _dropped:
+                named[place][0] += len(text) - text.count(" ")
         at = tag.end()
         if name is None:
             continue
         name = name.lower()
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 0 if rest.endswith("/>") else 1
-                if not depth:
-                    skip = ""
-            continue
+        if inner:
+            top = inner[-1]
+            if top in _raw and name != top:
+                continue
+            if closing:
+                links = 0 if name == "a" else links
+                if held[name]:
+                    while True:
+                        last = inner.pop()
+                        held[last] -= 1
+                        if last == name:
+                            break
+                    continue
+                if name in _inline or not count[name]:
+                    continue
+                inner.clear()  # the parent ends
+            else:
+                if top in _implied and name in _implied[top]:
+                    inner.pop()
+                    held[top] -= 1
+                if inner:
+                    if name == "a":
+                        links = 1
+                    if name not in _empty and not rest.endswith("/>"):
+                        inner.append(name)
+                        held[name] += 1
+                    continue
+            links = 0
         if closing:
             if name == "a":
                 links = 0
             elif name in ("article", "main"):
                 inside = max(0, inside - 1)
-        elif name not in _empty and (
-            name in _dropped or name not in _whole and (name in _furniture or len(rest) > 1 and _marked(rest))
-        ):
-            if not rest.endswith("/>"):
-                skip, depth = name, 1
-            end()
-            if not inside:
-                lines.extend([("", 0)] * gap)
-            continue
-        elif name == "a":
-            links = 1
-        elif name in ("article", "main"):
-            inside += 1
+            while count[name]:
+                last = around.pop()
+                count[last] -= 1
+                if last == name:
+                    break
+        else:
+            if around and around[-1] in _implied and name in _implied[around[-1]]:
+                count[around.pop()] -= 1
+            mark = _marked(rest) if name not in _empty and name not in _whole and len(rest) > 1 else ""
+            if mark == "name" and (free is None or tag.start() in free):
+                mark = ""
+            if name not in _empty and (name in _dropped or name in _furniture or mark):
+                if not rest.endswith("/>"):
+                    inner, held, place = [name], Counter([name]), -1
+                    if mark == "name" and name not in _dropped and name not in _furniture:
+                        place = tag.start()
+                        named[place] = [0, inside]
+                end()
+                links = 0
+                if not inside:
+                    lines.extend([("", 0)] * gap)
+                continue
+            if name not in _empty and name not in _inline and not rest.endswith("/>"):
+                around.append(name)
+                count[name] += 1
+            if name == "a":
+                links = 1
+            elif name in ("article", "main"):
+                inside += 1
         if name in _blocks:
             links = 0 if closing else links
             end()
-    if not skip:
+    if not inner:
         text = page[at:]
         parts.append(text)
         size += len(text)
     end()
-    return lines
+    return lines, named, article
 
 
 def main_text(page: str, window: int = 3, surge: int = 80) -> str:

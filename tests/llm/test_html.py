@@ -48,3 +48,19 @@ def test_operator(spark):
     found = sorted((r.id, r.text, r.n_chars) for r in extract_text(own).collect())
     assert found == [(1, "", 0), (2, "", 0), (3, LONG, len(LONG)), (3, "é", 1)]
     assert extract_text(own.where("false")).count() == 0
+
+
+def test_names_that_only_contain_a_mark():
+    for name in ("has-sidebar", "no-sidebar", "with-sidebar", "comment-open", "ad-free", "search-results"):
+        assert main_text(page(f"<div class='{name}'><h1>Title</h1><p>{LONG}</p></div>")) == f"Title {LONG}", name
+    assert main_text(page(f"<div class='page-sidebar'><p>{LONG}</p><p>{LONG} 2</p></div><p>Short.</p>")).startswith(f"{LONG} {LONG} 2")
+    assert main_text(page(f"<div class='left-sidebar'>no</div><p>{LONG}</p>")) == LONG
+
+
+def test_furniture_ends_with_its_parent():
+    assert main_text(page(f"<p class='notice'>no<p>{LONG}")) == LONG
+    assert main_text(page(f"<ul><li class='nav-item'>no<li>{LONG}</ul><p>More.</p>")) == f"{LONG} More."
+    assert main_text(page(f"<div><div class='ad'>no</b></p><script>'</section>'</script></div></div><p>{LONG}</p>")) == LONG
+    assert main_text(page(f"<section><div class='ad'>no</section><p>{LONG}</p>")) == LONG
+    assert main_text(page(f"<div class='ad'>no<article><p>{LONG}</p></article>")).endswith(LONG)
+    assert main_text(page(f"<div class='ad'>{LONG} {LONG}</div><article><p>Short.</p></article>")) == "Short."
