@@ -2,6 +2,7 @@ from conftest import CLASHING
 
 from pyspark.sql import functions as F
 
+from sluice.llm import html_text
 from sluice.llm.html_text import extract_text, lines_of, main_text
 
 LONG = "This is a sentence of the article with quite some words in it, and then some more."
@@ -39,7 +40,7 @@ def test_broken_pages():
 def test_long_page():
     paragraphs = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
     assert main_text(page(paragraphs)) == " ".join(f"{LONG} {i}" for i in range(5000))
-    assert len(lines_of("<" * 20_000, 3)) == 1
+    assert len(lines_of("<" * 20_000, 3)[0]) == 1
 
 
 def test_operator(spark):
@@ -64,3 +65,61 @@ def test_furniture_ends_with_its_parent():
     assert main_text(page(f"<section><div class='ad'>no</section><p>{LONG}</p>")) == LONG
     assert main_text(page(f"<div class='ad'>no<article><p>{LONG}</p></article>")).endswith(LONG)
     assert main_text(page(f"<div class='ad'>{LONG} {LONG}</div><article><p>Short.</p></article>")) == "Short."
+
+
+def test_scripts_are_raw_text():
+    for script in ("for(i=0;i<n;i++){}", 'var s="<script src=x>"', "x='<!--'", "</scripty>", "if(a</b/.test(c)){}"):
+        assert main_text(page(f"<script>{script}</script><article><p>{LONG}</p></article>")) == LONG, script
+    assert main_text(page(f"<p>{LONG}</p><script>never closed <p>no</p>")) == LONG
+    assert main_text(f"<head><title>no<p></title><body><textarea><p>no</textarea><p>{LONG}</p>") == LONG
+
+
+def test_headings_and_own_headers_stay():
+    text = main_text(page(f"<article><header class='article-header'><h1 class='article-header'>Title</h1></header><p>{LONG}</p></article>"))
+    assert text == f"Title {LONG}"
+    assert main_text(page(f"<h2 id='search-engines'>Title</h2><section id='related-work'><p>{LONG}</p></section><math><mi>x</mi></math>")) == f"Title {LONG} x"
+
+
+def test_distribution_without_names(monkeypatch):
+    """Menus, teasers and footers that nothing names are told apart by the weights alone."""
+    monkeypatch.setattr(html_text, "_hints", frozenset())
+    links = "".join(f"<li><a href='/{i}'>{LONG}</a></li>" for i in range(5))
+    body = f"<div><ul>{links}</ul></div><div><div>Buy it now.</div></div><div><div><div><h1>T</h1><p>{LONG} {LONG}</p><p>{LONG}</p><p>End.</p></div></div></div><div><div>All rights reserved</div></div>"
+    assert main_text(page(body)) == f"T {LONG} {LONG} {LONG} End."
+    assert main_text(page(body), window=50) == f"Buy it now. T {LONG} {LONG} {LONG} End. All rights reserved"
+    assert main_text(page(body), surge=0, share=0) == f"Buy it now. T {LONG} {LONG} {LONG} End. All rights reserved"
+
+
+def test_distribution_as_brute_force():
+    """Pages of paragraphs, links and nested boxes: every line against the definition, over all pairs of lines."""
+    import random
+
+    for seed in range(300):
+        chance = random.Random(seed)
+        window, surge, share = chance.choice((1, 2, 3, 5)), chance.choice((0, 40, 80)), chance.choice((0, 0.2, 0.5))
+        items, body = [], []
+        for i in range(chance.randrange(1, 14)):
+            kind = chance.choice("pplg")
+            if kind == "g":
+                boxes = chance.randrange(1, 4)
+                body.append("<div></div>" * boxes)
+                items += [("", 0)] * 2 * boxes if items else []
+            else:
+                text = f"{i} " + "x" * chance.choice((3, 30, 200))
+                body.append(f"<p>{text}</p>" if kind == "p" else f"<p><a href=x>{text}</a></p>")
+                items.append((text, len(text) - 1 if kind == "p" else 0))
+        texts = [i for i, (_, n) in enumerate(items) if n]
+        dive = lambda a, b: any(all(n == 0 for _, n in items[k : k + window]) for k in range(a, b - window + 1))
+        groups = {i: [j for j in texts if not dive(min(i, j), max(i, j) + 1)] for i in texts}
+        weight = {i: max(sum(n for _, n in items[k : k + window] if k >= g[0]) if k + window <= g[-1] + 1 else sum(n for _, n in items[k : g[-1] + 1]) for k in range(g[0], g[-1] + 1)) for i, g in groups.items()}
+        peak = max(weight.values(), default=0)
+        need = max(min(surge, peak / 2), share * peak)
+        kept = {k for i in texts if weight[i] >= need for k in range(groups[i][0], groups[i][-1] + 1)}
+        assert main_text("".join(body), window, surge, share) == " ".join(items[k][0] for k in sorted(kept) if items[k][0]), seed
+
+
+def test_deep_and_unclosed():
+    assert main_text("<div>" * 30_000 + f"<p>{LONG}" + "</b>" * 30_000) == LONG
+    assert main_text(f"<table><tr><td>{LONG}<td>{LONG}<tr><td>c</table>") == f"{LONG} {LONG} c"
+    assert main_text(f"<a href=x>menu<p>{LONG}</p></div><p>{LONG}</p>").endswith(LONG)
+    assert main_text(f"<div><a href=x>menu</div><p>{LONG}</p>").endswith(LONG)
