@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,8 +18,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """From ``spark.checkpoint.dir``. Only where one process is the whole cluster may it be unset: then a temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
