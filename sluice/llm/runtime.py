@@ -1,35 +1,23 @@
-"""What the operators share: tables cut off from their lineage, session settings, connected components."""
+"""What the operators share: session settings, joins with groups of any size, connected components.
 
-from __future__ import annotations
+``written`` tables lie in the shared folder: computed once, safe from lost executors, without lineage.
+"""
 
-import functools
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..workspace import send_package, written
+
 #: Bytes of an Arrow batch handed to Python: a worker holds a batch of whole texts several times over.
 ARROW_BYTES = "4m"
 
 
-@functools.cache
-def _send_package(application: str, context) -> None:
-    """The package's modules to the executors, whatever their Python path."""
-    top = Path(__file__).resolve().parents[1]
-    path = f"{tempfile.mkdtemp(prefix='sluice-')}/sluice.zip"
-    with zipfile.ZipFile(path, "w") as file:
-        for module in top.rglob("*.py"):
-            file.write(module, module.relative_to(top.parent))
-    context.addPyFile(path)
-
-
 def session_of(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, and set the batch size for Python stages where it is Spark's default."""
-    _send_package(spark.sparkContext.applicationId, spark.sparkContext)
+    send_package(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
@@ -40,30 +28,6 @@ def schema_of(df: DataFrame, names: dict[str, str], more: str) -> StructType:
     return StructType([StructField(new, df.schema[old].dataType) for new, old in names.items()] + StructType.fromDDL(more).fields)
 
 
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="sluice-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, safe from lost executors, without lineage.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sluice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of one number that are broadcast; a table with more is joined by a shuffle.
 SMALL_ROWS = 300_000
 
@@ -79,29 +43,51 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.join(if_small(gone.select(F.col("id").alias(id_col))), id_col, "left_anti").select(*docs.columns)
 
 
+#: Groups that may be broadcast: those that hold more than one in so many rows, of which there can be no more.
+HOT_GROUPS = 10_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, n: int, how: str = "left") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) with ``groups``, which has one row a group and the number of its rows in ``size``.
+
+    A shuffle would gather a large group in one task. So groups with more than ``n / HOT_GROUPS`` of all ``n`` rows, of
+    which there are fewer than ``HOT_GROUPS``, are broadcast, and only rows of the others are shuffled. Both tables are
+    read twice, so ``rows`` should be written, and ``groups`` written or an aggregate whose shuffle Spark uses again.
+    """
+    least = n // HOT_GROUPS
+    hot = F.broadcast(groups.where(F.col(size) > least))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(size) <= least), on, how)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``links`` (``a``, ``b``: long, any order, repeats and loops allowed).
 
     Returns ``node``, ``root`` (the smallest node reachable) for every node that has a link to another one.
     Alternates large-star and small-star rounds until nothing changes: in each, every node is linked to the smallest
     node of its neighbourhood, so the number of rounds grows with the logarithm of the longest path. A star's rows are
-    made by a join with one minimum per node; no neighbourhood is ever gathered in one task.
+    made by a join with one minimum per node; ``with_groups`` keeps large neighbourhoods out of the shuffle.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
+    state = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        new = written(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
-        same = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        if same.collect() == new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).collect():
-            return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = with_groups(both.where("b > a"), least, ["a"], "n", 2 * state[0], "inner")
+        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_groups(large, down, ["a"], "n", state[0], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        edges = written(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        before, state = state, _state(edges)
+        if before == state:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
-        edges = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _state(edges: DataFrame) -> tuple:
+    """The number of links, and a sum over them that changes if any does."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
