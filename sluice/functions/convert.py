@@ -12,6 +12,12 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 SPECIAL = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
 #: A timestamp in the one form that is read at once: 19 characters.
 PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+#: More digits of a second than are kept: they are rounded. The end of a day is the beginning of the next one.
+FINE = r"^\s*(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})(\.\d{7,})\s*$"
+MIDNIGHT = r"^\s*(\d{4}-\d{2}-\d{2})[ T]24:00(:00(\.0*)?)?\s*$"
+#: Beginnings of words for booleans, and what else stands for one (fixed values).
+TRUE = "t tr tru true y ye yes on 1"
+FALSE = "f fa fal fals false n no of off 0"
 
 
 def trimmed(text: Column, length: int) -> Column:
@@ -36,7 +42,18 @@ def typed(text: Column, column: ColumnSpec) -> Column:
         return F.when(text.rlike(NUMBER), F.trim(text).try_cast(kind))
     if kind == "timestamp_ntz":
         fast = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).try_cast(kind)
-        return F.when(text.rlike(PLAIN), fast).otherwise(F.trim(text).try_cast(kind))
+        second = F.regexp_extract(text, FINE, 1).try_cast(kind)
+        part = F.round(F.concat(F.lit("0"), F.substring(F.regexp_extract(text, FINE, 2), 1, 20)).try_cast("decimal(20,18)"), 6)
+        day = F.regexp_extract(text, MIDNIGHT, 1).try_cast("date")
+        return (
+            F.when(text.rlike(PLAIN) & ~text.rlike(MIDNIGHT), fast)
+            .when(text.rlike(FINE), second + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), part))
+            .when(text.rlike(MIDNIGHT), F.date_add(day, 1).cast(kind))
+            .otherwise(F.trim(text).try_cast(kind))
+        )
+    if kind == "boolean":
+        word = F.lower(F.trim(text))
+        return F.when(word.isin(TRUE.split()), True).when(word.isin(FALSE.split()), False)
     return F.trim(text).try_cast(kind)
 
 

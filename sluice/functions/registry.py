@@ -178,12 +178,14 @@ def as_spec(columns: tuple[ColumnSpec, ...]) -> TableSpec:
     return TableSpec(columns)
 
 
-def from_source(spark: SparkSession, registry: Registry, call: str) -> DataFrame:
-    """``rec_no`` and the columns of the rows that a source call gives, in its order."""
+def from_source(spark: SparkSession, registry: Registry, call: str, most: int | None = None) -> DataFrame:
+    """``rec_no`` and the columns of the rows that a source call gives, in its order; of the first ``most`` (some thousands) only."""
     from ..sources.ordinal import numbered
 
     source, values = registry.source_called(call)
     rows = source.body(spark, *values)
+    if most is not None:  # Spark runs as few tasks as it takes
+        rows = spark.createDataFrame(rows.take(most), rows.schema).coalesce(1)
     rows = rows.withColumn("_block", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id())
     return numbered(rows, "_block", "_within", "rec_no").drop("_block", "_within")
 

@@ -13,9 +13,10 @@ from ..plans.spec import TableSpec
 ERR = "struct<code: string, col: int, msg: string>"
 
 
-def error(name: str | Column, col: int | None = None, msg: str = "") -> Column:
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.struct(name.alias("code"), F.lit(col).cast("int").alias("col"), F.lit(msg).alias("msg")).cast(ERR)
+def error(name: str | Column, col: int | Column | None = None, msg: str | Column = "") -> Column:
+    """A code, the column (for a wrong number of fields: how many there are), a message."""
+    name, col, msg = (x if isinstance(x, Column) else F.lit(x) for x in (name, col, msg))
+    return F.struct(name.alias("code"), col.cast("int").alias("col"), msg.alias("msg")).cast(ERR)
 
 
 def first_of(errors: list[Column]) -> Column:
@@ -37,10 +38,11 @@ def convert_fields(records: DataFrame, spec: TableSpec, null: str = "", force: t
     """
     wanted = len(spec.columns)
     n = F.size("fields")
+    names = F.array(*(F.lit(c.name) for c in spec.columns)) if spec.columns else F.array().cast("array<string>")
     errors = [
         F.when(F.col("fields").isNull(), error("quote", 1, "unterminated quote")),
-        F.when(n > wanted, error("arity", wanted + 1, "extra data after last expected column")),
-        F.when(n < (wanted if least is None else least), error("arity", None, "missing data for column")),
+        F.when(n > wanted, error("arity", n, "extra data after last expected column")),
+        F.when(n < (wanted if least is None else least), error("arity", n, F.concat(F.lit('missing data for column "'), F.try_element_at(names, n + 1), F.lit('"')))),
     ]
     texts = {c.name: text_of(i, null, c.name in force) for i, c in enumerate(spec.columns)}
     columns = []

@@ -6,7 +6,7 @@ import os
 import resource
 import sys
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +56,8 @@ class LoadResult:
         return 3 if self.parse_errors or self.duplicate_new else 0
 
 
-def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None = None) -> DataFrame:
-    """``rec_no``, ``raw``, ``err`` and the table's columns of each record of the input."""
+def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None = None, most: int | None = None) -> DataFrame:
+    """``rec_no``, ``raw``, ``err`` and the table's columns of each record of the input, or of a source's first ``most`` rows."""
     send_package(spark)
     registry = registry or Registry()
     f = registry.filter_named(o.FILTER) if o.FILTER else None
@@ -65,7 +65,7 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
     if unknown := set(o.FORCE_NOT_NULL) - set(own.names):
         raise OptionError(f"unknown column {sorted(unknown)[0]}")
     if o.TYPE == "FUNCTION":
-        rows = from_source(spark, registry, o.INPUT)
+        rows = from_source(spark, registry, o.INPUT, most)
         names = [c for c in rows.columns if c != "rec_no"]
         line = columns_as_text([F.col(f"`{c}`") for c in names])
         rows = rows.select("rec_no", line.alias("raw"), F.lit(None).cast(ERR).alias("err"), *(F.col(f"`{c}`") for c in names))
@@ -73,12 +73,12 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
             raise OptionError(f"the function returns {len(names)} columns, {len(spec.columns)} expected")
         rows = rows.select("rec_no", "raw", "err", *(F.col(f"`{a}`").cast(c.spark_type).alias(c.name) for a, c in zip(names, spec.columns, strict=True)))
         return constrain(rows, spec, o.CHECK_CONSTRAINTS)
-    path = spooled(spark) if o.INPUT.lower() == "stdin" else o.INPUT
+    path = spooled(spark, o.TYPE) if o.INPUT.lower() == "stdin" else o.INPUT
     encoding = encoding_named(o.ENCODING) if o.ENCODING else None
     other = None if encoding == "utf-8" else encoding
+    defaults = dict(zip([a.name for a in f.arguments][len(f.arguments) - len(f.defaults) :], f.defaults, strict=True)) if f and f.defaults else None
     if o.TYPE == "CSV":
         records = text.read_records(spark, path, text.Dialect(o.DELIMITER, o.QUOTE, o.ESCAPE), o.SKIP, other)
-        defaults = dict(zip([a.name for a in f.arguments][len(f.arguments) - len(f.defaults) :], f.defaults, strict=True)) if f and f.defaults else None
         least = len(own.columns) - len(defaults or {})
         if f and not own.columns:  # a filter without arguments takes blank lines
             rows = records.select("rec_no", "raw", F.when(F.col("raw") != "", F.struct(F.lit("arity").alias("code"), F.lit(1).alias("col"), F.lit("").alias("msg"))).cast(ERR).alias("err"))
@@ -90,27 +90,83 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
             rows = rows.withColumn("err", F.coalesce("err", bad))
     else:
         fields, stride = parse_layout(o.COL, o.STRIDE)
-        rows = fixed.convert_fields(fixed.read_records(spark, path, stride, o.SKIP), fields, stride, own, other)
+        rows = fixed.convert_fields(fixed.read_records(spark, path, stride, o.SKIP), fields, stride, own, other, defaults)
     if f:
         rows = coerce(apply_filter(rows, f), as_spec(f.result), spec)
     return constrain(rows, spec, o.CHECK_CONSTRAINTS)
 
 
-def spooled(spark: SparkSession) -> str:
-    """Standard input as a file in the shared folder: bytes up to the end or, for text, a line ``\\.``."""
+def spooled(spark: SparkSession, kind: str) -> str:
+    """Standard input as a file in the shared folder: bytes up to the end or, for CSV, a line ``\\.``."""
     path = new_path(spark, "stdin")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    fs, place = table.file_system(spark, path)
+    out = fs.create(place, True)
     try:
-        for line in sys.stdin.buffer:
-            if line.rstrip(b"\r\n") == b"\\.":
-                break
-            out.write(bytearray(line))
+        if kind == "CSV":
+            for line in sys.stdin.buffer:
+                if line.rstrip(b"\r\n") == b"\\.":
+                    break
+                out.write(bytearray(line))
+        else:
+            while data := sys.stdin.buffer.read(1 << 20):
+                out.write(bytearray(data))
     finally:
         out.close()
     return path
 
 
+#: Bytes of an input, and rows of a source, that a load with a bound looks at before it reads everything.
+HEAD_BYTES, HEAD_ROWS = 16 << 20, 1_000
+
+
+def _head(spark: SparkSession, o: LoadOptions) -> str | None:
+    """The first ``HEAD_BYTES`` of a longer input file, up to a line's end, as a file of its own."""
+    fs, place = table.file_system(spark, o.INPUT)
+    if not fs.getFileStatus(place).isFile() or fs.getFileStatus(place).getLen() <= HEAD_BYTES:
+        return None
+    stream = fs.open(place)
+    try:
+        data = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, HEAD_BYTES))
+    finally:
+        stream.close()
+    path = new_path(spark, "head")
+    fs, place = table.file_system(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(data[: data.rfind(b"\n") + 1] if o.TYPE == "CSV" else data))
+    finally:
+        out.close()
+    return path
+
+
+def checked(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None, most: int | None = None) -> DataFrame:
+    """``parsed`` records, with what a fixed-width output can't hold among the errors; written, since functions may not give the same again."""
+    rows = parsed(spark, o, spec, registry, most)
+    if o.WRITER == "BINARY":
+        rows = fixed_sink.check_output(rows, spec.names, parse_layout(o.OUT_COL, output=True)[0])
+    return written(rows)
+
+
+def beginning(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None) -> DataFrame | None:
+    """Records of the input's beginning, if reading ends within it by ``LIMIT`` or ``PARSE_ERRORS``; else None."""
+    if o.LIMIT == INFINITE and o.PARSE_ERRORS == INFINITE:
+        return None
+    most = None
+    if o.TYPE == "FUNCTION":
+        most = HEAD_ROWS
+    elif o.INPUT.lower() == "stdin" or not (path := _head(spark, o)):
+        return None
+    else:
+        o = replace(o, INPUT=path)
+    try:
+        rows = checked(spark, o, spec, registry, most)
+    except text.ShortInput:
+        return None
+    # The last record of a cut input may not be whole.
+    whole = rows.agg(F.max("rec_no")).first()[0] or 0
+    return rows if last_record(rows, o.LIMIT, o.PARSE_ERRORS) < whole else None
+
+
 def load_rows(rows: DataFrame, o: LoadOptions, spec: TableSpec, existing: DataFrame | None = None) -> LoadPlan:
     """From checked records to what stays; ``rows`` is read several times, so it should be cheap or written."""
     last = last_record(rows, o.LIMIT, o.PARSE_ERRORS)
@@ -142,13 +198,13 @@ def load(spark: SparkSession, options: dict[str, str] | list[tuple[str, str]], s
     """
     began, used = time.time(), resource.getrusage(resource.RUSAGE_SELF)
     o = options_of(options)
-    rows = parsed(spark, o, spec, registry)
     if o.WRITER == "BINARY":
         fields, _ = parse_layout(o.OUT_COL, output=True)
-        rows = fixed_sink.check_output(rows, spec.names, fields)
         if os.path.exists(o.OUTPUT) or os.path.exists(f"{o.OUTPUT}.ctl"):
             raise FileExistsError(o.OUTPUT)
-    rows = written(rows)  # functions may not give the same again
+    rows = beginning(spark, o, spec, registry)  # a load that ends early doesn't read on
+    if rows is None:
+        rows = checked(spark, o, spec, registry)
     stored = None if o.WRITER == "BINARY" or o.TRUNCATE else table.read_table(spark, o.OUTPUT, spec.ddl)
     plan = load_rows(rows, o, spec, stored)
     n = plan.summary.first().asDict()

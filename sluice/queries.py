@@ -78,6 +78,16 @@ def csv_quoted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv(rows, ["doc_id", quoted, "lang"], ["doc_id"], spec, DELIMITER=",").accepted
 
 
+def csv_quoted_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the first half of the ids are skipped: more than the first part of the input holds."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit('\n"x"')).alias("text"), "lang")
+    quoted = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    half = rows.agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2)).first()[0]
+    lines = rows.where(F.col("doc_id") < half).agg(F.sum(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"))))).first()[0]
+    spec = spec_of("doc_id bigint, text text, lang text")
+    return _csv(rows, ["doc_id", quoted, "lang"], ["doc_id"], spec, DELIMITER=",", SKIP=str(lines or 0)).accepted
+
+
 def csv_escape_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An escape other than the quote, carriage returns inside quotes, and records that end with CR LF."""
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit('\r\n\\ "x"\\')).alias("text"), "lang")
@@ -166,9 +176,9 @@ def dedup_input_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_existing(spark: SparkSession, sf_dir: str, keep: str) -> LoadPlan:
     rows = _read(spark, sf_dir, "customer")
-    existing = rows.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.lit(-1.0))
+    existing = rows.withColumns({"c_custkey": F.col("c_custkey") * 2, "c_acctbal": F.lit(-1.0)})
     spec = TableSpec(CUSTOMER.columns, (UniqueKey(("c_custkey",)),))
-    return _csv(rows.where("c_custkey % 3 <> 0"), CUSTOMER.names, ["c_custkey"], spec, existing, ON_DUPLICATE_KEEP=keep)
+    return _csv(rows, CUSTOMER.names, ["c_custkey"], spec, existing, ON_DUPLICATE_KEEP=keep)
 
 
 def dedup_keep_new(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,6 +272,19 @@ def fixed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.convert_fields(fixed.read_records(spark, f"file://{path}", stride), fields, stride, spec).where("err IS NULL").select(*spec.names)
 
 
+def fixed_partial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of lineitem, and all but one byte of another one, which is left out."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("rec_no"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    rows = rows.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
+    fields, stride = parse_layout(["BIGINT", "INTEGER", "DOUBLE", "CHAR(19)"], output=True)
+    path = _make_parent(_fixed_path(spark))
+    write_fixed(rows, rows.columns[1:], fields, path)
+    with open(path, "ab") as file:
+        file.write(b"\n" * (stride - 1))
+    spec = spec_of("l_orderkey bigint, l_linenumber int, l_extendedprice double, l_shipdate timestamp")
+    return fixed.convert_fields(fixed.read_records(spark, f"file://{path}", stride), fields, stride, spec).where("err IS NULL").select(*spec.names)
+
+
 def fixed_nullif(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "nation").withColumn("rec_no", F.col("n_nationkey").cast("long"))
     rows = rows.withColumn("n_name", F.expr("CASE WHEN n_nationkey % 4 <> 0 THEN n_name END"))
@@ -333,6 +356,14 @@ def function_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def function_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of a source of 2,147,483,647 is loaded; its beginning is all that is run."""
+    series = Source("series", ("int4", "int4"), lambda s, a, b: s.range(a, b + 1).select(F.col("id").cast("int").alias("n"), F.concat(F.lit("row "), "id").alias("t")))
+    spec, path = spec_of("n int not null, t text"), new_path(spark, "target")
+    load(send_package(spark), {"TYPE": "FUNCTION", "INPUT": "series(1, 2147483647)", "OUTPUT": path, "LIMIT": "1"}, spec, Registry(sources=[series]))
+    return table.read_table(spark, path, spec.ddl)
+
+
 def encoding_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in EUC-JP, some with a byte that it doesn't have; what is well formed comes back as it was."""
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.hex(F.encode(F.regexp_replace("text", "[^\\x00-\\x7F]", ""), "US-ASCII")), F.lit("A4A2")).alias("h"))
@@ -367,10 +398,12 @@ def load_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _first = "SELECT {c} FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY {o}) AS r FROM {t}) WHERE {w}"
 _li, _or, _cu, _pa = (", ".join(s.names) for s in (LINEITEM, ORDERS, CUSTOMER, PART))
+_old = "SELECT c_custkey * 2 AS c_custkey, c_name, c_nationkey, -1.0::DOUBLE AS c_acctbal, c_mktsegment FROM customer"
 
 SQL = {
     "csv_load_lineitem": f"SELECT {_li} FROM lineitem",
     "csv_quoted_documents": "SELECT doc_id, text, lang FROM documents",
+    "csv_quoted_skip": "SELECT doc_id, text || chr(10) || '\"x\"' AS text, lang FROM documents WHERE doc_id >= (SELECT (min(doc_id) + max(doc_id)) // 2 FROM documents)",
     "csv_escape_documents": "SELECT doc_id, text || chr(13) || chr(10) || '\\ \"x\"\\' AS text, lang FROM documents",
     "csv_null_string": "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '\\N' ELSE event_type END AS event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events",
     "csv_force_not_null": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS c_mktsegment FROM customer",
@@ -383,9 +416,9 @@ SQL = {
     "varchar_limit": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN rpad(p_name, 12, ' ') ELSE p_name END AS p_name FROM part WHERE length(p_name) <= 12",
     "decimal_cast": "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(7,2)) AS price FROM lineitem WHERE l_extendedprice < 99999.995",
     "dedup_input_first": _first.format(c=_or, k="o_custkey", o="o_orderkey", t="orders", w="r = 1"),
-    "dedup_keep_new": f"SELECT {_cu} FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, c_name, c_nationkey, -1.0::DOUBLE, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 = 0",
-    "dedup_keep_old": f"SELECT {_cu} FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 <> 0 UNION ALL SELECT c_custkey, c_name, c_nationkey, -1.0::DOUBLE, c_mktsegment FROM customer WHERE c_custkey % 2 = 0",
-    "dedup_rejects": "SELECT 0 AS is_new, c_custkey, c_name, c_nationkey, -1.0::DOUBLE AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0",
+    "dedup_keep_new": f"SELECT {_cu} FROM customer UNION ALL {_old} WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)",
+    "dedup_keep_old": f"SELECT {_cu} FROM customer WHERE c_custkey NOT IN (SELECT c_custkey * 2 FROM customer) UNION ALL {_old}",
+    "dedup_rejects": f"SELECT 0 AS is_new, {_cu} FROM ({_old} WHERE c_custkey * 2 IN (SELECT c_custkey FROM customer))",
     "dedup_two_keys": f"WITH a AS ({_first.format(c=_pa, k='p_partkey % 700', o='p_partkey', t='part', w='r = 1')}) " + _first.format(c=_pa, k="p_name, p_size", o="p_partkey", t="a", w="r = 1"),
     "dedup_nulls_distinct": "WITH e AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id FROM events) " + _first.format(c="event_id, user_id", k="user_id", o="event_id", t="e", w="r = 1 OR user_id IS NULL"),
     "dedup_nulls_not_distinct": "WITH e AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id FROM events) " + _first.format(c="event_id, user_id", k="user_id", o="event_id", t="e", w="r = 1"),
@@ -393,6 +426,7 @@ SQL = {
     "load_summary": "SELECT 0::BIGINT AS skip, count(DISTINCT o_custkey) FILTER (o_orderkey % 10 <> 4) AS count, count(*) FILTER (o_orderkey % 10 = 4) AS parse_errors, count(*) FILTER (o_orderkey % 10 <> 4) - count(DISTINCT o_custkey) FILTER (o_orderkey % 10 <> 4) AS duplicate_new, 0::BIGINT AS duplicate_old FROM orders",
     "fixed_write_roundtrip": "SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity::FLOAT AS l_quantity, l_returnflag, l_linestatus FROM lineitem",
     "fixed_read": "SELECT o_orderkey, (o_custkey % 60000)::INT AS cust, (-(o_orderkey % 3000))::INT AS neg, o_orderpriority, o_orderstatus FROM orders",
+    "fixed_partial_tail": "SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem",
     "fixed_nullif": "SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS n_name, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS n_regionkey FROM nation",
     "unsigned_range_reject": "SELECT p_partkey, p_size AS n FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0",
     "filter_expression": "SELECT event_id * 2 AS event_id, upper(event_type) AS kind, CASE WHEN event_id % 7 <> 0 THEN value + 1 END AS value FROM events",
@@ -400,6 +434,7 @@ SQL = {
     "filter_strict": "SELECT CASE WHEN event_id % 6 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 6 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 6 <> 0 THEN value END AS value FROM events",
     "filter_defaults": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE event_type END AS kind, CASE WHEN event_id % 3 = 2 THEN value ELSE 1.5 END AS value FROM events",
     "function_source": "SELECT i::INT AS n, 'default value' AS t FROM range(-3, 6) r(i) UNION ALL SELECT i::INT, 'it''s' FROM range(7, 10) r(i)",
+    "function_limit": "SELECT 1::INT AS n, 'row 1' AS t",
     "encoding_validate": "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') || chr(12354) AS text FROM documents WHERE doc_id % 6 <> 0",
     "coercion": "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal::DECIMAL(12,2) AS s_acctbal FROM supplier WHERE s_suppkey % 9 <> 0",
     "load_append": "SELECT * FROM nation WHERE n_nationkey < 15 UNION ALL SELECT * FROM nation WHERE n_nationkey >= 10",

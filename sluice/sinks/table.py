@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 POINTER = "_CURRENT"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def current(spark: SparkSession, table: str) -> list[str]:
     """Folders of the current version, relative to the table; none if there is no table yet."""
-    fs, place = _fs(spark, f"{table}/{POINTER}")
+    fs, place = file_system(spark, f"{table}/{POINTER}")
     if not fs.exists(place):
         return []
     stream = fs.open(place)
@@ -43,13 +44,13 @@ def commit(spark: SparkSession, table: str, rows: DataFrame, keep: list[str]) ->
 
     A lock file, which only one load can create, holds from the write to the switch.
     """
-    fs, lock = _fs(spark, f"{table}/_LOCK")
+    fs, lock = file_system(spark, f"{table}/_LOCK")
     if not fs.createNewFile(lock):
         raise RuntimeError(f"another load of {table} is running (or died: then remove {table}/_LOCK)")
     try:
         n = 1 + max((int(s.getPath().getName()[2:]) for s in fs.listStatus(lock.getParent()) if s.getPath().getName().startswith("v=")), default=0)
         rows.write.parquet(f"{table}/v={n}")
-        new, pointer = (_fs(spark, f"{table}/{x}")[1] for x in (f"{POINTER}.{n}", POINTER))
+        new, pointer = (file_system(spark, f"{table}/{x}")[1] for x in (f"{POINTER}.{n}", POINTER))
         stream = fs.create(new, True)
         try:
             stream.write(bytearray(json.dumps({"folders": [*keep, f"v={n}"]}), "utf-8"))

@@ -14,6 +14,7 @@ from ..operators.checks import error, first_of
 from ..plans.spec import TableSpec
 from .layout import Field
 from .ordinal import numbered
+from .text import ShortInput, lines_of
 
 
 def read_records(spark: SparkSession, path: str, stride: int, skip: int = 0) -> DataFrame:
@@ -22,7 +23,7 @@ def read_records(spark: SparkSession, path: str, stride: int, skip: int = 0) ->
     place = jvm.org.apache.hadoop.fs.Path(path)
     size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getLen()
     if size // stride < skip:
-        raise ValueError(f"cannot skip {skip} records: the input has {size // stride}")
+        raise ShortInput(f"cannot skip {skip} records: the input has {size // stride}")
     if size % stride == 0 and size:
         rdd = spark.sparkContext._jsc.binaryRecords(path, stride).rdd()
         rows = DataFrame(spark._jsparkSession.createDataset(rdd, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
@@ -31,14 +32,64 @@ def read_records(spark: SparkSession, path: str, stride: int, skip: int = 0) ->
         )
         found = numbered(rows, "block", "within", "n")
     else:  # Hadoop's reader of fixed records takes whole ones only
-        content = spark.read.format("binaryFile").load(path)
-        starts = F.sequence(F.lit(0), F.lit(size // stride - 1)) if size >= stride else F.array().cast("array<int>")
-        found = content.select("content", F.explode(starts).alias("i")).select(
-            (F.col("i") + 1).cast("long").alias("n"), F.substring("content", F.col("i") * stride + 1, F.lit(stride)).alias("raw")
-        )
+        found = _by_lines(spark, path, stride, size // stride)
     return found.where(F.col("n") > skip).select((F.col("n") - skip).alias("rec_no"), "raw")
 
 
+def _by_lines(spark: SparkSession, path: str, stride: int, n: int) -> DataFrame:
+    """``n``, ``raw`` of the first ``n`` records, of a file of any size.
+
+    The file is read in parallel like text, as runs of bytes between line feeds. Their lengths, summed for each block
+    that a task reads, tell where a block begins; it is cut at multiples of ``stride``, and records that cross blocks are put
+    together from their parts, which are the only rows that are shuffled. A run without a line feed must stay below 2 GiB.
+    """
+    lines = lines_of(spark, path).select("block", F.col("value").cast("binary").alias("value"))
+    sizes = lines.groupBy("block").agg(F.sum(F.octet_length("value") + 1).alias("size")).orderBy("block").collect()
+    starts, at = {}, 0
+    for b in sizes:  # a row for each part of the file that a task reads
+        starts[b["block"]] = at
+        at += b["size"]
+    sent = spark.sparkContext.broadcast(starts)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole records, and parts of others with the byte of the record at which they begin."""
+        current, at, rest = None, 0, b""
+
+        def parts(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at, rest
+            head = min(-at % stride, len(rest))
+            whole = (len(rest) - head) // stride
+            last = head + whole * stride
+            rows = [(at // stride + 1, at % stride, rest[:head])] if head else []
+            rows += [((at + k) // stride + 1, 0, rest[k : k + stride]) for k in range(head, last, stride)]
+            if end and last < len(rest):
+                rows.append(((at + last) // stride + 1, 0, rest[last:]))
+            at, rest = at + last, b"" if end else rest[last:]
+            if rows := [x for x in rows if x[0] <= n]:
+                kinds = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["n", "at", "raw"])
+
+        for batch in batches:
+            names, values = (x.to_pylist() for x in batch.columns)
+            bounds = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a < b and names[a] != current:
+                    yield from parts(True)
+                    current = names[a]
+                    at = sent.value[current]
+                rest = b"\n".join([rest + values[a], *values[a + 1 : b], b""]) if a < b else rest
+                if len(rest) >= max(stride, 1 << 20):
+                    yield from parts(False)
+        yield from parts(True)
+
+    rows = lines.mapInArrow(cut, "n long, at long, raw binary")
+    whole = F.octet_length("raw") == stride
+    # Parts come in order of their bytes; a line feed that the file does not end with lies beyond the last whole record.
+    crossed = rows.where(~whole).groupBy("n").agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda x, y: F.concat(x, y["raw"]))
+    return rows.where(whole).select("n", "raw").unionByName(crossed.select("n", F.substring(joined, 1, stride).alias("raw")))
+
+
 def _utf8(data: bytes, encoding: str | None) -> bytes:
     """Bytes of another encoding as UTF-8; a byte that UTF-8 doesn't have if they are malformed."""
     if not encoding:
@@ -122,13 +173,14 @@ def _rounded(value: Column, digits: int) -> Column:
 
 
 def convert_fields(
-    records: DataFrame, fields: list[Field], stride: int, spec: TableSpec, encoding: str | None = None
+    records: DataFrame, fields: list[Field], stride: int, spec: TableSpec, encoding: str | None = None, defaults: dict | None = None
 ) -> DataFrame:
-    """``rec_no``, ``raw``, ``err`` and the columns of ``spec``, one field each."""
-    if len(fields) != len(spec.columns):
+    """``rec_no``, ``raw``, ``err`` and the columns of ``spec``, one field each; trailing ones without a field take their value in ``defaults``."""
+    missing = spec.columns[len(fields) :]
+    if len(fields) > len(spec.columns) or any(c.name not in (defaults or {}) for c in missing):
         raise ValueError(f"{len(fields)} COL for {len(spec.columns)} columns")
     columns, errors = [], []
-    for i, (f, c) in enumerate(zip(fields, spec.columns, strict=True)):
+    for i, (f, c) in enumerate(zip(fields, spec.columns, strict=False)):
         own = F.col(f"f{i}")
         if f.code and (c.spark_type in ("smallint", "int", "bigint", "float", "double") or c.base in ("numeric", "decimal")):
             columns.append(number_as(own, f, c.spark_type).alias(c.name))
@@ -140,4 +192,5 @@ def convert_fields(
         columns.append(typed(text, c).cast(c.spark_type).alias(c.name))
         wrong = code(text, c)
         errors.append(F.when(wrong.isNotNull(), error(wrong, i + 1, c.name)))
+    columns += [F.lit(defaults[c.name]).cast(c.spark_type).alias(c.name) for c in missing]
     return decoded(records, fields, stride, encoding).select("rec_no", "raw", first_of(errors).alias("err"), *columns)

@@ -16,7 +16,7 @@ from sluice.sources import text
 from sluice.sources.layout import parse_field, parse_layout, spelled
 
 TARGET = spec_of("id int not null, str text not null, master int", (UniqueKey(("id",)), UniqueKey(("str",))), (("short", "length(str) < 10"),))
-DATA5 = "1,aaa,1\n2,1234567890,1\n3,,1\n4,aaa,1\n1,bbb,1\n,ccc,1\n5,ddd,4\n6,eee,6\n,,\n7,fff,7\n"
+DATA5 = "10,ant,0\n20,centipedes,0\n30,,5\n40,ant,5\n10,bee,0\n,cow,5\n50,dog,2\n60,elk,3\n,,\n70,fox,8\n"
 
 
 @pytest.fixture
@@ -36,12 +36,12 @@ def run(spark, tmp_path):
 
 def test_constraints_and_two_keys(run):
     assert run(DATA5, TARGET) == (0, 5, 3, 2, 0)
-    assert run.rows(TARGET) == sorted([(1, "aaa", 1), (2, "1234567890", 1), (5, "ddd", 4), (6, "eee", 6), (7, "fff", 7)], key=str)
+    assert run.rows(TARGET) == sorted([(10, "ant", 0), (20, "centipedes", 0), (50, "dog", 2), (60, "elk", 3), (70, "fox", 8)], key=str)
 
 
 def test_cap_stops_reading_and_commits(run):
     assert run(DATA5, TARGET, PARSE_ERRORS="2", PARSE_BADFILE=str(run.folder / "bad")) == (0, 4, 3, 2, 0)
-    assert (run.folder / "bad").read_text() == "3,,1\n,ccc,1\n,,\n"
+    assert (run.folder / "bad").read_text() == "30,,5\n,cow,5\n,,\n"
 
 
 def test_checks_only_if_asked(run):
@@ -57,7 +57,7 @@ def test_too_many_duplicates_change_nothing(run):
     assert not (run.folder / "table" / "_LOCK").exists()
 
 
-DATA9, DATA10 = '1,"one"\n2,"two"\n,"three"\n,"four"\n', '5,"five_"\n6,"six_"\n,"seven_"\n,"eight_"\n'
+DATA9, DATA10 = '7,"red"\n8,"blue"\n,"green"\n,"grey"\n', '3,"oak"\n4,"elm"\n,"ash"\n,"fir"\n'
 
 
 def test_null_keys(run):
@@ -65,7 +65,7 @@ def test_null_keys(run):
     assert run(DATA9, distinct) == (0, 4, 0, 0, 0)
 
 
-@pytest.mark.parametrize(("keep", "counts", "survivor"), [("NEW", (0, 3, 0, 1, 1), "seven_"), ("OLD", (0, 2, 0, 2, 0), "three")])
+@pytest.mark.parametrize(("keep", "counts", "survivor"), [("NEW", (0, 3, 0, 1, 1), "ash"), ("OLD", (0, 2, 0, 2, 0), "green")])
 def test_null_keys_alike(run, keep, counts, survivor):
     spec = spec_of("i int, t text", (UniqueKey(("i",), nulls_distinct=False),))
     assert run(DATA9, spec) == (0, 3, 0, 1, 0)
@@ -282,15 +282,93 @@ def test_log_and_cli(run, capsys, monkeypatch):
     assert cli.main([str(run.folder / "a.ctl"), "--columns", "i int", "-o", "BAD=1"]) == 1
 
 
-def test_stream(spark, run):
-    from sluice.streaming.batches import load_stream
-
-    (run.folder / "in").mkdir()
-    (run.folder / "in" / "a.txt").write_text("1,a\n2,b\n1,c\nx,d\n")
-    spec = spec_of("i int, t text", (UniqueKey(("i",)),))
-    o = options_of({"INPUT": "/in", "OUTPUT": str(run.folder / "table"), "PARSE_ERRORS": "-1"})
-    load_stream(spark.readStream.text(str(run.folder / "in")), o, spec, str(run.folder / "cp")).awaitTermination()
-    assert run.rows(spec) == [(1, "a"), (2, "b")]
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_skip_goes_beyond_the_first_block(spark, tmp_path, small_splits):
+    head = "".join(f'header line {i} with " one quote\n' for i in range(20))
+    for records, n in (('1,"a"\n2,"b"\n', 2), ("1,a\n2,b\n", 2), ('1,"a\n\n\nb"\r2,"b"\r\n' * 30, 60)):
+        (tmp_path / "in.csv").write_text(head + records)
+        rows = text.read_records(spark, str(tmp_path / "in.csv"), skip=20).orderBy("rec_no").collect()
+        assert [r.rec_no for r in rows] == list(range(1, n + 1)) and all(len(r.fields) == 2 for r in rows)
+    (tmp_path / "in.csv").write_text('a\rb\r\nc\n"d"\n')
+    assert [r.raw for r in text.read_records(spark, str(tmp_path / "in.csv"), skip=1).orderBy("rec_no").collect()] == ["b", "c", '"d"']
+    with pytest.raises(text.ShortInput):
+        text.read_records(spark, str(tmp_path / "in.csv"), skip=5)
+
+
+def test_records_that_are_too_long(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(text, "MOST_CHARS", 1000)
+    lines = ['1,"a"', '2,"' + "x\n" * 2000 + '"', "3," + "y" * 900, "4," + "z" * 2000, '5,"b"', '6,"never closed'] + ["more"] * 500
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    rows = text.read_records(spark, str(tmp_path / "in.csv")).orderBy("rec_no").collect()
+    assert [(r.rec_no, r.raw[:2], r.fields is None) for r in rows] == [(1, "1,", False), (2, "2,", True), (3, "3,", False), (4, "4,", True), (5, "5,", False), (6, "6,", True)]
+    assert all(len(r.raw) < 3200 for r in rows)
+
+
+def test_partial_tail_in_many_splits(spark, tmp_path, small_splits):
+    from sluice.sources import fixed
+
+    rng = random.Random(3)
+    for stride, n, tail in ((7, 400, 3), (1, 500, 0), (300, 9, 299), (13, 0, 5), (64, 100, 1)):
+        data = bytes(rng.choice(b"\n\x00\xffab") for _ in range(stride * n + tail))
+        (tmp_path / "in.bin").write_bytes(data)
+        rows = fixed._by_lines(spark, str(tmp_path / "in.bin"), stride, n).orderBy("n").collect()
+        assert [r.n for r in rows] == list(range(1, n + 1))
+        assert b"".join(bytes(r.raw) for r in rows) == data[: stride * n]
+    assert fixed.read_records(spark, str(tmp_path / "in.bin"), 64, skip=98).count() == 2
+    with pytest.raises(text.ShortInput):
+        fixed.read_records(spark, str(tmp_path / "in.bin"), 64, skip=101)
+
+
+def test_standard_input(spark, monkeypatch):
+    import io
+
+    from sluice.plans.load import spooled
+
+    for kind, want in (("CSV", b"1,a\n"), ("BINARY", b"1,a\n\\.\n\x00\xff\n\\")):
+        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"1,a\n\\.\n\x00\xff\n\\")))
+        found = spark.read.format("binaryFile").load(spooled(spark, kind)).first()
+        assert bytes(found.content) == want
+
+
+def test_a_bounded_load_reads_the_beginning(run, spark, monkeypatch):
+    from sluice.plans import load as module
+
+    monkeypatch.setattr(module, "HEAD_BYTES", 100)
+    seen, whole = [], module.parsed
+    monkeypatch.setattr(module, "parsed", lambda s, o, *rest: seen.append(o.INPUT) or whole(s, o, *rest))
+    spec = spec_of("i int, t text")
+    data = "".join(f'{i},"text\n{i}"\n' for i in range(1, 500))
+    assert run(data, spec, LIMIT="3") == (0, 3, 0, 0, 0) and len(seen) == 1 and "head" in seen[0]
+    assert run("x,y\n" * 300, spec, PARSE_ERRORS="4", TRUNCATE="YES") == (0, 0, 5, 0, 0) and len(seen) == 2
+    assert run(data, spec, LIMIT="300", TRUNCATE="YES") == (0, 300, 0, 0, 0) and len(seen) == 4
+    assert run(data, spec, SKIP="600", LIMIT="3", TRUNCATE="YES") == (600, 3, 0, 0, 0)
+    assert [i for i, _ in run.rows(spec)] == [301, 302, 303]
+
+
+def test_times_and_booleans(run):
+    from datetime import datetime
+
+    spec = spec_of("t timestamp, b boolean")
+    data = "2020-01-31 24:00:00,on\n2020-01-31 23:59:59.9999996,tr\n2020-01-01 00:00:00.1234567,OFF\n2020-01-01 24:00:01,1\n2020-01-01,o\n2020-12-31 24:00,fals\n"
+    assert run(data, spec) == (0, 4, 2, 0, 0)
+    assert run.rows(spec) == sorted([(datetime(2020, 2, 1), True), (datetime(2020, 2, 1), True), (datetime(2020, 1, 1, 0, 0, 0, 123457), False), (datetime(2021, 1, 1), False)], key=str)
+
+
+def test_numbers_of_fields_in_errors(spark, tmp_path):
+    from sluice.operators.checks import convert_fields
+
+    (tmp_path / "in.csv").write_text("1,2,3,4,5\n1\n1,2,x\n")
+    found = convert_fields(text.read_records(spark, str(tmp_path / "in.csv")), spec_of("a int, b int, c int")).orderBy("rec_no").collect()
+    assert [(r.err.code, r.err.col, r.err.msg) for r in found] == [
+        ("arity", 5, "extra data after last expected column"), ("arity", 1, 'missing data for column "b"'), ("syntax", 3, "c"),
+    ]
 
 
 @pytest.mark.parametrize(("encoding", "counts"), [(None, (0, 9, 0, 0, 0)), ("UTF8", (0, 6, 3, 0, 0)), ("EUC_JP", (0, 6, 3, 0, 0))])
