@@ -15,13 +15,15 @@ from .runtime import components, written
 
 #: Points of a block, which one tree covers.
 BLOCK = 4096
-#: Cells of the trees' common top.
-CELLS = 64
+#: Points for each cell of the trees' common top, and the most cells, whose centres every task gets.
+CELL_POINTS, MOST_CELLS = 1024, 4096
 #: Radius of the first level below a block's root; each further level halves it.
 RADIUS = 1.0
 LEVELS = 12
 #: Node pairs with so many point pairs are computed at once instead of going down another level.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 14
+#: Node pairs with fewer point pairs than this are computed many at a time.
+FEW = 256
 #: Lengths may be wrong by so much.
 SLACK = 1e-7
 #: Cosines in single precision may be wrong by so much.
@@ -82,37 +84,28 @@ def build(points: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> Tree:
     return Tree(points[order], ids[order], weights[order], first.astype(np.int64), size.astype(np.int64), far, child, below)
 
 
-def _pairs_below(a: Tree, b: Tree, p: np.ndarray, q: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that replace node pairs: the children of the wider node with the other one."""
-    down = (a.radius[p] >= b.radius[q]) & (a.below[p] > 0) | (b.below[q] == 0)
-    if same:
-        down |= p == q
-    times = np.where(down, a.below[p], b.below[q])
-    row = np.repeat(np.arange(len(p)), times)
-    turn = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-    new_p = np.where(down[row], a.child[p[row]] + turn, p[row])
-    new_q = np.where(down[row], q[row], b.child[q[row]] + turn)
-    return new_p, new_q
+def _below(tree: Tree, node: int) -> np.ndarray:
+    """A node's children, or itself if it has none."""
+    return np.arange(tree.child[node], tree.child[node] + tree.below[node]) if tree.below[node] else np.array([node])
 
 
-def _narrow(tree: Tree) -> np.ndarray:
-    """The first nodes on the way down whose radius is small; together they hold all points."""
-    found, last = [], np.zeros(1, np.int64)
-    while len(last):
-        wide = (tree.radius[last] > RADIUS / 3) & (tree.below[last] > 0)
-        found.append(last[~wide])
-        last = np.concatenate([np.arange(0), *(np.arange(c, c + n) for c, n in zip(tree.child[last[wide]], tree.below[last[wide]], strict=True))])
-    return np.concatenate(found)
+@dataclass
+class Visits:
+    """Node pairs that the walk looked at, those that it dropped, and the point pairs that it computed."""
+
+    seen: int = 0
+    pruned: int = 0
+    points: int = 0
 
 
-def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def dual(a: Tree, b: Tree, cosine: float, same: bool, visits: Visits | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of each point of ``a`` and of ``b`` to points of the other tree, and links that connect what is linked.
 
-    From the roots down, pairs of nodes are dropped if their centres are farther apart than the threshold and both
-    radii allow. Wide nodes can't be pruned, so the walk starts at the narrow ones, all pairs of them at once; below,
-    pairs of few points are computed outright. With ``same`` both trees are one, and each pair of points is met in both
-    directions.
+    The walk begins at the roots. A pair of nodes is dropped if their centres are farther apart than the threshold and
+    both radii allow; of the others, pairs of few points are computed, and the rest is replaced by all pairs of their
+    children. With ``same`` both trees are one, and each pair of points is met in both directions.
     """
+    visits = visits or Visits()
     far = np.sqrt(2.0 - 2.0 * cosine) + SLACK
     links_a, links_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
     found: dict[int, int] = {}
@@ -154,51 +147,57 @@ def dual(a: Tree, b: Tree, cosine: float, same: bool) -> tuple[np.ndarray, np.nd
         columns = np.flatnonzero(across < none)
         connect(b.ids[j][columns], a.ids[i][across[columns]])
 
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        """Single point pairs."""
+        if same:
+            i, j = i[i != j], j[i != j]
+        linked = np.einsum("ij,ij->i", a.points[i], b.points[j]) >= cosine
+        i, j = i[linked], j[linked]
+        np.add.at(links_a, i, b.weights[j])
+        np.add.at(links_b, j, a.weights[i])
+        connect(a.ids[i], b.ids[j])
+
     def visit(p: np.ndarray, q: np.ndarray) -> None:
-        """Node pairs that are not dropped: computed where small, otherwise replaced by those below."""
-        small = a.size[p] * b.size[q] <= AT_ONCE
-        deep = (a.below[p] == 0) & (b.below[q] == 0)
-        single = (a.size[p] == 1) & (b.size[q] == 1)
-        for s, t in zip(p[(small | deep) & ~single].tolist(), q[(small | deep) & ~single].tolist(), strict=True):
+        """Node pairs near enough: computed where small or without children, otherwise left for ``expand``."""
+        times = a.size[p] * b.size[q]
+        small = (times <= AT_ONCE) | (a.below[p] == 0) & (b.below[q] == 0)
+        few = small & (times <= FEW)
+        ends = np.cumsum(times[few])
+        for k in range(0, int(ends[-1]) if len(ends) else 0, 1 << 16):
+            turn = np.arange(k, min(k + (1 << 16), ends[-1]))
+            pair = np.searchsorted(ends, turn, "right")
+            turn -= ends[pair] - times[few][pair]
+            s, t = p[few][pair], q[few][pair]
+            meet(a.first[s] + turn // b.size[t], b.first[t] + turn % b.size[t])
+        for s, t in zip(p[small & ~few].tolist(), q[small & ~few].tolist(), strict=True):
             for at in range(a.first[s], a.first[s] + a.size[s], 1024):
                 rows = slice(at, min(at + 1024, a.first[s] + a.size[s]))
                 compute(rows, slice(b.first[t], b.first[t] + b.size[t]))
-        i, j = a.first[p[single]], b.first[q[single]]
-        if same:
-            i, j = i[i != j], j[i != j]
-        if len(i):
-            linked = np.einsum("ij,ij->i", a.points[i], b.points[j]) >= cosine
-            i, j = i[linked], j[linked]
-            np.add.at(links_a, i, b.weights[j])
-            np.add.at(links_b, j, a.weights[i])
-            connect(a.ids[i], b.ids[j])
-        rest = ~(small | deep)
-        if rest.any():
-            descend(p[rest], q[rest])
-
-    def descend(p: np.ndarray, q: np.ndarray) -> None:
-        for at in range(0, len(p), 64):
-            new_p, new_q = _pairs_below(a, b, p[at : at + 64], q[at : at + 64], same)
-            near_pairs(new_p, new_q)
-
-    def near_pairs(p: np.ndarray, q: np.ndarray) -> None:
-        """Visits those of the node pairs that are near enough."""
-        for k in range(0, len(p), 1 << 16):
-            s, t = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-            apart = _distance(np.einsum("ij,ij->i", a.points[a.first[s]], b.points[b.first[t]]))
-            near = apart <= far + a.radius[s] + b.radius[t]
-            if near.any():
-                visit(s[near], t[near])
-
-    # The narrow nodes, as one product. Single precision and their greatest radii leave out nearly all pairs; the rest
-    # are looked at one by one.
-    s, t = _narrow(a), _narrow(b)
-    reach = min(2.0, far + a.radius[s].max() + b.radius[t].max())
-    least = np.float32(1.0 - reach * reach / 2.0 - ROUGH)
-    rough_a, rough_b = (x.points[x.first[y]].astype(np.float32) for x, y in ((a, s), (b, t)))
-    for at in range(0, len(s), 512):
-        x, y = np.nonzero(rough_a[at : at + 512] @ rough_b.T >= least)
-        near_pairs(s[at + x], t[y])
+        visits.points += int(times[small].sum())
+        waiting.extend(zip(p[~small].tolist(), q[~small].tolist(), strict=True))
+
+    def expand(s: np.ndarray, t: np.ndarray) -> None:
+        """All pairs of nodes as one product in single precision, which leaves out most; the rest is looked at again."""
+        rough, wide = rough_b[b.first[t]].T, (far + b.radius[t]).astype(np.float32)
+        for at in range(0, len(s), 512):
+            part = s[at : at + 512]
+            reach = np.minimum(a.radius[part].astype(np.float32)[:, None] + wide, np.float32(2.0))
+            x, y = np.nonzero(rough_a[a.first[part]] @ rough >= np.float32(1.0 - ROUGH) - reach * reach * np.float32(0.5))
+            visits.seen += len(part) * len(t)
+            visits.pruned += len(part) * len(t) - len(x)
+            for k in range(0, len(x), 1 << 16):
+                p, q = part[x[k : k + (1 << 16)]], t[y[k : k + (1 << 16)]]
+                apart = _distance(np.einsum("ij,ij->i", a.points[a.first[p]], b.points[b.first[q]]))
+                near = apart <= far + a.radius[p] + b.radius[q]
+                visits.pruned += int((~near).sum())
+                visit(p[near], q[near])
+
+    waiting: list[tuple[int, int]] = []
+    rough_a, rough_b = a.points.astype(np.float32), b.points.astype(np.float32)
+    expand(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    while waiting:
+        s, t = waiting.pop()
+        expand(_below(a, s), _below(b, t))
     return links_a, links_b, [(x, top(x)) for x in list(found)]
 
 
@@ -214,10 +213,10 @@ def embedding_links(
     """``id``, ``n_links``, ``component`` of each vector: how many others have a cosine of at least ``cosine``, in
     double precision, and the smallest id reachable by such links.
 
-    Equal vectors are one class from the start. A bounded set of centres, the top of the tree, divides the classes
-    into cells; a cell is divided by hash into blocks of about ``block`` points, so no cell outgrows a task, and each
-    block gets a cover tree of its own, once. Then every pair of blocks whose cells are near enough for a link is
-    traversed in a task of its own. No pair of vectors leaves a task: a vector's number of links does, and one link to
+    Equal vectors are one class from the start. Centres, the top of the tree, divide the classes into cells: one for
+    ``CELL_POINTS`` classes, so that denser regions have more, but ``MOST_CELLS`` at most. A cell of more than ``block``
+    points is divided by hash, so no cell outgrows a task, and each block gets a cover tree of its own, once. Then every
+    pair of blocks whose cells are near enough for a link is traversed in a task of its own, from the roots down. No pair of vectors leaves a task: a vector's number of links does, and one link to
     the smallest member of what the task connected.
 
     Vectors that are null or zero, or hold null or non-finite components, link with nothing; shorter vectors count as
@@ -240,7 +239,8 @@ def embedding_links(
         found[np.arange(width)[None, :] < sizes[:, None]] = flat
         return found
 
-    picked = classes.orderBy(F.xxhash64("id"), "id").limit(CELLS).select("v").toArrow()["v"].combine_chunks()
+    wanted = min(MOST_CELLS, -(-classes.count() // CELL_POINTS))
+    picked = classes.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").toArrow()["v"].combine_chunks()
     centres = _unit(matrix(picked)) if len(picked) else np.zeros((0, width))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,20 +258,23 @@ def embedding_links(
     points = classes.mapInArrow(assign, "id long, n long, data binary, cell int, apart double")
     points = written(points)
     cells = points.groupBy("cell").agg(F.count("*").alias("n"), F.max("apart").alias("far")).orderBy("cell").collect()
-    # At most one row a cell: how many blocks each is divided into, and which cells are near enough to each other.
-    first, blocks = {}, []
+    # At most one row a cell: its first block, how many it is divided into, and how far its points reach.
+    plan, start = [], 0
     for r in cells:
-        first[r["cell"]] = (len(blocks), -(-r["n"] // block))
-        blocks += [r["cell"]] * first[r["cell"]][1]
+        plan.append((r["cell"], start, -(-r["n"] // block), r["far"]))
+        start += plan[-1][2]
     far = np.sqrt(2.0 - 2.0 * cosine) + SLACK
-    radius = {r["cell"]: r["far"] for r in cells}
-    near = {
-        c: [e for d in radius if _distance(centres[c] @ centres[d]) <= far + radius[c] + radius[d] for e in range(first[d][0], sum(first[d]))]
-        for c in radius
-    }
-    place = F.lit(0)
-    for c, (start, n) in first.items():
-        place = F.when(F.col("cell") == c, F.lit(start) + F.pmod(F.xxhash64("id"), F.lit(n))).otherwise(place)
+    sent = spark.sparkContext.broadcast((centres, np.array([x[0] for x in plan], np.int64), plan))
+    places = spark.createDataFrame([x[:3] for x in plan], "cell int, first int, blocks int")
+    place = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+
+    def partners_of(cell: int) -> list[int]:
+        """Blocks of the cells that are near enough for a link."""
+        centres, own, plan = sent.value
+        apart = _distance(centres[own] @ centres[cell])
+        reach = far + np.array([x[3] for x in plan])
+        near = np.flatnonzero(apart <= reach + reach[own == cell][0] - far)
+        return [e for k in near.tolist() for e in range(plan[k][1], plan[k][1] + plan[k][2])]
 
     def plant(table: pa.Table) -> pa.Table:
         values = np.frombuffer(b"".join(table["data"].to_pylist()), kind).reshape(-1, width)
@@ -281,7 +284,7 @@ def embedding_links(
         own = table["block"][0].as_py()
         cell = table["cell"][0].as_py()
         columns = [values[tree.ids].tobytes(), ids.tobytes(), tree.weights.tobytes(), nodes.tobytes()]
-        partners = near[cell]
+        partners = partners_of(cell)
         return pa.table(
             {
                 "block": pa.array([own], pa.int32()),
@@ -291,7 +294,8 @@ def embedding_links(
         )
 
     schema = "block int, partners array<int>, points binary, ids binary, weights binary, nodes binary"
-    trees = points.withColumn("block", place.cast("int")).groupBy("block").applyInArrow(plant, schema)
+    dealt = points.join(F.broadcast(places), "cell").withColumn("block", place)
+    trees = dealt.drop("first", "blocks").groupBy("block").applyInArrow(plant, schema)
     dealt = written(trees).select(
         F.explode("partners").alias("other"), "block", "points", "ids", "weights", "nodes"
     )

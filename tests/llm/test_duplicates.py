@@ -6,6 +6,7 @@ import xxhash
 from conftest import CLASHING
 
 from sluice.llm import near_copies, simhash
+from sluice.llm import cover_tree
 from sluice.llm.cover_tree import embedding_links
 from sluice.llm.runtime import components
 from sluice.llm.simhash import drop_near_duplicates, fingerprint, keys_of, near_duplicates
@@ -164,3 +165,30 @@ def test_bands_find_pairs_of_just_enough_similarity():
     a, b = sets[:, :90], np.concatenate([sets[:, :80], sets[:, 90:100]], axis=1)  # 80 of 100 in common
     keys = [near_copies.band_keys(np.array([near_copies.least_hashes(x) for x in side])) for side in (a, b)]
     assert (keys[0] == keys[1]).any(axis=1).mean() > 0.9995
+
+
+def test_walk_prunes_and_loses_nothing(monkeypatch):
+    """Trees against brute force, down to single points, with the node pairs that were looked at and dropped."""
+    rng = np.random.default_rng(5)
+    for seed, (groups, size, width, noise) in enumerate([(40, 25, 16, 0.02), (8, 100, 64, 0.03), (300, 1, 64, 0), (2, 300, 4, 0.2)]):
+        centres = rng.normal(size=(groups, width))
+        v = np.repeat(centres, size, axis=0) + rng.normal(size=(groups * size, width)) * noise
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        half = len(v) // 2
+        order = rng.permutation(len(v))
+        weights = rng.integers(1, 4, len(v))
+        trees = [cover_tree.build(v[x], x.astype(np.int64), weights[x]) for x in (order[:half], order[half:])]
+        for at_once in (1, 1 << 14):
+            monkeypatch.setattr(cover_tree, "AT_ONCE", at_once)
+            for a, b, same in ((trees[0], trees[1], False), (trees[0], trees[0], True)):
+                near = a.points @ b.points.T >= 0.95
+                if same:
+                    np.fill_diagonal(near, False)
+                visits = cover_tree.Visits()
+                links_a, links_b, pairs = cover_tree.dual(a, b, 0.95, same, visits)
+                assert links_a.tolist() == (near @ b.weights).tolist() and links_b.tolist() == (a.weights @ near).tolist()
+                linked = {int(x) for x in a.ids[near.any(axis=1)]} | {int(x) for x in b.ids[near.any(axis=0)]}
+                assert {x for x, _ in pairs} == linked
+                assert visits.seen > 0 and visits.pruned <= visits.seen
+                if groups > 2 and size > 1:  # what lies apart is dropped before its points are met
+                    assert visits.points < 0.5 * near.size and visits.pruned > 0
