@@ -31,7 +31,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, class_col: str, size: int
     The sampled ids are at most ``size`` a class, so they are broadcast and the texts are not shuffled. Null texts are
     empty; ids without a document are left out.
     """
-    own = labels.select(id_col, class_col).dropDuplicates([id_col])
+    own = labels.groupBy(id_col).agg(F.min(class_col).alias(class_col))
     picked = own.where(picked_by_class(own, class_col, size, id_col)).select(F.col(id_col).alias("_id"), F.col(class_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), texts["id"] == picked["_id"]).select("id", "label", "text")

@@ -18,8 +18,8 @@ from .sampling import labelled_texts
 WORDS = re.compile(r"[^\W\d_]{3,}")
 #: A window is a word, repeated with a space to at least so many bytes: zstandard's headers hide shorter ones.
 WINDOW = 24
-#: Bytes of a dictionary. What is in it is near its end, where matches are cheap.
-DICTIONARY = 16_384
+#: Bytes of the part of a dictionary that zstandard trains; behind it stand all windows that were chosen.
+TRAINED = 8_192
 #: Compression level; lower ones miss matches in texts as short as a window.
 LEVEL = 5
 REMEMBERED = 100_000
@@ -55,10 +55,10 @@ def dictionary_of(words: list[tuple[str, int]]) -> bytes:
     content = b""
     try:
         samples = [x for x, n in windows for _ in range(min(n, 30))]
-        content = zstandard.train_dictionary(DICTIONARY // 2, samples, level=LEVEL).as_bytes()
+        content = zstandard.train_dictionary(TRAINED, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         pass
-    return (content + b"".join(x for x, _ in windows))[-DICTIONARY:]
+    return content + b"".join(x for x, _ in windows)
 
 
 class Distance:
@@ -124,8 +124,9 @@ def settings_of(texts: DataFrame) -> DataFrame:
     return found.groupBy("word", "half").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("ordinary"))
 
 
-def telling_words(counts: DataFrame, least: int, ratio: float = 10.0, most: int = 1200) -> tuple[list, list]:
-    """Words (with counts) of toxic texts that ordinary ones lack, and frequent ordinary words: at most ``most`` each.
+def telling_words(counts: DataFrame, least: int, ratio: float = 10.0) -> tuple[list, list]:
+    """Words (with counts) of toxic texts that ordinary ones lack, and as many of the most frequent ordinary words (100 at
+    least), so that neither dictionary is favoured. The sample's rows bound both.
 
     Toxic ones stand in ``least`` settings or more and, by share, ``ratio`` times as often as in ordinary texts.
     """
@@ -133,8 +134,8 @@ def telling_words(counts: DataFrame, least: int, ratio: float = 10.0, most: int
     if not toxic or not ordinary:
         return [], []
     often = (F.col("toxic") + 0.5) / toxic > ratio * (F.col("ordinary") + 0.5) / ordinary
-    bad = counts.where(often & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "word").limit(most).collect()
-    good = counts.where(~often).orderBy(F.desc("ordinary"), "word").limit(most).collect()
+    bad = counts.where(often & (F.col("toxic") >= least)).orderBy(F.desc("toxic"), "word").collect()
+    good = counts.where(~often).orderBy(F.desc("ordinary"), "word").limit(max(100, len(bad))).collect()
     return [(r["word"], r["toxic"]) for r in bad], [(r["word"], r["ordinary"]) for r in good]
 
 
