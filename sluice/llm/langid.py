@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .runtime import schema_of, written
 from .sampling import picked_by_class
@@ -46,10 +47,12 @@ class LanguageModel:
 
 
 def _table(counts: DataFrame, name: str, languages: list[str], size: int) -> tuple[dict[str, int], np.ndarray]:
-    """The ``size`` most frequent names and their smoothed log frequencies in each language."""
+    """The ``size`` most frequent names of each language and their smoothed log frequencies in every language."""
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
+    best = counts.withColumn("_rank", rank).where(F.col("_rank") <= size).select(name).distinct()
     sums = [F.sum(F.when(F.col("lang") == x, F.col("n"))).alias(f"n{i}") for i, x in enumerate(languages)]
-    top = counts.groupBy(name).agg(F.sum("n").alias("n"), *sums).orderBy(F.desc("n"), name).limit(size).toPandas()
+    top = counts.join(best, name).groupBy(name).agg(F.sum("n").alias("n"), *sums).orderBy(name).toPandas()
     n = top[[f"n{i}" for i in range(len(languages))]].fillna(0).to_numpy(np.float64).reshape(len(top), len(languages))
     total = np.array([totals.get(x, 0) for x in languages], np.float64)
     scores = np.log((n + 0.1) / (total + 0.1 * (len(top) + 1))).astype(np.float32)
@@ -62,13 +65,13 @@ def fit_language_model(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample: int = 2000,
-    most_words: int = 60_000,
-    most_grams: int = 120_000,
+    most_words: int = 15_000,
+    most_grams: int = 30_000,
 ) -> LanguageModel:
     """Count words and character n-grams of about ``sample`` documents of each language, chosen by a hash of their id.
 
-    Whole texts are counted, in Spark; the model keeps the ``most_words`` and ``most_grams`` most frequent ones, which
-    bounds what is collected and sent to the tasks. Rows without language or text teach nothing. Without any rows the
+    Whole texts are counted, in Spark; the model keeps the ``most_words`` and ``most_grams`` most frequent ones of each
+    language, so that no language crowds out another one; this bounds what is collected and sent to the tasks. Rows without language or text teach nothing. Without any rows the
     model knows no language.
     """
     condition = picked_by_class(docs.select(id_col, lang_col), lang_col, sample, id_col)

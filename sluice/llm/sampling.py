@@ -29,7 +29,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, class_col: str, size: int
     """``id``, ``label``, ``text`` of a sample of ``labels`` with ``size`` rows a class; two classes at most are expected.
 
     The sampled ids are at most ``size`` a class, so they are broadcast and the texts are not shuffled. Null texts are
-    empty; ids without a document are left out.
+    empty; of several labels of an id the smallest counts; ids without a document are left out.
     """
     own = labels.groupBy(id_col).agg(F.min(class_col).alias(class_col))
     picked = own.where(picked_by_class(own, class_col, size, id_col)).select(F.col(id_col).alias("_id"), F.col(class_col).cast("int").alias("label"))
