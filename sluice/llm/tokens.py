@@ -1,7 +1,8 @@
 """Tokens of public vocabularies: byte-level BPE encoding and decoding, token counts, pieces for packing.
 
-Every stage maps Arrow batches to Arrow batches: no shuffle, no row leaves its partition, and a lost task is simply
-run again. A worker keeps the vocabulary and a bounded store of the texts' pre-tokens from one batch to the next.
+Encoding and decoding map Arrow batches to Arrow batches: no shuffle, no row leaves its partition, and a lost task is
+simply run again; a worker keeps the vocabulary and a bounded store of pre-tokens from one batch to the next. Token
+counts join pre-tokens with what was counted once for each.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import schema_of
+from .runtime import schema_of, written
 
 #: The characters of Unicode's White_Space property, which the vocabularies' patterns mean by \s (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -135,13 +137,12 @@ def runs_of(text: str) -> list[str]:
 
 
 class _Counts:
-    """Tokens of each distinct pre-token run, counted once while remembered."""
+    """The vocabulary's library, and what splits a text for it."""
 
     def __init__(self, path: str):
         self.library = _library(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, int] = {}
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Of the runs; and special strings, each one token as the library has it."""
@@ -150,14 +151,11 @@ class _Counts:
         parts = self.split.split(text)
         return Counter(y for x in parts for y in runs_of(x)), len(parts) - 1
 
-    def learn(self, runs: set[str]) -> None:
-        if len(self.known) + len(runs) > REMEMBERED:
-            self.known.clear()
-        new = [x for x in runs if x not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for run, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[run] = len(found)
+    def pieces(self, runs: list[str]) -> list[int]:
+        found = []
+        for at in range(0, len(runs), 4096):
+            found += map(len, self.library.encode_batch_fast(runs[at : at + 4096], add_special_tokens=False))
+        return found
 
 
 @functools.cache
@@ -165,28 +163,93 @@ def _counts(path: str) -> _Counts:
     return _Counts(path)
 
 
-def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Longer pre-tokens are counted where they stand: as keys they would cost more than counting them again.
+LONG_RUN = 64
+#: Frequent pre-tokens, each more than one in so many of all: there can be no more of them than this.
+FREQUENT = 500_000
+
+
+def distinct_runs(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``run``, ``n``, ``pieces``: each distinct pre-token of all texts of at most ``LONG_RUN`` characters, how often it
+    occurs, and its number of tokens, counted once. Tasks add up what they meet before the shuffle."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, met = _counts(path), Counter()
+
+        def told() -> pa.RecordBatch:
+            found = [(k, n) for k, n in met.items() if len(k) <= LONG_RUN]
+            runs, n = zip(*found, strict=True) if found else ((), ())
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(n, pa.int64())], ["run", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                met.update(store.frequencies(text.as_py() or "")[0])
+                if len(met) > REMEMBERED:
+                    yield told()
+        yield told()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(_counts(path).pieces(batch.column(0).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], ["run", "n", "pieces"])
+
+    met = df.select(text_col).mapInArrow(meet, "run string, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return met.mapInArrow(count, "run string, n long, pieces long")
+
+
+def token_counts(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT
+) -> DataFrame:
     """``id``, ``n_bytes`` (UTF-8), ``n_tokens`` of each text by the byte-level vocabulary file at ``path``.
 
-    A batch's texts become frequencies of distinct pre-tokens (runs between safe boundaries, which no token spans);
-    pieces are counted once for each distinct one that the worker doesn't know, joined to the frequencies, and summed.
-    Ids are never kept. Strings of the vocabulary's added tokens count as one token each, as the library has it by
-    default. Null and empty texts have none. Repeated ids give repeated rows; other columns are not read.
+    Pieces are counted once for each distinct pre-token (a run between safe boundaries, which no token spans) of all
+    texts, joined to the frequencies of each text's pre-tokens, and summed; ids are never kept. The join has two ways: a
+    pre-token that makes up more than one in ``frequent`` of all is sent to the tasks that split the texts (there are fewer
+    than ``frequent`` such, of 64 characters at most), the others meet in a shuffle, where none is a large group.
+    Pre-tokens of more than 64 characters are counted in their text. Strings of the vocabulary's added tokens count as one
+    token each, as the library has it by default. Null and empty texts have none. Repeated ids give repeated rows, null
+    ids are kept; other columns are not read.
     """
+    known = written(distinct_runs(df, path, text_col))
+    least = (known.agg(F.sum("n")).first()[0] or 0) // frequent
+    often = dict(known.where(F.col("n") > least).select("run", "pieces").collect())
+    sent = df.sparkSession.sparkContext.broadcast(often)
 
-    def work(batch: pa.RecordBatch) -> dict:
-        store = _counts(path)
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        totals = []
-        for at in range(0, len(texts), 64):
-            found = [store.frequencies(x) for x in texts[at : at + 64]]
-            store.learn(set().union(*(x for x, _ in found)))
-            known = store.known
-            totals += [sum(known[run] * n for run, n in runs.items()) + more for runs, more in found]
-        sizes = [len(x.encode()) for x in texts]
-        return {"id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "n_tokens": pa.array(totals, pa.int64())}
-
-    return mapped(df, [id_col, text_col], schema_of(df, {"id": id_col}, "n_bytes long, n_tokens long"), work)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, often = _counts(path), sent.value
+        for batch in batches:
+            rows, runs, counts, totals, sizes = [], [], [], [], []
+            numbers = batch.column(0).to_pylist()
+            for row, text in zip(numbers, batch.column(2), strict=True):
+                text = text.as_py() or ""
+                found, total = store.frequencies(text)
+                for run, n in found.items():
+                    if pieces := often.get(run):
+                        total += pieces * n
+                    elif len(run) > LONG_RUN:
+                        total += store.pieces([run])[0] * n
+                    else:
+                        rows.append(row)
+                        runs.append(run)
+                        counts.append(n)
+                totals.append(total)
+                sizes.append(len(text.encode()))
+            # A text's own row has a key that no run equals (white space behind something else), and what it counted so far.
+            own = [batch.column(0), batch.column(1), sizes, [f"= {row}" for row in numbers], totals]
+            none = pa.nulls(len(rows), batch.schema.field(1).type), pa.nulls(len(rows), pa.int64())
+            for columns in (own, [rows, *none, runs, counts]):
+                kinds = (pa.int64(), batch.schema.field(1).type, pa.int64(), pa.string(), pa.int64())
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "n_bytes", "run", "n"])
+
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = schema_of(numbered, {"row": "row", "id": "id"}, "n_bytes long, run string, n long")
+    parts = numbered.mapInArrow(count, schema).join(known.where(F.col("n") <= least).select("run", "pieces"), "run", "left")
+    sums = parts.groupBy("row").agg(
+        F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens")
+    )
+    return sums.select("id", "n_bytes", "n_tokens")
 
 
 class _Words:

@@ -9,7 +9,7 @@ from conftest import CLASHING
 from tokenizers import Tokenizer
 
 from sluice.llm.packing import fullest, pack, places, plan
-from sluice.llm.tokens import _ranks, byte_bpe_decode, byte_bpe_encode, runs_of, safe_parts, token_counts, token_pieces
+from sluice.llm.tokens import _ranks, byte_bpe_decode, byte_bpe_encode, distinct_runs, runs_of, safe_parts, token_counts, token_pieces
 
 RANKS, BYTES, WORDS = (P.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = ["", None, " ", "\n\n  x", "don't I'LL <|endoftext|>", "a\x1cb !\x1c!", "İstanbul ΣΑΣ ẞ ﬁ é", "日本語 👍🏽", "a  b  c　d", "x" * 3000, " " * 3000]
@@ -38,15 +38,30 @@ def test_parts_join_to_the_text():
     assert "".join(runs_of(text)) == text
 
 
-def test_counts_are_the_librarys(docs):
-    texts = made()
+@pytest.mark.parametrize("frequent", [1, 50, 500_000])
+def test_counts_are_the_librarys(docs, frequent):
+    """Whatever part of the pre-tokens is joined by a shuffle."""
+    texts = made() + ["x" * 65, "x" * 64 + " y", "= 3", "word, " * 30_000]
     library = Tokenizer.from_file(BYTES)
-    for r in token_counts(docs(texts, extra=CLASHING), BYTES).collect():
+    found = token_counts(docs(texts, extra=CLASHING), BYTES, frequent=frequent).collect()
+    assert sorted(r.id for r in found) == list(range(len(texts)))
+    for r in found:
         text = texts[r.id] or ""
         assert r.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
         assert r.n_bytes == len(text.encode())
 
 
+def test_counts_of_repeated_and_null_ids_and_of_nothing(spark, docs):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (1, None)], "doc_id long, text string")
+    assert sorted(token_counts(rows, BYTES).collect(), key=str) == [(1, 0, 0), (1, 3, 2), (1, 3, 2), (None, 1, 1)]
+    assert token_counts(docs([]), BYTES).count() == 0
+
+
+def test_pieces_are_counted_once_for_each_pre_token(docs):
+    found = distinct_runs(docs(["a b a", "b a", None, "", "x" * 65]), BYTES).collect()
+    assert {r.run: (r.n, r.pieces) for r in found} == {"a": (1, 1), " a": (2, 1), " b": (1, 1), "b": (1, 1)} and len(found) == 4
+
+
 @pytest.mark.parametrize("capacity", [7, 64])
 def test_pieces_and_packing(docs, capacity):
     texts = made() + ["the cat, " * 400] * 30
