@@ -166,7 +166,7 @@ def _counts(path: str) -> _Counts:
 #: Longer pre-tokens are counted where they stand: as keys they would cost more than counting them again.
 LONG_RUN = 64
 #: Frequent pre-tokens, each more than one in so many of all: there can be no more of them than this.
-FREQUENT = 500_000
+FREQUENT = 1_000_000
 
 
 def distinct_runs(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:

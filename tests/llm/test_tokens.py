@@ -38,7 +38,7 @@ def test_parts_join_to_the_text():
     assert "".join(runs_of(text)) == text
 
 
-@pytest.mark.parametrize("frequent", [1, 50, 500_000])
+@pytest.mark.parametrize("frequent", [1, 50, 1_000_000])
 def test_counts_are_the_librarys(docs, frequent):
     """Whatever part of the pre-tokens is joined by a shuffle."""
     texts = made() + ["x" * 65, "x" * 64 + " y", "= 3", "word, " * 30_000]
