@@ -1,4 +1,4 @@
-"""``python -m sluice.cli CONTROL [-i INPUT] [-O OUTPUT] [-l LOG] [-P PARSE_BAD] [-u DUP_BAD] [-o KEY=VALUE]... --columns SPEC``"""
+"""``python -m sluice.cli CONTROL [-i INPUT] [-O OUTPUT] [-l LOG] [-P PARSE_BAD] [-u DUP_BAD] [-o KEY=VALUE]... [--reports FOLDER] --columns SPEC``"""
 
 from __future__ import annotations
 
@@ -35,9 +35,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-u", "--duplicate-badfile")
     p.add_argument("-o", "--option", action="append", default=[])
     p.add_argument("--columns", required=True, help="name type [not null], ...")
+    p.add_argument("--reports", default="sluice_reports", help="folder of log and reject files that have no name of their own")
     args = p.parse_args(argv)
     try:
-        result = load(SparkSession.builder.getOrCreate(), pairs_of(args), spec_of(args.columns))
+        result = load(SparkSession.builder.getOrCreate(), pairs_of(args), spec_of(args.columns), reports=args.reports)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

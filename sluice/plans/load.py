@@ -20,7 +20,7 @@ from ..sinks import files, fixed as fixed_sink, table
 from ..sources import fixed, text
 from ..sources.layout import parse_layout
 from ..workspace import new_path, send_package, written
-from .options import INFINITE, LoadOptions, OptionError, echo, options_of
+from .options import INFINITE, LoadOptions, OptionError, echo, options_of, with_reports
 from .spec import TableSpec
 
 
@@ -190,14 +190,18 @@ def load_rows(rows: DataFrame, o: LoadOptions, spec: TableSpec, existing: DataFr
     return LoadPlan(kept.select(*own), kept.where("is_new = 1").select(*own), bad, removed, summary)
 
 
-def load(spark: SparkSession, options: dict[str, str] | list[tuple[str, str]], spec: TableSpec, registry: Registry | None = None) -> LoadResult:
+def load(spark: SparkSession, options: dict[str, str] | list[tuple[str, str]], spec: TableSpec, registry: Registry | None = None, reports: str | None = None) -> LoadResult:
     """Run a load and commit it: to a table folder, or to a fixed-width file with ``WRITER=BINARY``.
 
     Parse rejects beyond ``PARSE_ERRORS`` end the reading, and what was read is committed; duplicates beyond
-    ``DUPLICATE_ERRORS`` raise ``DuplicateError``, and nothing is, not even a TRUNCATE.
+    ``DUPLICATE_ERRORS`` raise ``DuplicateError``, and nothing is, not even a TRUNCATE. Log and reject files without a
+    name of their own go to the local folder ``reports``, if it is given; otherwise they are not kept.
     """
     began, used = time.time(), resource.getrusage(resource.RUSAGE_SELF)
     o = options_of(options)
+    if reports:
+        os.makedirs(reports, exist_ok=True)
+        o = with_reports(o, reports, began)
     if o.WRITER == "BINARY":
         fields, _ = parse_layout(o.OUT_COL, output=True)
         if os.path.exists(o.OUTPUT) or os.path.exists(f"{o.OUTPUT}.ctl"):

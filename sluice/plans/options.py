@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass, field, fields
+import time
+from dataclasses import dataclass, field, fields, replace
 
 INFINITE = 2**63 - 1
 #: Other names of keywords (fixed values).
@@ -205,10 +206,27 @@ def options_of(pairs: list[tuple[str, str]] | dict[str, str]) -> LoadOptions:
         raise OptionError("at least one OUT_COL is required")
     if found.TYPE in ("CSV", "BINARY") and found.INPUT.lower() != "stdin" and not (os.path.isabs(found.INPUT) or "://" in found.INPUT):
         raise OptionError("INPUT must be stdin or an absolute path")
-    used = [getattr(found, k) for k in ("INPUT", "LOGFILE", "PARSE_BADFILE", "DUPLICATE_BADFILE") if getattr(found, k)]
-    used += [found.OUTPUT] if found.WRITER == "BINARY" else []
+    must_differ(found)
+    return found
+
+
+def must_differ(options: LoadOptions) -> None:
+    """No two of input, output, log and reject files may be one place, however it is written."""
+    names = ("INPUT", "OUTPUT", "LOGFILE", "PARSE_BADFILE", "DUPLICATE_BADFILE")
+    used = [os.path.normpath(re.sub("^file:/+", "/", getattr(options, k))) for k in names if getattr(options, k)]
     if len(set(used)) < len(used):
         raise OptionError("input, output, log and reject files must differ")
+
+
+def with_reports(options: LoadOptions, folder: str, now: float) -> LoadOptions:
+    """Log and reject files that aren't named get names in ``folder``: the time, the output's name, and what they are."""
+    start = os.path.join(folder, f"{time.strftime('%Y%m%d%H%M%S', time.localtime(now))}_{os.path.basename(options.OUTPUT.rstrip('/'))}")
+    kind = ".dat" if options.TYPE == "BINARY" else ".csv"
+    names = {"LOGFILE": f"{start}.log", "PARSE_BADFILE": f"{start}.prs{kind}"}
+    if options.WRITER != "BINARY":
+        names["DUPLICATE_BADFILE"] = f"{start}.dup.csv"
+    found = replace(options, **{k: getattr(options, k) or v for k, v in names.items()})
+    must_differ(found)
     return found
 
 

@@ -380,3 +380,19 @@ def test_encodings(run, encoding, counts):
         assert (3, "あ ", 3) in run.rows(spec)
     with pytest.raises(ValueError, match="encoding"):
         run(data, spec, ENCODING="nonsense")
+
+
+def test_reports_without_names(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("1\nx\n2\n2\n")
+    spec = TableSpec(spec_of("id int").columns, (UniqueKey(("id",)),))
+    options = {"INPUT": str(tmp_path / "in.csv"), "OUTPUT": str(tmp_path / "t"), "PARSE_ERRORS": "1", "DUPLICATE_ERRORS": "1"}
+    load(spark, options, spec, reports=str(tmp_path / "reports"))
+    found = {"_".join(x.name.split("_")[1:]): x.read_text() for x in (tmp_path / "reports").iterdir()}
+    assert found.pop("t.prs.csv") == "x\n" and found.pop("t.dup.csv") == "2\n"
+    assert "1 rows: parse_errors" in found.pop("t.log") and not found
+
+
+def test_one_place_under_two_names(tmp_path):
+    for other in ("OUTPUT", "LOGFILE", "PARSE_BADFILE"):
+        with pytest.raises(OptionError, match="must differ"):
+            options_of({"INPUT": "/a/in.csv", "OUTPUT": "/a/t", other: "/a/b/../in.csv"})
