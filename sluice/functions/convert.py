@@ -10,7 +10,7 @@ from ..plans.spec import ColumnSpec
 INTEGER = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 SPECIAL = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
-#: A timestamp in the one form that is read at once: 19 characters.
+#: A timestamp in the usual form: 19 characters.
 PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 #: More digits of a second than are kept: they are rounded. The end of a day is the beginning of the next one.
 FINE = r"^\s*(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})(\.\d{7,})\s*$"
@@ -30,25 +30,24 @@ def typed(text: Column, column: ColumnSpec) -> Column:
     """The value, or null where the text has no value of the type."""
     base, kind = column.base, column.spark_type
     if base in ("char", "character", "varchar", "character varying"):
-        return trimmed(text, column.arguments[0] if column.arguments else 1)
+        return trimmed(text, _limit(column))
     if kind == "string":
         return text
     if kind in ("smallint", "int", "bigint"):
         return F.when(text.rlike(INTEGER), F.trim(text).try_cast(kind))
     if kind in ("float", "double"):
         value = F.trim(text).try_cast(kind)
-        return F.when(text.rlike(SPECIAL), value).when(text.rlike(NUMBER) & (F.abs(value) < F.lit(float("inf"))), value)
+        return F.when(text.rlike(NUMBER), F.when(F.abs(value) < F.lit(float("inf")), value)).when(text.rlike(SPECIAL), value)
     if kind.startswith("decimal"):
         return F.when(text.rlike(NUMBER), F.trim(text).try_cast(kind))
     if kind == "timestamp_ntz":
-        fast = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).try_cast(kind)
         second = F.regexp_extract(text, FINE, 1).try_cast(kind)
         part = F.round(F.concat(F.lit("0"), F.substring(F.regexp_extract(text, FINE, 2), 1, 20)).try_cast("decimal(20,18)"), 6)
-        day = F.regexp_extract(text, MIDNIGHT, 1).try_cast("date")
+        next_day = F.date_add(F.regexp_extract(text, MIDNIGHT, 1).try_cast("date"), 1).cast(kind)
         return (
-            F.when(text.rlike(PLAIN) & ~text.rlike(MIDNIGHT), fast)
+            F.when(text.rlike(PLAIN), F.coalesce(F.when(~F.startswith(text, F.lit("0000")), text.try_cast(kind)), next_day))
             .when(text.rlike(FINE), second + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), part))
-            .when(text.rlike(MIDNIGHT), F.date_add(day, 1).cast(kind))
+            .when(text.rlike(MIDNIGHT), next_day)
             .otherwise(F.trim(text).try_cast(kind))
         )
     if kind == "boolean":
@@ -57,15 +56,25 @@ def typed(text: Column, column: ColumnSpec) -> Column:
     return F.trim(text).try_cast(kind)
 
 
+def _limit(column: ColumnSpec) -> int | None:
+    """Most characters, where the type has such a bound."""
+    if column.base in ("char", "character", "varchar", "character varying"):
+        return column.arguments[0] if column.arguments else 1
+    return None
+
+
+def faulty(text: Column, value: Column, column: ColumnSpec) -> Column:
+    """Whether a text, of which ``typed`` made ``value``, isn't null and has no value of the type."""
+    if n := _limit(column):
+        return F.length(value) > n
+    return F.lit(False) if column.spark_type == "string" else text.isNotNull() & value.isNull()
+
+
 def code(text: Column, column: ColumnSpec) -> Column:
-    """``length``, ``range`` or ``syntax`` if a text that isn't null has no value of the type; else null."""
-    value = typed(text, column)
-    base, kind = column.base, column.spark_type
-    if base in ("char", "character", "varchar", "character varying"):
-        n = column.arguments[0] if column.arguments else 1
-        return F.when(F.length(value) > n, "length")
+    """``length``, ``range`` or ``syntax``: what is wrong with a faulty text."""
+    kind = column.spark_type
     if kind == "string":
-        return F.lit(None).cast("string")
-    number = INTEGER if kind in ("smallint", "int", "bigint") else NUMBER
-    wrong = F.when(text.rlike(number), "range").otherwise("syntax") if kind not in ("timestamp_ntz", "date", "boolean") else F.lit("syntax")
-    return F.when(text.isNotNull() & value.isNull(), wrong)
+        return F.lit("length")
+    if kind in ("timestamp_ntz", "date", "boolean"):
+        return F.lit("syntax")
+    return F.when(text.rlike(INTEGER if kind in ("smallint", "int", "bigint") else NUMBER), "range").otherwise("syntax")

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.convert import code, typed
+from ..functions.convert import code, faulty, typed
 from ..plans.spec import TableSpec
 
 ERR = "struct<code: string, col: int, msg: string>"
@@ -23,11 +24,24 @@ def first_of(errors: list[Column]) -> Column:
     return F.coalesce(*errors, F.lit(None).cast(ERR))
 
 
-def text_of(position: int, null: str, force: bool) -> Column:
-    """A field's text; null if it is the null string and had no quotes."""
+def text_of(position: int, null: str, force: bool, plain: bool) -> Column:
+    """A field's text; null if it is the null string and had no quotes. ``plain`` fields are texts, and none had."""
     field = F.try_element_at("fields", F.lit(position + 1))
-    text = field["t"]
-    return text if force else F.when((text != null) | field["q"], text)
+    if force:
+        return field if plain else field["t"]
+    return F.when(field != null, field) if plain else F.when((field["t"] != null) | field["q"], field["t"])
+
+
+def checked_values(rows: DataFrame, spec: TableSpec) -> tuple[DataFrame, list[Column], list[Column]]:
+    """``rows`` with the values of the texts ``_t0``, ``_t1``, ..., the value columns, and each one's error.
+
+    Texts and values are columns of their own: both are looked at more than once, and Spark computes columns once.
+    """
+    texts = [F.col(f"_t{i}") for i in range(len(spec.columns))]
+    values = [F.col(f"_v{i}") for i in range(len(spec.columns))]
+    rows = rows.select("*", *(typed(t, c).cast(c.spark_type).alias(f"_v{i}") for i, (t, c) in enumerate(zip(texts, spec.columns, strict=True))))
+    errors = [F.when(faulty(t, v, c), error(code(t, c), i + 1, c.name)) for i, (t, v, c) in enumerate(zip(texts, values, spec.columns, strict=True))]
+    return rows, values, errors
 
 
 def convert_fields(records: DataFrame, spec: TableSpec, null: str = "", force: tuple[str, ...] = (), least: int | None = None, defaults: dict | None = None) -> DataFrame:
@@ -37,24 +51,22 @@ def convert_fields(records: DataFrame, spec: TableSpec, null: str = "", force: t
     to right. From ``least`` fields on, missing trailing ones take their value in ``defaults``.
     """
     wanted = len(spec.columns)
-    n = F.size("fields")
-    names = F.array(*(F.lit(c.name) for c in spec.columns)) if spec.columns else F.array().cast("array<string>")
+    plain = isinstance(records.schema["fields"].dataType.elementType, StringType)
+    texts = [text_of(i, null, c.name in force, plain).alias(f"_t{i}") for i, c in enumerate(spec.columns)]
+    rows = records.select("rec_no", "raw", F.col("fields").isNull().alias("_open"), F.size("fields").alias("_n"), *texts)
+    rows, values, wrong = checked_values(rows, spec)
+    n, names = F.col("_n"), F.array(*(F.lit(c.name) for c in spec.columns)) if spec.columns else F.array().cast("array<string>")
     errors = [
-        F.when(F.col("fields").isNull(), error("quote", 1, "unterminated quote")),
+        F.when(F.col("_open"), error("quote", 1, "unterminated quote")),
         F.when(n > wanted, error("arity", n, "extra data after last expected column")),
         F.when(n < (wanted if least is None else least), error("arity", n, F.concat(F.lit('missing data for column "'), F.try_element_at(names, n + 1), F.lit('"')))),
     ]
-    texts = {c.name: text_of(i, null, c.name in force) for i, c in enumerate(spec.columns)}
     columns = []
-    for i, c in enumerate(spec.columns):
-        text = texts[c.name]
-        value = typed(text, c)
+    for i, (v, c) in enumerate(zip(values, spec.columns, strict=True)):
         if defaults and c.name in defaults:
-            value = F.when(n <= i, F.lit(defaults[c.name]).cast(c.spark_type)).otherwise(value)
-        columns.append(value.cast(c.spark_type).alias(c.name))
-        wrong = code(text, c)
-        errors.append(F.when(wrong.isNotNull(), error(wrong, i + 1, c.name)))
-    return records.select("rec_no", "raw", first_of(errors).alias("err"), *columns)
+            v = F.when(n <= i, F.lit(defaults[c.name]).cast(c.spark_type)).otherwise(v)
+        columns.append(v.alias(c.name))
+    return rows.select("rec_no", "raw", first_of(errors + wrong).alias("err"), *columns)
 
 
 def constrain(rows: DataFrame, spec: TableSpec, checks: bool = False) -> DataFrame:
@@ -70,14 +82,11 @@ def coerce(rows: DataFrame, source: TableSpec, target: TableSpec) -> DataFrame:
     """Row-shape coercion: columns by position; equal types pass, others go through their text. Counts must match."""
     if len(source.columns) != len(target.columns):
         raise ValueError(f"{len(source.columns)} columns returned, {len(target.columns)} expected")
-    columns, errors = [], [F.col("err")]
-    for i, (a, b) in enumerate(zip(source.columns, target.columns, strict=True)):
-        own = F.col(f"`{a.name}`")
-        if a.spark_type == b.spark_type and not b.arguments:
-            columns.append(own.alias(b.name))
-            continue
-        text = own.cast("string")
-        columns.append(typed(text, b).cast(b.spark_type).alias(b.name))
-        wrong = code(text, b)
-        errors.append(F.when(wrong.isNotNull(), error(wrong, i + 1, b.name)))
-    return rows.select("rec_no", "raw", F.coalesce(*errors).alias("err"), *columns)
+    pairs = list(zip(source.columns, target.columns, strict=True))
+    same = [a.spark_type == b.spark_type and not b.arguments for a, b in pairs]
+    texts = [F.col(f"`{a.name}`").cast("string").alias(f"_t{i}") for i, (a, _) in enumerate(pairs)]
+    kept = [F.col(f"`{a.name}`").alias(f"_s{i}") for i, (a, _) in enumerate(pairs)]
+    rows, values, wrong = checked_values(rows.select("rec_no", "raw", "err", *kept, *texts), target)
+    columns = [(F.col(f"_s{i}") if same[i] else v).alias(c.name) for i, (v, c) in enumerate(zip(values, target.columns, strict=True))]
+    errors = [w for w, x in zip(wrong, same, strict=True) if not x]
+    return rows.select("rec_no", "raw", F.coalesce("err", *errors).alias("err"), *columns)

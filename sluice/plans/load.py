@@ -78,7 +78,7 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
     other = None if encoding == "utf-8" else encoding
     defaults = dict(zip([a.name for a in f.arguments][len(f.arguments) - len(f.defaults) :], f.defaults, strict=True)) if f and f.defaults else None
     if o.TYPE == "CSV":
-        records = text.read_records(spark, path, text.Dialect(o.DELIMITER, o.QUOTE, o.ESCAPE), o.SKIP, other)
+        records = text.read_records(spark, path, text.Dialect(o.DELIMITER, o.QUOTE, o.ESCAPE), o.SKIP, other, texts=True)
         least = len(own.columns) - len(defaults or {})
         if f and not own.columns:  # a filter without arguments takes blank lines
             rows = records.select("rec_no", "raw", F.when(F.col("raw") != "", F.struct(F.lit("arity").alias("code"), F.lit(1).alias("col"), F.lit("").alias("msg"))).cast(ERR).alias("err"))

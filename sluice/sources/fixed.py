@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.convert import code, typed
+from ..functions.convert import code, faulty, typed
 from ..operators.checks import error, first_of
 from ..plans.spec import TableSpec
 from .layout import Field
@@ -189,8 +189,8 @@ def convert_fields(
         if not f.code:
             valid = F.is_valid_utf8(F.encode(F.substring_index(F.decode(own, "ISO-8859-1"), "\0", 1), "ISO-8859-1").cast("string"))
             errors.append(F.when(~valid, error("encoding", i + 1, c.name)))
-        columns.append(typed(text, c).cast(c.spark_type).alias(c.name))
-        wrong = code(text, c)
-        errors.append(F.when(wrong.isNotNull(), error(wrong, i + 1, c.name)))
+        value = typed(text, c)
+        columns.append(value.cast(c.spark_type).alias(c.name))
+        errors.append(F.when(faulty(text, value, c), error(code(text, c), i + 1, c.name)))
     columns += [F.lit(defaults[c.name]).cast(c.spark_type).alias(c.name) for c in missing]
     return decoded(records, fields, stride, encoding).select("rec_no", "raw", first_of(errors).alias("err"), *columns)
