@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.spec import TableSpec, UniqueKey
+from ..workspace import written
 
 
 @dataclass
@@ -32,8 +33,9 @@ def deduplicate(new: DataFrame, existing: DataFrame | None, spec: TableSpec, kee
     """``new`` has ``rec_no`` and the columns of ``spec``; ``existing`` has the columns, and is free of duplicates.
 
     Of new rows with one key the first record stays, always; ``keep`` decides between it and the existing row. Keys
-    are enforced in order, and a row that an earlier key removed no longer counts. Rows are ranked in hash partitions of the key
-    after all but the best row of each key and task are gone, so that a key shared by many rows is no large group.
+    are enforced in order, and a row that an earlier key removed no longer counts. A key that many rows share is no large
+    group for the aggregate; while repeated keys are too many to broadcast, its rows meet in one task of the join, unless adaptive
+    execution divides them. ``new`` is read twice for each key, so it should be cheap or written.
     """
     own = [F.col(f"`{c}`") for c in spec.names]
     rows = new.select(F.lit(1).alias("is_new"), F.col("rec_no").alias("seq"), *own)
@@ -46,11 +48,12 @@ def deduplicate(new: DataFrame, existing: DataFrame | None, spec: TableSpec, kee
         rank = F.struct((-F.col("is_new") if keep == "NEW" else F.col("is_new")).alias("a"), "seq")
         parts = [f"_k{i}" for i in range(len(names))]
         keyed = rows.withColumns({"_take": taking} | dict(zip(parts, names, strict=True)))
-        # The best rank of each key combines before the shuffle; joined back, it marks the row that stays.
-        best = keyed.where("_take").groupBy(*parts).agg(F.min(rank).alias("_best"))
-        best = best.select(*(F.col(x).alias(f"b{x}") for x in parts), "_best")
+        # Ranks of each key combine before the shuffle. Only keys of more than one row, written once, are joined back: where
+        # they are few, Spark broadcasts them and the rows themselves are never shuffled.
+        best = keyed.where("_take").groupBy(*parts).agg(F.min(rank).alias("_best"), F.count("*").alias("_n"))
+        best = written(best.where("_n > 1").select(*(F.col(x).alias(f"b{x}") for x in parts), "_best"))
         same = reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(f"b{x}")) for x in parts), F.col("_take"))
-        marked = keyed.join(best, same, "left").withColumn("_stays", ~F.col("_take") | (rank == F.col("_best")))
+        marked = keyed.join(best, same, "left").withColumn("_stays", F.col("_best").isNull() | (rank == F.col("_best")))
         plain = ["is_new", "seq", *own]
         removed.append(marked.where(~F.col("_stays")).select(*plain))
         rows = marked.where("_stays").select(*plain)
