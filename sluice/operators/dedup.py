@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.spec import TableSpec, UniqueKey
 from ..workspace import written
@@ -29,15 +28,16 @@ def _compared(key: UniqueKey, names: list[Column]) -> Column:
     return found
 
 
-def deduplicate(new: DataFrame, existing: DataFrame | None, spec: TableSpec, keep: str = "NEW") -> Deduplicated:
+def deduplicate(new: DataFrame, existing: DataFrame | None, spec: TableSpec, keep: str = "NEW", more: tuple[str, ...] = ()) -> Deduplicated:
     """``new`` has ``rec_no`` and the columns of ``spec``; ``existing`` has the columns, and is free of duplicates.
+    Columns named in ``more`` go along with the rows of both.
 
     Of new rows with one key the first record stays, always; ``keep`` decides between it and the existing row. Keys
     are enforced in order, and a row that an earlier key removed no longer counts. A key that many rows share is no large
     group for the aggregate; while repeated keys are too many to broadcast, its rows meet in one task of the join, unless adaptive
     execution divides them. ``new`` is read twice for each key, so it should be cheap or written.
     """
-    own = [F.col(f"`{c}`") for c in spec.names]
+    own = [F.col(f"`{c}`") for c in (*spec.names, *more)]
     rows = new.select(F.lit(1).alias("is_new"), F.col("rec_no").alias("seq"), *own)
     if existing is not None:
         rows = rows.unionByName(existing.select(F.lit(0).alias("is_new"), F.lit(0).cast("long").alias("seq"), *own))
@@ -59,15 +59,3 @@ def deduplicate(new: DataFrame, existing: DataFrame | None, spec: TableSpec, kee
         rows = marked.where("_stays").select(*plain)
     gone = reduce(DataFrame.unionByName, removed) if removed else rows.where("false")
     return Deduplicated(rows, gone)
-
-
-def deduplicate_ranked(new: DataFrame, existing: DataFrame | None, key: UniqueKey, spec: TableSpec, keep: str = "NEW") -> DataFrame:
-    """What stays by one key, ranked by a window: the plain form, for keys that few rows share."""
-    own = [F.col(f"`{c}`") for c in spec.names]
-    rows = new.select(F.lit(1).alias("is_new"), F.col("rec_no").alias("seq"), *own)
-    if existing is not None:
-        rows = rows.unionByName(existing.select(F.lit(0).alias("is_new"), F.lit(0).cast("long").alias("seq"), *own))
-    names = [F.expr(x) for x in key.expressions]
-    order = [F.desc("is_new") if keep == "NEW" else F.asc("is_new"), F.asc("seq")]
-    ranked = rows.withColumn("_take", _compared(key, names)).withColumn("_r", F.row_number().over(Window.partitionBy("_take", *names).orderBy(*order)))
-    return ranked.where(~F.col("_take") | (F.col("_r") == 1)).select(*own)

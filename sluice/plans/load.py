@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import resource
 import sys
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.registry import Registry, apply_filter, as_spec, columns_as_text, from_source
@@ -16,7 +17,7 @@ from ..operators.checks import ERR, coerce, constrain, convert_fields
 from ..operators.cutoff import last_record
 from ..operators.dedup import deduplicate
 from ..operators.encoding import encoding_named
-from ..sinks import files, fixed as fixed_sink, table
+from ..sinks import files, fixed as fixed_sink, summaries, table
 from ..sources import fixed, text
 from ..sources.layout import parse_layout
 from ..workspace import new_path, send_package, written
@@ -25,7 +26,12 @@ from .spec import TableSpec
 
 
 class DuplicateError(RuntimeError):
-    """More duplicates than allowed: nothing is committed."""
+    """More duplicates than allowed: nothing is committed. ``code`` is ``unique_violation`` if none is allowed and the
+    input itself repeats a key, ``duplicate_errors`` otherwise."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
 
 
 @dataclass
@@ -62,6 +68,8 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
     registry = registry or Registry()
     f = registry.filter_named(o.FILTER) if o.FILTER else None
     own = as_spec(f.arguments) if f else spec
+    if o.FAST_TIMESTAMP:
+        own = replace(own, columns=tuple(replace(c, kind="fast_timestamp") if c.base == "timestamp" else c for c in own.columns))
     if unknown := set(o.FORCE_NOT_NULL) - set(own.names):
         raise OptionError(f"unknown column {sorted(unknown)[0]}")
     if o.TYPE == "FUNCTION":
@@ -73,7 +81,9 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
             raise OptionError(f"the function returns {len(names)} columns, {len(spec.columns)} expected")
         rows = rows.select("rec_no", "raw", "err", *(F.col(f"`{a}`").cast(c.spark_type).alias(c.name) for a, c in zip(names, spec.columns, strict=True)))
         return constrain(rows, spec, o.CHECK_CONSTRAINTS)
-    path = spooled(spark, o.TYPE) if o.INPUT.lower() == "stdin" else o.INPUT
+    path = o.INPUT
+    if path == "stdin":
+        path, _ = spooled(spark, o.TYPE)
     encoding = encoding_named(o.ENCODING) if o.ENCODING else None
     other = None if encoding == "utf-8" else encoding
     defaults = dict(zip([a.name for a in f.arguments][len(f.arguments) - len(f.defaults) :], f.defaults, strict=True)) if f and f.defaults else None
@@ -90,81 +100,189 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
             rows = rows.withColumn("err", F.coalesce("err", bad))
     else:
         fields, stride = parse_layout(o.COL, o.STRIDE)
-        rows = fixed.convert_fields(fixed.read_records(spark, path, stride, o.SKIP), fields, stride, own, other, defaults)
+        rows = fixed.convert_fields(fixed.read_records(spark, path, stride, o.SKIP, fields, other), fields, own, defaults)
     if f:
         rows = coerce(apply_filter(rows, f), as_spec(f.result), spec)
     return constrain(rows, spec, o.CHECK_CONSTRAINTS)
 
 
-def spooled(spark: SparkSession, kind: str) -> str:
-    """Standard input as a file in the shared folder: bytes up to the end or, for CSV, a line ``\\.``."""
-    path = new_path(spark, "stdin")
+#: Bytes of an input that a load with a bound looks at before it reads on; then eight times as many, and again.
+HEAD_BYTES, HEAD_STEPS = 16 << 20, 3
+#: A bound of errors alone is looked for at the beginning of inputs of so many times ``HEAD_BYTES`` and more.
+LONG_INPUT = 64
+#: Rows of a source that are looked at first.
+HEAD_ROWS = (1_000, 32_000)
+
+
+def spooled(spark: SparkSession, kind: str, most: int | None = None, before: str | None = None) -> tuple[str, bool]:
+    """Standard input as a file in the shared folder, and whether it has ended: bytes up to the end or, for CSV, a line ``\\.``.
+
+    With ``most``, about so many bytes are read, whole lines of CSV; what was read ``before`` comes first.
+    """
+    path, ended, n = new_path(spark, "stdin"), False, 0
     fs, place = table.file_system(spark, path)
     out = fs.create(place, True)
     try:
-        if kind == "CSV":
-            for line in sys.stdin.buffer:
-                if line.rstrip(b"\r\n") == b"\\.":
-                    break
-                out.write(bytearray(line))
-        else:
-            while data := sys.stdin.buffer.read(1 << 20):
+        if before:
+            _copy(spark, before, out)
+        while not ended and (most is None or n < most):
+            if kind == "CSV":
+                data = sys.stdin.buffer.readline()
+                ended = not data or data.rstrip(b"\r\n") == b"\\."
+            else:
+                data = sys.stdin.buffer.read(1 << 20 if most is None else min(1 << 20, most - n))
+                ended = not data
+            if not ended:
                 out.write(bytearray(data))
+                n += len(data)
     finally:
         out.close()
-    return path
-
+    return path, ended
 
-#: Bytes of an input, and rows of a source, that a load with a bound looks at before it reads everything.
-HEAD_BYTES, HEAD_ROWS = 16 << 20, 1_000
 
-
-def _head(spark: SparkSession, o: LoadOptions) -> str | None:
-    """The first ``HEAD_BYTES`` of a longer input file, up to a line's end, as a file of its own."""
-    fs, place = table.file_system(spark, o.INPUT)
-    if not fs.getFileStatus(place).isFile() or fs.getFileStatus(place).getLen() <= HEAD_BYTES:
-        return None
+def _copy(spark: SparkSession, path: str, out, most: int | None = None) -> None:
+    """Bytes of a file, in the JVM."""
+    fs, place = table.file_system(spark, path)
     stream = fs.open(place)
     try:
-        data = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, HEAD_BYTES))
+        spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, fs.getFileStatus(place).getLen() if most is None else most)
     finally:
         stream.close()
-    path = new_path(spark, "head")
-    fs, place = table.file_system(spark, path)
-    out = fs.create(place, True)
+
+
+def _beginnings(spark: SparkSession, o: LoadOptions) -> Iterator[tuple[LoadOptions, int | None, bool]]:
+    """The load over growing parts of its input, at last over all of it: options, most rows of a source, and whether it is all.
+
+    Of a folder whole files are taken, in the order of their names; a single file's beginning is copied (by the driver's
+    JVM, as a stream, a GiB at most in one step). An input whose bound can't be near is read at once.
+    """
+    bounded = o.LIMIT != INFINITE or o.PARSE_ERRORS != INFINITE
+    if o.TYPE == "FUNCTION":
+        for most in HEAD_ROWS if bounded else ():
+            yield o, most, False
+        yield o, None, True
+        return
+    if o.INPUT.lower() == "stdin":
+        path, ended = spooled(spark, o.TYPE, HEAD_BYTES if bounded else None)
+        if not ended:
+            yield replace(o, INPUT=path), None, False
+            path, _ = spooled(spark, o.TYPE, None, path)
+        yield replace(o, INPUT=path), None, True
+        return
+    if bounded:
+        fs, place = table.file_system(spark, o.INPUT)
+        files = sorted((str(s.getPath().toString()), s.getLen()) for s in fs.listStatus(place) if s.isFile() and s.getPath().getName()[0] not in "._")
+        total = sum(n for _, n in files)
+        size = HEAD_BYTES
+        for _ in range(HEAD_STEPS):
+            if size * 2 > total or (o.LIMIT == INFINITE and total < LONG_INPUT * HEAD_BYTES):
+                break
+            taken, n = [], 0
+            while n < size:
+                taken.append(files[len(taken)][0])
+                n += files[len(taken) - 1][1]
+            if n <= 2 * size:
+                yield replace(o, INPUT=taken), None, False
+            elif len(taken) > 1:
+                yield replace(o, INPUT=taken[:-1]), None, False
+            else:
+                path = new_path(spark, "head")
+                fs, place = table.file_system(spark, path)
+                out = fs.create(place, True)
+                try:
+                    _copy(spark, taken[0], out, size)
+                finally:
+                    out.close()
+                yield replace(o, INPUT=path), None, False
+            size *= 8
+    yield o, None, True
+
+
+@dataclass
+class Staged:
+    """Checked records, written once: good rows in ``folder/_good=true``, rejects in ``folder/_good=false``."""
+
+    spark: SparkSession
+    folder: str
+    ddl: str
+    good: int
+    bad: int
+    most: int
+
+    @property
+    def rows(self) -> str:
+        return f"{self.folder}/_good=true"
+
+    def read(self, good: bool = True) -> DataFrame:
+        kind, there = (f"rec_no long, {self.ddl}", self.good) if good else (f"rec_no long, raw {self.raw}, err {ERR}", self.bad)
+        if not there:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(f"{self.folder}/_good={str(good).lower()}")
+
+    raw: str = "string"
+
+    def delete(self) -> None:
+        fs, place = table.file_system(self.spark, self.folder)
+        fs.delete(place, True)
+
+
+def stage(rows: DataFrame, spec: TableSpec, folder: str) -> Staged:
+    """Write checked records in one pass that also counts them; only rejects keep their text."""
+    spark, seen = rows.sparkSession, Observation()
+    good = F.col("err").isNull()
+    own = [F.col(f"`{c}`") for c in spec.names]
+    flagged = rows.select("rec_no", F.when(~good, F.col("raw")).alias("raw"), "err", *own, good.alias("_good"))
+    counted = flagged.observe(seen, F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad"), F.max("rec_no").alias("most"))
+    with sorted_by_nothing(spark):
+        counted.write.partitionBy("_good").parquet(folder)
+    n = seen.get
+    return Staged(spark, folder, spec.ddl, n["good"], n["bad"], n["most"] or 0, rows.schema["raw"].dataType.simpleString())
+
+
+@contextmanager
+def sorted_by_nothing(spark: SparkSession):
+    """Two open files a task, for accepted and rejected rows, instead of a sort by which of them a row is."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "2")
     try:
-        out.write(bytearray(data[: data.rfind(b"\n") + 1] if o.TYPE == "CSV" else data))
+        yield
     finally:
-        out.close()
-    return path
+        spark.conf.set(name, old)
 
 
-def checked(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None, most: int | None = None) -> DataFrame:
-    """``parsed`` records, with what a fixed-width output can't hold among the errors; written, since functions may not give the same again."""
-    rows = parsed(spark, o, spec, registry, most)
-    if o.WRITER == "BINARY":
-        rows = fixed_sink.check_output(rows, spec.names, parse_layout(o.OUT_COL, output=True)[0])
-    return written(rows)
+def cut(staged: Staged, o: LoadOptions) -> int:
+    """The last record that is processed; ``INFINITE`` if reading doesn't end before the input."""
+    if staged.good < o.LIMIT and staged.bad <= o.PARSE_ERRORS:
+        return INFINITE
+    flags = [staged.read(good).select("rec_no", F.lit(None if good else "").alias("err").cast("string")) for good in (True, False)]
+    return last_record(flags[0].unionByName(flags[1]), o.LIMIT, o.PARSE_ERRORS)
 
 
-def beginning(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None) -> DataFrame | None:
-    """Records of the input's beginning, if reading ends within it by ``LIMIT`` or ``PARSE_ERRORS``; else None."""
-    if o.LIMIT == INFINITE and o.PARSE_ERRORS == INFINITE:
-        return None
-    most = None
-    if o.TYPE == "FUNCTION":
-        most = HEAD_ROWS
-    elif o.INPUT.lower() == "stdin" or not (path := _head(spark, o)):
-        return None
-    else:
-        o = replace(o, INPUT=path)
-    try:
-        rows = checked(spark, o, spec, registry, most)
-    except text.ShortInput:
-        return None
-    # The last record of a cut input may not be whole.
-    whole = rows.agg(F.max("rec_no")).first()[0] or 0
-    return rows if last_record(rows, o.LIMIT, o.PARSE_ERRORS) < whole else None
+def staged_input(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None, new: Callable[[], str]) -> tuple[Staged, int]:
+    """The records that are processed, staged in a folder named by ``new``, and the last one's number.
+
+    A load that ends early, by ``LIMIT`` or ``PARSE_ERRORS``, doesn't read on.
+    """
+    hopeless = False
+    for part, most, whole in _beginnings(spark, o):
+        if hopeless and not whole:
+            continue
+        try:
+            rows = parsed(spark, part, spec, registry, most)
+        except text.ShortInput:
+            if whole:
+                raise
+            continue
+        if o.WRITER == "BINARY":
+            rows = fixed_sink.check_output(rows, spec.names, parse_layout(o.OUT_COL, output=True)[0])
+        staged = stage(rows, spec, new())
+        last = cut(staged, o)
+        # The last record of a part of the input may not be whole.
+        if whole or last < staged.most:
+            return staged, last
+        staged.delete()
+        hopeless = o.LIMIT == INFINITE and not staged.bad  # no error so far: the bound isn't near
 
 
 def load_rows(rows: DataFrame, o: LoadOptions, spec: TableSpec, existing: DataFrame | None = None) -> LoadPlan:
@@ -190,49 +308,132 @@ def load_rows(rows: DataFrame, o: LoadOptions, spec: TableSpec, existing: DataFr
     return LoadPlan(kept.select(*own), kept.where("is_new = 1").select(*own), bad, removed, summary)
 
 
-def load(spark: SparkSession, options: dict[str, str] | list[tuple[str, str]], spec: TableSpec, registry: Registry | None = None, reports: str | None = None) -> LoadResult:
+def load(
+    spark: SparkSession,
+    options: dict[str, str] | list[tuple[str, str]],
+    spec: TableSpec,
+    registry: Registry | None = None,
+    reports: str | None = None,
+    expiry: float = table.EXPIRY,
+) -> LoadResult:
     """Run a load and commit it: to a table folder, or to a fixed-width file with ``WRITER=BINARY``.
 
     Parse rejects beyond ``PARSE_ERRORS`` end the reading, and what was read is committed; duplicates beyond
-    ``DUPLICATE_ERRORS`` raise ``DuplicateError``, and nothing is, not even a TRUNCATE. Log and reject files without a
-    name of their own go to the local folder ``reports``, if it is given; otherwise they are not kept.
+    ``DUPLICATE_ERRORS`` raise ``DuplicateError``, and nothing is, not even a TRUNCATE. A load of a table that another load
+    is running on raises ``TableBusy``; one that finds the table changed at its end (its claim expired, see
+    ``sinks.table``) raises ``Conflict``, and nothing of it is committed. Log and reject files without a name of their own
+    go to the folder ``reports``, if it is given; otherwise they are not kept.
+
+    Accepted rows are written once, where the table has them, by the pass that parses and counts them. Duplicates are
+    settled by keys, against those files of the table that can hold one; rows that go are marked, in old and new files.
     """
     began, used = time.time(), resource.getrusage(resource.RUSAGE_SELF)
     o = options_of(options)
     if reports:
-        os.makedirs(reports, exist_ok=True)
         o = with_reports(o, reports, began)
     if o.WRITER == "BINARY":
-        fields, _ = parse_layout(o.OUT_COL, output=True)
-        if os.path.exists(o.OUTPUT) or os.path.exists(f"{o.OUTPUT}.ctl"):
-            raise FileExistsError(o.OUTPUT)
-    rows = beginning(spark, o, spec, registry)  # a load that ends early doesn't read on
-    if rows is None:
-        rows = checked(spark, o, spec, registry)
-    stored = None if o.WRITER == "BINARY" or o.TRUNCATE else table.read_table(spark, o.OUTPUT, spec.ddl)
-    plan = load_rows(rows, o, spec, stored)
-    n = plan.summary.first().asDict()
-    if n["duplicate_new"] + n["duplicate_old"] > o.DUPLICATE_ERRORS:
-        raise DuplicateError(f"{n['duplicate_new'] + n['duplicate_old']} duplicates; {o.DUPLICATE_ERRORS} are allowed")
-    if o.WRITER == "BINARY":
-        last = last_record(rows, o.LIMIT, o.PARSE_ERRORS)
-        good = rows.where(F.col("err").isNull() & (F.col("rec_no") <= last))
-        fixed_sink.write_fixed(good, spec.names, fields, o.OUTPUT)
-    elif n["duplicate_old"] or o.TRUNCATE:
-        table.commit(spark, o.OUTPUT, plan.accepted, [])
+        n, staged, last, gone = _export(spark, o, spec, registry)
     else:
-        table.commit(spark, o.OUTPUT, plan.new_rows, table.current(spark, o.OUTPUT))
+        with table.Claim(spark, o.OUTPUT, expiry) as claim:
+            n, staged, last, gone = _load_table(spark, o, spec, registry, claim)
+    n = {"skip": o.SKIP} | n
+    rejects = staged.read(False) if last == INFINITE else staged.read(False).where(F.col("rec_no") <= last)
     if o.PARSE_BADFILE and n["parse_errors"]:
-        files.write_rejects(plan.parse_rejects, o.PARSE_BADFILE, o.TYPE == "BINARY")
-    if o.DUPLICATE_BADFILE and n["duplicate_new"] + n["duplicate_old"]:
+        files.write_rejects(rejects, o.PARSE_BADFILE, o.TYPE == "BINARY")
+    if o.DUPLICATE_BADFILE and gone is not None:
         line = columns_as_text([F.col(f"`{c}`") for c in spec.names])
-        files.write_rejects(plan.duplicate_rejects.select(F.col("seq").alias("rec_no"), line.alias("raw")), o.DUPLICATE_BADFILE)
+        files.write_rejects(gone.select(F.col("seq").alias("rec_no"), line.alias("raw")), o.DUPLICATE_BADFILE)
     after = resource.getrusage(resource.RUSAGE_SELF)
     result = LoadResult(**n, system_time=after.ru_stime - used.ru_stime, user_time=after.ru_utime - used.ru_utime, duration=time.time() - began)
     if o.LOGFILE:
-        said = "".join(f"{r['message']}\n" for r in files.messages(plan.parse_rejects, o.SKIP).orderBy("n").toLocalIterator()) if n["parse_errors"] else ""
+        said = files.messages(rejects, o.SKIP) if n["parse_errors"] else None
         counters = "".join(f"  {v} rows: {k}\n" for k, v in n.items())
-        files.write_log(o.LOGFILE, f"{echo(o)}\n{said}{counters}  {result.duration:.2f} s\n\n")
-        if o.VERBOSE:
-            print(said + counters, file=sys.stderr)
+        files.write_log(spark, o.LOGFILE, echo(o) + "\n", said, f"{counters}  {result.duration:.2f} s\n\n", o.VERBOSE)
+    fs, place = table.file_system(spark, f"{staged.folder}/_good=false")
+    fs.delete(place, True)
     return result
+
+
+def _export(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None) -> tuple[dict, Staged, int, None]:
+    fields, _ = parse_layout(o.OUT_COL, output=True)
+    fixed_sink.must_not_exist(spark, o.OUTPUT)
+    staged, last = staged_input(spark, o, spec, registry, lambda: new_path(spark, "staged"))
+    good, bad = (staged.read(x) if last == INFINITE else staged.read(x).where(F.col("rec_no") <= last) for x in (True, False))
+    written_rows = fixed_sink.write_fixed(good, spec.names, fields, o.OUTPUT)
+    rejected = staged.bad if last == INFINITE else bad.count()
+    return {"count": written_rows, "parse_errors": rejected, "duplicate_new": 0, "duplicate_old": 0}, staged, last, None
+
+
+#: Share of a load's own rows that may be marked as deleted; with more, the rows that stay are written again.
+MOST_MARKED = 0.3
+
+
+def _load_table(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Registry | None, claim: table.Claim) -> tuple[dict, Staged, int, DataFrame | None]:
+    """Counters, the staged records, the last one processed, and removed duplicates as rows (``is_new``, ``seq``, the columns)."""
+    version = table.current(spark, o.OUTPUT)
+    made: list[str] = []
+
+    def new(kind: str) -> str:
+        made.append(f"{o.OUTPUT}/{table.new_folder(kind, version)}")
+        return made[-1]
+
+    try:
+        staged, last = staged_input(spark, o, spec, registry, lambda: new("v"))
+        bad, good, rows = staged.bad, staged.good, staged.rows
+        if last != INFINITE:
+            bad = staged.read(False).where(F.col("rec_no") <= last).count()
+            rows = new("v")
+            staged.read().where(F.col("rec_no") <= last).write.parquet(rows)
+            good = spark.read.schema(spec.ddl).parquet(rows).count()
+        base = table.Version() if o.TRUNCATE else version
+        gone, removed, marks = None, {1: 0, 0: 0}, base.marks
+        if spec.unique and good:
+            gone, removed = _duplicates(spark, o, spec, base, rows)
+            if sum(removed.values()) > o.DUPLICATE_ERRORS:
+                raise _too_many(spark, o, spec, rows, sum(removed.values()))
+            marked = gone.select("is_new", "_file", "_row")
+            if removed[1] > MOST_MARKED * good:
+                fresh, rows = _placed(spark, spec, rows), new("v")
+                fresh.join(marked, ["_file", "_row"], "left_anti").drop("_file", "_row").write.parquet(rows)
+                marked = marked.where("is_new = 0")
+            if removed[0] or removed[1] and removed[1] <= MOST_MARKED * good:
+                folder = new("d")
+                marked.select("_file", "_row").write.parquet(folder)
+                marks = (*marks, folder.rpartition("/")[2])
+        data = base.data
+        if good - removed[1]:
+            name = rows[len(o.OUTPUT) + 1 :]
+            if spec.unique:
+                summaries.write(spark, f"{o.OUTPUT}/{summaries.folder_of(name)}", rows, spec)
+            data = (*data, (name, tuple(summaries.signature(k) for k in spec.unique)))
+        table.commit(spark, o.OUTPUT, version, table.Version(0, data, marks), claim)
+    except BaseException:
+        for folder in made:
+            fs, place = table.file_system(spark, folder)
+            fs.delete(place, True)
+        raise
+    n = {"count": good - removed[1], "parse_errors": bad, "duplicate_new": removed[1], "duplicate_old": removed[0]}
+    return n, staged, last, gone if sum(removed.values()) else None
+
+
+def _placed(spark: SparkSession, spec: TableSpec, rows: str) -> DataFrame:
+    return spark.read.schema(f"rec_no long, {spec.ddl}").parquet(rows).select("*", *(F.col(c).alias(x) for x, c in table.PLACE.items()))
+
+
+def _duplicates(spark: SparkSession, o: LoadOptions, spec: TableSpec, base: table.Version, rows: str) -> tuple[DataFrame, dict[int, int]]:
+    """Rows that unique keys remove, with their places, and how many new (1) and old (0) ones there are."""
+    fresh = _placed(spark, spec, rows)
+    old = None
+    if base.data:
+        old = table.rows_at(spark, o.OUTPUT, base, spec.ddl, summaries.files_with(spark, o.OUTPUT, base, fresh, spec))
+    found = deduplicate(fresh, old, spec, o.ON_DUPLICATE_KEEP, ("_file", "_row"))
+    gone = written(found.removed)
+    counts = {r[0]: r[1] for r in gone.groupBy("is_new").count().collect()}
+    return gone, {1: counts.get(1, 0), 0: counts.get(0, 0)}
+
+
+def _too_many(spark: SparkSession, o: LoadOptions, spec: TableSpec, rows: str, n: int) -> DuplicateError:
+    """Without any duplicate allowed, one inside the input is told apart from one with a stored row."""
+    if not o.DUPLICATE_ERRORS and deduplicate(_placed(spark, spec, rows), None, spec).removed.limit(1).count():
+        return DuplicateError("unique_violation", "the input has two rows with one unique key")
+    return DuplicateError("duplicate_errors", f"{n} duplicates; {o.DUPLICATE_ERRORS} are allowed")

@@ -13,11 +13,11 @@ ALIASES = {
     "LOADER": "WRITER", "INFILE": "INPUT", "TABLE": "OUTPUT", "MAX_ERR_CNT": "PARSE_ERRORS", "LOAD": "LIMIT", "OFFSET": "SKIP",
 }
 #: Keywords that may be given again: the last one counts.
-AGAIN = {"TRUNCATE", "VERBOSE", "CHECK_CONSTRAINTS", "PRESERVE_BLANKS", "ON_DUPLICATE_KEEP", "MULTI_PROCESS"}
+AGAIN = {"TRUNCATE", "VERBOSE", "CHECK_CONSTRAINTS", "PRESERVE_BLANKS", "ON_DUPLICATE_KEEP", "MULTI_PROCESS", "FAST_TIMESTAMP"}
 #: Keywords whose values are file names.
 PATHS = {"INPUT", "OUTPUT", "LOGFILE", "PARSE_BADFILE", "DUPLICATE_BADFILE"}
 LIST = {"FORCE_NOT_NULL", "COL", "OUT_COL"}
-COMMON = {"TYPE", "WRITER", "MULTI_PROCESS", "INPUT", "OUTPUT", "LOGFILE", "PARSE_BADFILE", "PARSE_ERRORS", "LIMIT", "VERBOSE"}
+COMMON = {"TYPE", "WRITER", "MULTI_PROCESS", "INPUT", "OUTPUT", "LOGFILE", "PARSE_BADFILE", "PARSE_ERRORS", "LIMIT", "VERBOSE", "FAST_TIMESTAMP"}
 BY_TYPE = {
     "CSV": {"DELIMITER", "QUOTE", "ESCAPE", "NULL", "FORCE_NOT_NULL", "SKIP", "FILTER", "ENCODING"},
     "BINARY": {"COL", "PRESERVE_BLANKS", "STRIDE", "SKIP", "FILTER", "ENCODING"},
@@ -137,6 +137,8 @@ class LoadOptions:
     CHECK_CONSTRAINTS: bool = False
     ENCODING: str | None = None
     VERBOSE: bool = False
+    #: Time stamps of 19 characters are taken digit by digit, without a check of months, days, hours, minutes and seconds.
+    FAST_TIMESTAMP: bool = False
     DELIMITER: str = ","
     QUOTE: str = '"'
     ESCAPE: str = '"'

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 TYPES = {
     "int2": "smallint", "smallint": "smallint", "int4": "int", "int": "int", "integer": "int", "int8": "bigint",
     "bigint": "bigint", "float4": "float", "real": "float", "float": "float", "float8": "double", "double": "double", "text": "string",
-    "timestamp": "timestamp_ntz", "date": "date", "bool": "boolean", "boolean": "boolean",
+    "timestamp": "timestamp_ntz", "fast_timestamp": "timestamp_ntz", "date": "date", "bool": "boolean", "boolean": "boolean",
 }
 
 

@@ -6,7 +6,6 @@ shared folder as part files in the order of the records.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,8 @@ from .plans.load import LoadPlan, load, load_rows, parsed
 from .plans.options import options_of
 from .plans.spec import TableSpec, UniqueKey, spec_of
 from .sinks import table
-from .sinks.fixed import check_output, write_fixed
+from .sinks.fixed import check_output, chunks, write_fixed
+from .sinks.ordered import write_chunks
 from .sources import fixed
 from .sources.layout import parse_layout
 from .workspace import new_path, send_package, written
@@ -225,12 +225,11 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv(rows, _bad_orders(rows), ["o_orderkey"], spec).summary
 
 
-def _fixed_path(spark: SparkSession) -> str:
-    return new_path(spark, "fixed").removeprefix("file://")
-
-
-def _make_parent(path: str) -> str:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
+def _with_tail(rows: DataFrame, names: list[str], fields: list, tail: bytes) -> str:
+    """Rows as fixed-width records, and some bytes more."""
+    path = new_path(rows.sparkSession, "fixed")
+    last = rows.sparkSession.createDataFrame([(1, bytearray(tail))], "n long, data binary").coalesce(1)
+    write_chunks(chunks(rows, names, fields).unionByName(last), path)
     return path
 
 
@@ -244,10 +243,9 @@ def fixed_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     spec = spec_of("l_orderkey bigint, l_linenumber int, l_extendedprice double, l_quantity float, l_returnflag text, l_linestatus text")
     fields, stride = parse_layout(FIXED_LINEITEM, output=True)
-    path = _make_parent(_fixed_path(spark))
+    path = new_path(spark, "fixed")
     write_fixed(rows, spec.names, fields, path)
-    records = fixed.read_records(spark, f"file://{path}", stride)
-    back = fixed.convert_fields(records, fields, stride, spec)
+    back = fixed.convert_fields(fixed.read_records(spark, path, stride, fields=fields), fields, spec)
     return back.where("err IS NULL").select(*spec.names[:-1], F.trim("l_linestatus").alias("l_linestatus"))
 
 
@@ -262,27 +260,21 @@ def fixed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus",
     )
     fields, _ = parse_layout(["BIGINT", "UNSIGNED SMALLINT", "SMALLINT", "CHAR(15)", "CHAR(3)"], output=True)
-    path = _make_parent(_fixed_path(spark))
-    write_fixed(rows, rows.columns[1:], fields, path)
-    with open(path, "ab") as file:
-        file.write(b"rest")
+    path = _with_tail(rows, rows.columns[1:], fields, b"rest")
     columns = ["BIGINT", "UNSIGNED SMALLINT", "SMALLINT", "CHAR(13:27)", "VARCHAR (28 + 1)"]
     fields, stride = parse_layout(columns, stride=30)
     spec = spec_of("o_orderkey bigint, cust int, neg int, o_orderpriority text, o_orderstatus text")
-    return fixed.convert_fields(fixed.read_records(spark, f"file://{path}", stride), fields, stride, spec).where("err IS NULL").select(*spec.names)
+    return fixed.convert_fields(fixed.read_records(spark, path, stride, fields=fields), fields, spec).where("err IS NULL").select(*spec.names)
 
 
 def fixed_partial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of lineitem, and all but one byte of another one, which is left out."""
+    """Records of lineitem, all text without a line feed, and all but one byte of another one, which is left out."""
     rows = _read(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("rec_no"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
-    rows = rows.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
-    fields, stride = parse_layout(["BIGINT", "INTEGER", "DOUBLE", "CHAR(19)"], output=True)
-    path = _make_parent(_fixed_path(spark))
-    write_fixed(rows, rows.columns[1:], fields, path)
-    with open(path, "ab") as file:
-        file.write(b"\n" * (stride - 1))
+    texts = rows.select("rec_no", *(F.col(c).cast("string") for c in rows.columns[1:]))
+    fields, stride = parse_layout(["CHAR(20)", "CHAR(11)", "CHAR(24)", "CHAR(19)"], output=True)
+    path = _with_tail(texts, texts.columns[1:], fields, b"x" * (stride - 1))
     spec = spec_of("l_orderkey bigint, l_linenumber int, l_extendedprice double, l_shipdate timestamp")
-    return fixed.convert_fields(fixed.read_records(spark, f"file://{path}", stride), fields, stride, spec).where("err IS NULL").select(*spec.names)
+    return fixed.convert_fields(fixed.read_records(spark, path, stride, fields=fields), fields, spec).where("err IS NULL").select(*spec.names)
 
 
 def fixed_nullif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,10 +282,10 @@ def fixed_nullif(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("n_name", F.expr("CASE WHEN n_nationkey % 4 <> 0 THEN n_name END"))
     rows = rows.withColumn("n_regionkey", F.expr("CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END"))
     fields, stride = parse_layout(["INTEGER", "CHAR(20) NULLIF 'none'", "INTEGER NULLIF FFFFFFFF"], output=True)
-    path = _make_parent(_fixed_path(spark))
+    path = new_path(spark, "fixed")
     write_fixed(rows, NATION.names, fields, path)
     wide = [f if f.code else type(f)(f.kind, f.offset, f.length, None, f.nullif.ljust(f.length)) for f in fields]
-    return fixed.convert_fields(fixed.read_records(spark, f"file://{path}", stride), wide, stride, NATION).select(*NATION.names)
+    return fixed.convert_fields(fixed.read_records(spark, path, stride, fields=wide), wide, NATION).select(*NATION.names)
 
 
 def unsigned_range_reject(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.checks import error
 from ..sources.layout import Field, spelled
+from .ordered import write_chunks
+from .table import file_system, plain_files
 
 
 def check_output(rows: DataFrame, names: list[str], fields: list[Field]) -> DataFrame:
@@ -52,45 +53,43 @@ def encoded(batch: pa.RecordBatch, fields: list[Field]) -> bytes:
     return rows.tobytes()
 
 
-def write_fixed(rows: DataFrame, names: list[str], fields: list[Field], path: str) -> int:
-    """Write good rows, in order of ``rec_no``, to one file and, if there are any, its control file ``path.ctl``.
-
-    Tasks write range partitions beside the file, on the file system that executors share; the parts are then copied
-    together, a few bytes at a time.
-    """
-    if not os.path.isabs(path):
+def must_not_exist(spark: SparkSession, path: str) -> None:
+    if not (os.path.isabs(path) or "://" in path or path.startswith("file:")):
         raise ValueError("the output path must be absolute")
     for p in (path, f"{path}.ctl"):
-        if os.path.exists(p):
+        fs, place = file_system(spark, p)
+        if fs.exists(place):
             raise FileExistsError(p)
-    folder = f"{path}.parts"
-    os.makedirs(folder)
+
+
+def chunks(rows: DataFrame, names: list[str], fields: list[Field]) -> DataFrame:
+    """``n``, ``data``: rows in order of ``rec_no`` as records, a batch of them in one value."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = [f.spark_type for f in fields]
     chosen = rows.repartitionByRange(tasks, "rec_no").sortWithinPartitions("rec_no")
     chosen = chosen.select(*(F.col(f"`{n}`").cast(k).alias(f"f{i}") for i, (n, k) in enumerate(zip(names, kinds, strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, n = TaskContext.get(), 0
-        part = f"{folder}/part-{context.partitionId():06d}"
-        with open(f"{part}.{context.taskAttemptId()}", "wb") as file:
-            for batch in batches:
-                file.write(encoded(batch, fields))
-                n += batch.num_rows
-        os.replace(file.name, part)
-        yield pa.RecordBatch.from_pydict({"n": [n]})
-
-    total = chosen.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
-    with open(f"{path}.tmp", "wb") as out:
-        for part in sorted(os.listdir(folder)):
-            with open(f"{folder}/{part}", "rb") as file:
-                while data := file.read(1 << 20):
-                    out.write(data)
-            os.remove(f"{folder}/{part}")
-    os.rmdir(folder)
-    os.replace(f"{path}.tmp", path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([encoded(batch, fields)], pa.binary())], ["n", "data"])
+
+    return chosen.mapInArrow(run, "n long, data binary")
+
+
+def write_fixed(rows: DataFrame, names: list[str], fields: list[Field], path: str) -> int:
+    """Write good rows, in order of ``rec_no``, and, if there are any, their control file ``path.ctl``; how many there are.
+
+    Tasks write the records, each at its place (``ordered``); no record goes through the driver.
+    """
+    spark = rows.sparkSession
+    must_not_exist(spark, path)
+    total = write_chunks(chunks(rows, names, fields), path)
     if total:
-        with open(f"{path}.ctl", "w") as file:
-            file.write(f"INPUT = {path}\nTYPE = BINARY\nSTRIDE = {sum(f.length for f in fields)}\n")
-            file.writelines(f"COL = {spelled(f)}\n" for f in fields)
+        lines = [f"INPUT = {path}", "TYPE = BINARY", f"STRIDE = {sum(f.length for f in fields)}", *(f"COL = {spelled(f)}" for f in fields)]
+        fs, place = plain_files(spark, f"{path}.ctl")
+        out = fs.create(place, False)
+        try:
+            out.write(bytearray("".join(f"{x}\n" for x in lines), "utf-8"))
+        finally:
+            out.close()
     return total

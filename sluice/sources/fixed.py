@@ -2,135 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.convert import code, faulty, typed
 from ..operators.checks import error, first_of
 from ..plans.spec import TableSpec
+from ..sinks.ordered import resolved
+from . import ranges
 from .layout import Field
-from .ordinal import numbered
-from .text import ShortInput, lines_of
-
-
-def read_records(spark: SparkSession, path: str, stride: int, skip: int = 0) -> DataFrame:
-    """``rec_no`` (from 1, after ``skip`` records), ``raw`` (binary). A partial record at the end is left out."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    size = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).getLen()
-    if size // stride < skip:
-        raise ShortInput(f"cannot skip {skip} records: the input has {size // stride}")
-    if size % stride == 0 and size:
-        rdd = spark.sparkContext._jsc.binaryRecords(path, stride).rdd()
-        rows = DataFrame(spark._jsparkSession.createDataset(rdd, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
-        rows = rows.select(
-            F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("within"), F.col("value").alias("raw")
-        )
-        found = numbered(rows, "block", "within", "n")
-    else:  # Hadoop's reader of fixed records takes whole ones only
-        found = _by_lines(spark, path, stride, size // stride)
-    return found.where(F.col("n") > skip).select((F.col("n") - skip).alias("rec_no"), "raw")
-
-
-def _by_lines(spark: SparkSession, path: str, stride: int, n: int) -> DataFrame:
-    """``n``, ``raw`` of the first ``n`` records, of a file of any size.
-
-    The file is read in parallel like text, as runs of bytes between line feeds. Their lengths, summed for each block
-    that a task reads, tell where a block begins; it is cut at multiples of ``stride``, and records that cross blocks are put
-    together from their parts, which are the only rows that are shuffled. A run without a line feed must stay below 2 GiB.
+from .text import ShortInput
+
+
+def sizes_of(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
+    """Files and their bytes: a file, those of a folder by name, or a list of files."""
+    found = []
+    for p in [path] if isinstance(path, str) else path:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += sorted((str(s.getPath().toString()), s.getLen()) for s in fs.listStatus(place) if s.isFile() and s.getPath().getName()[0] not in "._")
+    return found
+
+
+def read_records(
+    spark: SparkSession, path: str | list[str], stride: int, skip: int = 0, fields: list[Field] | None = None, encoding: str | None = None
+) -> DataFrame:
+    """``rec_no`` (from 1, after ``skip`` records), ``raw`` (binary), and ``decoded`` ones of ``fields``, if given.
+
+    Files are read by byte ranges of whole records (``ranges``), so their numbers are known from the start. A partial
+    record at the end of a file is left out.
     """
-    lines = lines_of(spark, path).select("block", F.col("value").cast("binary").alias("value"))
-    sizes = lines.groupBy("block").agg(F.sum(F.octet_length("value") + 1).alias("size")).orderBy("block").collect()
-    starts, at = {}, 0
-    for b in sizes:  # a row for each part of the file that a task reads
-        starts[b["block"]] = at
-        at += b["size"]
-    sent = spark.sparkContext.broadcast(starts)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole records, and parts of others with the byte of the record at which they begin."""
-        current, at, rest = None, 0, b""
-
-        def parts(end: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal at, rest
-            head = min(-at % stride, len(rest))
-            whole = (len(rest) - head) // stride
-            last = head + whole * stride
-            rows = [(at // stride + 1, at % stride, rest[:head])] if head else []
-            rows += [((at + k) // stride + 1, 0, rest[k : k + stride]) for k in range(head, last, stride)]
-            if end and last < len(rest):
-                rows.append(((at + last) // stride + 1, 0, rest[last:]))
-            at, rest = at + last, b"" if end else rest[last:]
-            if rows := [x for x in rows if x[0] <= n]:
-                kinds = (pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["n", "at", "raw"])
-
-        for batch in batches:
-            names, values = (x.to_pylist() for x in batch.columns)
-            bounds = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                if a < b and names[a] != current:
-                    yield from parts(True)
-                    current = names[a]
-                    at = sent.value[current]
-                rest = b"\n".join([rest + values[a], *values[a + 1 : b], b""]) if a < b else rest
-                if len(rest) >= max(stride, 1 << 20):
-                    yield from parts(False)
-        yield from parts(True)
-
-    rows = lines.mapInArrow(cut, "n long, at long, raw binary")
-    whole = F.octet_length("raw") == stride
-    # Parts come in order of their bytes; a line feed that the file does not end with lies beyond the last whole record.
-    crossed = rows.where(~whole).groupBy("n").agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("p"))
-    joined = F.aggregate("p", F.lit(b""), lambda x, y: F.concat(x, y["raw"]))
-    return rows.where(whole).select("n", "raw").unionByName(crossed.select("n", F.substring(joined, 1, stride).alias("raw")))
-
-
-def _utf8(data: bytes, encoding: str | None) -> bytes:
-    """Bytes of another encoding as UTF-8; a byte that UTF-8 doesn't have if they are malformed."""
-    if not encoding:
-        return data
-    try:
-        return data.decode(encoding).encode()
-    except UnicodeDecodeError:
-        return b"\xff"
-
-
-def decoded(records: DataFrame, fields: list[Field], stride: int, encoding: str | None = None) -> DataFrame:
-    """``rec_no``, ``raw``, ``f0``, ``f1``, ...: numbers typed, text as bytes; numbers whose bytes are NULLIF are null."""
-    kind = np.dtype(
-        {
-            "names": [f"f{i}" for i in range(len(fields))],
-            "formats": [("<" + f.code) if f.code else f"V{f.length}" for f in fields],
-            "offsets": [f.offset for f in fields],
-            "itemsize": stride,
-        }
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = b"".join(batch.column(1).to_pylist())
-            rows = np.frombuffer(data, kind)
-            columns = []
-            for i, f in enumerate(fields):
-                own = rows[f"f{i}"]
-                if not f.code:
-                    columns.append(pa.array([_utf8(x.tobytes(), encoding) for x in own], pa.binary()))
-                    continue
-                null = None
-                if f.nullif is not None:
-                    raw = np.frombuffer(data, np.uint8).reshape(-1, stride)[:, f.offset : f.offset + f.length]
-                    null = (raw == np.frombuffer(f.nullif, np.uint8)).all(axis=1)
-                values = own.astype({"u2": np.int32, "u4": np.int64}.get(f.code, own.dtype))
-                columns.append(pa.array(values, mask=null))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["rec_no", "raw", *(f"f{i}" for i in range(len(fields)))])
-
-    types = ", ".join(f"f{i} {f.spark_type if f.code else 'binary'}" for i, f in enumerate(fields))
-    return records.select("rec_no", "raw").mapInArrow(run, f"rec_no long, raw binary, {types}")
+    files = [(resolved(spark, f), n // stride) for f, n in sizes_of(spark, path)]
+    if sum(n for _, n in files) < skip:
+        raise ShortInput(f"cannot skip {skip} records: the input has {sum(n for _, n in files)}")
+    return ranges.read(spark, files, stride, skip, fields or [], encoding)
 
 
 def text_of(data: Column, f: Field) -> Column:
@@ -173,9 +78,10 @@ def _rounded(value: Column, digits: int) -> Column:
 
 
 def convert_fields(
-    records: DataFrame, fields: list[Field], stride: int, spec: TableSpec, encoding: str | None = None, defaults: dict | None = None
+    records: DataFrame, fields: list[Field], spec: TableSpec, defaults: dict | None = None
 ) -> DataFrame:
-    """``rec_no``, ``raw``, ``err`` and the columns of ``spec``, one field each; trailing ones without a field take their value in ``defaults``."""
+    """``rec_no``, ``raw``, ``err`` and the columns of ``spec`` from records read with ``fields``, one field each; trailing
+    ones without a field take their value in ``defaults``."""
     missing = spec.columns[len(fields) :]
     if len(fields) > len(spec.columns) or any(c.name not in (defaults or {}) for c in missing):
         raise ValueError(f"{len(fields)} COL for {len(spec.columns)} columns")
@@ -193,4 +99,4 @@ def convert_fields(
         columns.append(value.cast(c.spark_type).alias(c.name))
         errors.append(F.when(faulty(text, value, c), error(code(text, c), i + 1, c.name)))
     columns += [F.lit(defaults[c.name]).cast(c.spark_type).alias(c.name) for c in missing]
-    return decoded(records, fields, stride, encoding).select("rec_no", "raw", first_of(errors).alias("err"), *columns)
+    return records.select("rec_no", "raw", first_of(errors).alias("err"), *columns)

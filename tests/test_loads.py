@@ -1,13 +1,14 @@
 import os
 import random
 import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.registry import Filter, FunctionError, Registry, Source, parse_call
 from sluice.operators.cutoff import last_record
-from sluice.operators.dedup import deduplicate, deduplicate_ranked
+from sluice.operators.dedup import deduplicate
 from sluice.plans.load import DuplicateError, load
 from sluice.plans.options import INFINITE, OptionError, boolean, keyword, options_of, parse_control, with_paths
 from sluice.plans.spec import TableSpec, UniqueKey, spec_of
@@ -15,8 +16,55 @@ from sluice.sinks import table
 from sluice.sources import text
 from sluice.sources.layout import parse_field, parse_layout, spelled
 
-TARGET = spec_of("id int not null, str text not null, master int", (UniqueKey(("id",)), UniqueKey(("str",))), (("short", "length(str) < 10"),))
-DATA5 = "10,ant,0\n20,centipedes,0\n30,,5\n40,ant,5\n10,bee,0\n,cow,5\n50,dog,2\n60,elk,3\n,,\n70,fox,8\n"
+#: Rooms of a building: a room has one name, and on each floor a number is given once, if it has any.
+ROOMS = spec_of(
+    "name varchar(6) not null, floor smallint, number int, seats numeric(4,1) not null",
+    (UniqueKey(("floor", "number")), UniqueKey(("lower(name)",))),
+    (("some", "seats > 0"),),
+)
+
+
+def room_lines(seed, n):
+    """Lines with faults of several kinds, at places that ``seed`` draws."""
+    rng = random.Random(seed)
+    lines = []
+    for _ in range(n):
+        name = rng.choice(["Oak", "oak", "Elm", "Fir", "", "Larch", "Sequoia", "Yew", "Ash", "Box"])
+        seats = rng.choice(["4", "12.5", "0", "-1", "", "many", "9999.9", "7"])
+        lines.append(",".join([name, rng.choice(["1", "2", "", "70000"]), rng.choice(["", "10", "11", "12", "13", "x"]), seats] + ["more"] * (rng.random() < 0.05)))
+    return lines
+
+
+def slow_rooms(lines, stored=(), cap=None, limit=None, checks=False, keep="NEW"):
+    """The rules of a load as a loop: (loaded, rejects, new duplicates, old ones), the rows, the rejected lines."""
+    good, bad = [], []
+    for line in lines:
+        if limit is not None and len(good) >= limit or cap is not None and len(bad) > cap:
+            break
+        parts = line.split(",")
+        try:
+            if len(parts) != 4:
+                raise ValueError
+            name, floor, number, seats = (x or None for x in parts)
+            if name and len(name) > 6 or floor and int(floor) > 32767:
+                raise ValueError
+            row = (name, floor and int(floor), number and int(number), seats and round(Decimal(seats), 1))
+            if row[3] is not None and abs(row[3]) >= 1000 or row[0] is None or row[3] is None or checks and row[3] <= 0:
+                raise ValueError
+            good.append(row)
+        except (ValueError, ArithmeticError):
+            bad.append(line)
+    rows, counts = [(0, i, r) for i, r in enumerate(stored)] + [(1, i, r) for i, r in enumerate(good)], [0, 0]
+    for key in (lambda r: None if None in r[1:3] else r[1:3], lambda r: r[0].lower()):
+        best = {}
+        for x in sorted(rows, key=lambda x: (-x[0] if keep == "NEW" else x[0], x[1])):
+            if key(x[2]) is not None:
+                best.setdefault(key(x[2]), x)
+        kept = [x for x in rows if key(x[2]) is None or best[key(x[2])] is x]
+        for x in rows:
+            counts[x[0]] += x not in kept
+        rows = kept
+    return (len(good) - counts[1], len(bad), counts[1], counts[0]), [x[2] for x in rows], bad
 
 
 @pytest.fixture
@@ -34,52 +82,212 @@ def run(spark, tmp_path):
     return go
 
 
-def test_constraints_and_two_keys(run):
-    assert run(DATA5, TARGET) == (0, 5, 3, 2, 0)
-    assert run.rows(TARGET) == sorted([(10, "ant", 0), (20, "centipedes", 0), (50, "dog", 2), (60, "elk", 3), (70, "fox", 8)], key=str)
+@pytest.mark.parametrize("checks", [False, True])
+def test_constraints_and_two_keys(run, checks):
+    lines = room_lines(5, 60)
+    counts, rows, _ = slow_rooms(lines, checks=checks)
+    assert run("\n".join(lines) + "\n", ROOMS, CHECK_CONSTRAINTS="yes" if checks else "no") == (0, *counts)
+    assert run.rows(ROOMS) == sorted(rows, key=str)
+    assert min(counts) == 0 and counts[1] > 5 and counts[2] > 2
 
 
-def test_cap_stops_reading_and_commits(run):
-    assert run(DATA5, TARGET, PARSE_ERRORS="2", PARSE_BADFILE=str(run.folder / "bad")) == (0, 4, 3, 2, 0)
-    assert (run.folder / "bad").read_text() == "30,,5\n,cow,5\n,,\n"
+@pytest.mark.parametrize("cap", [0, 4])
+def test_cap_stops_reading_and_commits(run, cap):
+    lines = room_lines(8, 40)
+    counts, rows, bad = slow_rooms(lines, cap=cap)
+    assert run("\n".join(lines), ROOMS, PARSE_ERRORS=str(cap), PARSE_BADFILE=str(run.folder / "bad")) == (0, *counts)
+    assert len(bad) == cap + 1 and (run.folder / "bad").read_text() == "".join(f"{x}\n" for x in bad)
+    assert run.rows(ROOMS) == sorted(rows, key=str)
 
 
-def test_checks_only_if_asked(run):
-    assert run(DATA5, TARGET, CHECK_CONSTRAINTS="yes") == (0, 4, 4, 2, 0)
+@pytest.mark.parametrize("keep", ["NEW", "OLD"])
+def test_loads_into_a_table_with_rows(run, keep):
+    """Three loads, each against what the ones before have left; removed rows are told as lines."""
+    rows = []
+    for seed in (1, 2, 3):
+        lines = room_lines(seed, 40)
+        counts, after, _ = slow_rooms(lines, rows, keep=keep)
+        bad = run.folder / f"dup{seed}"
+        assert run("\n".join(lines), ROOMS, ON_DUPLICATE_KEEP=keep, DUPLICATE_BADFILE=str(bad)) == (0, *counts)
+        assert run.rows(ROOMS) == sorted(after, key=str)
+        assert (len(bad.read_text().splitlines()) if bad.exists() else 0) == counts[2] + counts[3]
+        rows = after
+        assert seed == 1 or counts[3 if keep == "NEW" else 2]
 
 
 def test_too_many_duplicates_change_nothing(run):
-    spec = spec_of("i int, t text", (UniqueKey(("i",)),))
-    assert run("1,one\n", spec) == (0, 1, 0, 0, 0)
-    with pytest.raises(DuplicateError):
-        run("1,again\n2,two\n", spec, DUPLICATE_ERRORS="0", TRUNCATE="NO")
-    assert run.rows(spec) == [(1, "one")]
-    assert not (run.folder / "table" / "_LOCK").exists()
-
-
-DATA9, DATA10 = '7,"red"\n8,"blue"\n,"green"\n,"grey"\n', '3,"oak"\n4,"elm"\n,"ash"\n,"fir"\n'
-
-
-def test_null_keys(run):
-    distinct = spec_of("i int, t text", (UniqueKey(("i",)),))
-    assert run(DATA9, distinct) == (0, 4, 0, 0, 0)
-
-
-@pytest.mark.parametrize(("keep", "counts", "survivor"), [("NEW", (0, 3, 0, 1, 1), "ash"), ("OLD", (0, 2, 0, 2, 0), "green")])
-def test_null_keys_alike(run, keep, counts, survivor):
-    spec = spec_of("i int, t text", (UniqueKey(("i",), nulls_distinct=False),))
-    assert run(DATA9, spec) == (0, 3, 0, 1, 0)
-    assert run(DATA10, spec, ON_DUPLICATE_KEEP=keep, DUPLICATE_BADFILE=str(run.folder / "dup")) == counts
-    assert [t for i, t in run.rows(spec) if i is None] == [survivor]
-    assert (run.folder / "dup").exists()
-
-
-def test_reload_three_times(run):
-    spec = spec_of("id1 int, id2 int, id3 int", (UniqueKey(("id1", "id2", "id3")),))
-    data = "\n".join(f"{i},{i + 1},{i + 2}" for i in range(1, 301))
-    assert run(data, spec) == (0, 300, 0, 0, 0)
-    assert run(data, spec) == run(data, spec) == (0, 300, 0, 0, 300)
-    assert len(run.rows(spec)) == 300
+    spec = spec_of("k text, v int", (UniqueKey(("k",)),))
+    assert run("pear,1\nplum,2\n", spec) == (0, 2, 0, 0, 0)
+    for data, code in (("plum,3\nfig,4\n", "duplicate_errors"), ("fig,4\nfig,5\nplum,6\n", "unique_violation")):
+        with pytest.raises(DuplicateError) as found:
+            run(data, spec, DUPLICATE_ERRORS="0", TRUNCATE="NO")
+        assert found.value.code == code
+    with pytest.raises(DuplicateError) as found:
+        run("fig,4\nfig,5\nplum,6\n", spec, DUPLICATE_ERRORS="1", TRUNCATE="NO")
+    assert found.value.code == "duplicate_errors"
+    assert run.rows(spec) == [("pear", 1), ("plum", 2)]
+    assert sorted(x.name[0] for x in (run.folder / "table").iterdir() if not x.name.startswith(".")) == ["_", "s", "v"]
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_null_keys(run, alike):
+    spec = spec_of("n int, w text", (UniqueKey(("n",), nulls_distinct=not alike),))
+    data = "".join(f"{'' if i % 3 == 1 else i % 8},{i}\n" for i in range(20))
+    want = {}
+    for i in range(20):
+        key = None if i % 3 == 1 else i % 8
+        want.setdefault((key, i if key is None and not alike else 0), (key, str(i)))
+    assert run(data, spec) == (0, len(want), 0, 20 - len(want), 0)
+    assert run.rows(spec) == sorted(want.values(), key=str)
+
+
+def test_the_same_rows_again_and_again(run, spark):
+    spec = spec_of("a int, b int", (UniqueKey(("a", "b")),))
+    data = "\n".join(f"{i % 9},{i * i}" for i in range(150))
+    assert run(data, spec) == (0, 150, 0, 0, 0)
+    for _ in range(2):
+        assert run(data, spec) == (0, 150, 0, 0, 150)
+    want = run.rows(spec)
+    assert len(want) == 150
+    assert table.compact(spark, str(run.folder / "table"), spec.ddl) == 2
+    assert run.rows(spec) == want and run(data, spec, ON_DUPLICATE_KEEP="OLD") == (0, 0, 0, 150, 0)
+
+
+def test_a_replaced_row_touches_one_file(run, spark, monkeypatch):
+    """Ten loads make files of their own; a load of one key looks into the one that has it, and writes a row and a mark."""
+    spec = spec_of("k bigint, v text", (UniqueKey(("k",)),))
+    for i in range(10):
+        run("\n".join(f"{(k * 10 + i) * 7},{i}" for k in range(200)), spec)
+    seen, whole = [], table.rows_at
+    monkeypatch.setattr(table, "rows_at", lambda s, t, v, ddl, files=None: seen.append(files) or whole(s, t, v, ddl, files))
+    folder = run.folder / "table"
+    before = {x for x in folder.rglob("part-*")}
+    assert run("2135,new\n999999,more\n", spec) == (0, 2, 0, 0, 1)
+    every = table._files(spark, str(folder), table.current(spark, str(folder)).folders)
+    assert len(seen[0]) <= 2 < 10 <= len(every) - 1
+    made = [x for x in folder.rglob("part-*") if x not in before]
+    assert sum(spark.read.parquet(str(x)).count() for x in made if "/d=" in str(x)) == 1
+    assert sum(spark.read.parquet(str(x)).count() for x in made if "/v=" in str(x)) == 2
+    assert len(run.rows(spec)) == 2001 and (2135, "new") in run.rows(spec)
+
+
+def test_summaries_find_every_file_that_holds_a_key(spark, tmp_path):
+    from sluice.sinks import summaries
+
+    rng = random.Random(9)
+    spec = spec_of("a int, b text", (UniqueKey(("a", "b"), "a > 3"), UniqueKey(("b",), nulls_distinct=False)))
+    files = {}
+    for i in range(6):
+        rows = [(rng.randrange(40), rng.choice([None, "x", "y", "zz", f"own{rng.randrange(99)}"])) for _ in range(12)]
+        spark.createDataFrame(rows, spec.ddl).coalesce(1).write.parquet(f"{tmp_path}/v={i}-t")
+        summaries.write(spark, f"{tmp_path}/s={i}-t", f"{tmp_path}/v={i}-t", spec)
+        files[i] = rows
+    version = table.Version(6, tuple((f"v={i}-t", tuple(summaries.signature(k) for k in spec.unique)) for i in range(5)) + (("v=5-t", ()),), ())
+    found_less = False
+    for _ in range(12):
+        new = [(rng.randrange(40), rng.choice([None, "x", f"own{rng.randrange(99)}"])) for _ in range(rng.choice([0, 1, 2]))]
+        found = summaries.files_with(spark, str(tmp_path), version, spark.createDataFrame(new, spec.ddl), spec)
+        got = {int(x[2]) for x in found}
+        keys = [{(a, b) for a, b in new if a > 3 and b is not None}, {b for _, b in new}]
+        want = {i for i, rows in files.items() if {(a, b) for a, b in rows if a > 3} & keys[0] or {b for _, b in rows} & keys[1]}
+        assert want | {5} <= got
+        found_less |= len(got) < 6
+    assert found_less
+
+
+class Paused(Exception):
+    pass
+
+
+def test_a_second_load_is_refused(run, spark, monkeypatch):
+    """While a load has read the table and not committed yet, another one can't begin; afterwards it can, and no row is lost."""
+    spec = spec_of("k int, v text", (UniqueKey(("k",)),))
+    run("1,a\n2,b\n", spec)
+    commit, refused = table.commit, []
+
+    def during(*args):
+        with pytest.raises(table.TableBusy):
+            run("3,c\n4,d\n", spec)
+        refused.append(True)
+        return commit(*args)
+
+    monkeypatch.setattr(table, "commit", during)
+    assert run("1,x\n5,e\n", spec) == (0, 2, 0, 0, 1)
+    monkeypatch.setattr(table, "commit", commit)
+    assert refused and run("3,c\n4,d\n", spec) == (0, 2, 0, 0, 0)
+    assert run.rows(spec) == [(1, "x"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
+
+
+@pytest.mark.parametrize("data", ["1,x\n5,e\n", "7,first\n"])
+def test_a_claim_that_expired_while_its_load_lived(run, spark, monkeypatch, data):
+    """The slow load finds that the table has changed; all rows of the finished one stay."""
+    spec = spec_of("k int, v text", (UniqueKey(("k",)),))
+    path = str(run.folder / "table")
+    run("1,a\n2,b\n", spec)
+    commit = table.commit
+
+    def late(*args):
+        monkeypatch.setattr(table, "commit", commit)
+        os.utime(run.folder / "table" / "_CLAIM", (0, 0))
+        assert run("3,c\n7,second\n", spec) == (0, 2, 0, 0, 0)
+        return commit(*args)
+
+    monkeypatch.setattr(table, "commit", late)
+    with pytest.raises(table.Conflict):
+        run(data, spec)
+    assert run.rows(spec) == [(1, "a"), (2, "b"), (3, "c"), (7, "second")]
+    version = table.current(spark, path)
+    assert table.commit(spark, path, version, version).number == version.number + 1
+    with pytest.raises(table.Conflict):
+        table.commit(spark, path, version, version)
+
+
+def test_a_dead_load_s_claim_is_taken_over(run, spark):
+    spec = spec_of("k int")
+    path = str(run.folder / "table")
+    dead = table.Claim(spark, path)
+    assert table._create(spark, f"{path}/_CLAIM", '{"owner": "dead"}') and not dead.held()
+    with pytest.raises(table.TableBusy):
+        run("1\n", spec)
+    os.utime(run.folder / "table" / "_CLAIM", (0, 0))
+    assert run("1\n", spec) == (0, 1, 0, 0, 0)
+    assert not (run.folder / "table" / "_CLAIM").exists()
+
+
+def test_a_claim_is_renewed(spark, tmp_path):
+    import time
+
+    with table.Claim(spark, str(tmp_path / "t"), expiry=2) as claim:
+        time.sleep(3)
+        with pytest.raises(table.TableBusy):
+            table.Claim(spark, str(tmp_path / "t"), expiry=2).__enter__()
+        assert claim.held()
+
+
+def test_a_load_that_fails_leaves_nothing(run, spark):
+    spec = spec_of("k int")
+    run("1\n", spec)
+    before = sorted(str(x) for x in (run.folder / "table").rglob("*"))
+    broken = Registry([Filter("f", spec.columns, spec.columns, lambda k: [F.raise_error(F.lit("no")) + k])])
+    with pytest.raises(Exception, match="no"):
+        run("1\n", spec, broken, FILTER="f")
+    assert sorted(str(x) for x in (run.folder / "table").rglob("*")) == before
+
+
+def test_checked_rows_are_scanned_once(run, spark):
+    """Without bounds and keys a load parses its records in one pass, which counts and writes them."""
+    from sluice.functions import convert  # noqa: F401
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def body(k):
+        seen.add(1)
+        return (k,)
+
+    spec = spec_of("k int")
+    f = Registry([Filter("f", spec.columns, spec.columns, body, python=True)])
+    assert run("".join(f"{i}\n" for i in range(50)) + "x\n", spec, f, FILTER="f") == (0, 50, 1, 0, 0)
+    assert seen.value == 50
 
 
 def test_limit_counts_good_rows_and_skip_lines(run):
@@ -95,16 +303,30 @@ def test_filter(run):
     result = spec_of("x int, y text, z int").columns
 
     def body(a, b, c, d):
-        if a == 41:
-            raise ValueError("forty-one")
-        return None if a == 61 else (b + c, d, a)
-
-    data6 = "11,12,13,14\n21\n31,32,33,34,35\n41,42,43,44\n51a,52,53,54\n61,62,63,64\n71,72\n,82,83,85\n"
-    f = Registry([Filter("f", arguments, result, body, (100, "default value"), strict=True, python=True)])
-    spec = spec_of("id int, str text, master int")
-    assert run(data6, spec, f, FILTER="f") == (0, 4, 4, 0, 0)
-    assert run.rows(spec) == sorted([(25, "14", 11), (172, "default value", 71), (None,) * 3, (None,) * 3], key=str)
-    assert run(data6, spec, f, FILTER="f", PARSE_ERRORS="3", TRUNCATE="yes") == (0, 1, 4, 0, 0)
+        if a % 9 == 4:
+            raise ValueError("four")
+        return None if a % 9 == 7 else (b * c, d + "!", a)
+
+    rng, want, bad = random.Random(12), [], 0
+    lines = []
+    for a in range(70):
+        parts = [str(a), rng.choice(["3", "5", ""]), rng.choice(["2", "", "z"]), "t", "more"][: rng.choice([1, 2, 3, 4, 4, 5])]
+        lines.append(",".join(parts))
+        values = [*parts, *["8", "none"][len(parts) - 2 :]] if 2 <= len(parts) < 4 else parts
+        if len(values) != 4 or values[2] == "z":
+            bad += 1
+        elif "" in values or a % 9 == 7:
+            want.append((None,) * 3)
+        elif a % 9 == 4:
+            bad += 1
+        else:
+            want.append((int(values[1]) * int(values[2]), values[3] + "!", a))
+    data = "\n".join(lines)
+    f = Registry([Filter("f", arguments, result, body, (8, "none"), strict=True, python=True)])
+    spec = spec_of("product int, word text, id int")
+    assert run(data, spec, f, FILTER="f") == (0, len(want), bad, 0, 0)
+    assert run.rows(spec) == sorted(want, key=str)
+    assert run(data, spec, f, FILTER="f", PARSE_ERRORS="3", TRUNCATE="yes")[2] == 4
     none = Registry([Filter("n", (), result, lambda: [F.lit(1), F.lit("call"), F.lit(3)])])
     assert run("\n" * 5, spec, none, FILTER="n", TRUNCATE="yes") == (0, 5, 0, 0, 0)
     with pytest.raises(FunctionError):
@@ -195,8 +417,6 @@ def test_dedup_is_the_loop(spark):
             rows = [r for r in rows if not use(r) or best[r[at]] == r]
         found = deduplicate(spark.createDataFrame(new, "rec_no long, a int, b int"), spark.createDataFrame(old, "a int, b int"), spec, keep)
         assert sorted(map(str, (tuple(r) for r in found.kept.collect()))) == sorted(map(str, rows))
-    plain = deduplicate_ranked(spark.createDataFrame(new, "rec_no long, a int, b int"), None, spec.unique[0], spec)
-    assert plain.where("a is not null").count() == len({a for _, a, _ in new if a is not None})
 
 
 def test_function_source(run):
@@ -311,19 +531,36 @@ def test_records_that_are_too_long(spark, tmp_path, small_splits, monkeypatch):
     assert all(len(r.raw) < 3200 for r in rows)
 
 
-def test_partial_tail_in_many_splits(spark, tmp_path, small_splits):
+def test_byte_ranges_of_whole_records(spark, tmp_path, small_splits):
+    """Any bytes, with a part of a record at the end, in many tasks; a folder's files follow each other."""
     from sluice.sources import fixed
 
     rng = random.Random(3)
     for stride, n, tail in ((7, 400, 3), (1, 500, 0), (300, 9, 299), (13, 0, 5), (64, 100, 1)):
         data = bytes(rng.choice(b"\n\x00\xffab") for _ in range(stride * n + tail))
         (tmp_path / "in.bin").write_bytes(data)
-        rows = fixed._by_lines(spark, str(tmp_path / "in.bin"), stride, n).orderBy("n").collect()
-        assert [r.n for r in rows] == list(range(1, n + 1))
-        assert b"".join(bytes(r.raw) for r in rows) == data[: stride * n]
+        rows = fixed.read_records(spark, str(tmp_path / "in.bin"), stride)
+        found = rows.orderBy("rec_no").collect()
+        assert [r.rec_no for r in found] == list(range(1, n + 1))
+        assert b"".join(bytes(r.raw) for r in found) == data[: stride * n]
+        assert rows.rdd.getNumPartitions() >= min(n, stride * n // 200)
     assert fixed.read_records(spark, str(tmp_path / "in.bin"), 64, skip=98).count() == 2
     with pytest.raises(text.ShortInput):
         fixed.read_records(spark, str(tmp_path / "in.bin"), 64, skip=101)
+    (tmp_path / "many").mkdir()
+    for i in range(3):
+        (tmp_path / "many" / f"part-{i}").write_bytes(bytes([65 + i]) * (10 * i + 5) + b"\n")
+    found = fixed.read_records(spark, str(tmp_path / "many"), 5, skip=2).orderBy("rec_no").collect()
+    assert [bytes(r.raw) for r in found] == [b"BBBBB"] * 2 + [b"CCCCC"] * 5
+
+
+def test_files_written_by_tasks(spark, tmp_path):
+    from sluice.sinks.ordered import write_lines
+
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("row "), "id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")), F.lit("\n")).cast("binary").alias("data"))
+    assert write_lines(rows.orderBy(F.rand(1)), "k", str(tmp_path / "deep" / "out")) == 5000
+    assert (tmp_path / "deep" / "out").read_text() == "".join(f"row {i}{'x' * (i % 50)}\n" for i in range(5000))
+    assert write_lines(rows.where("false"), "k", str(tmp_path / "none")) == 0 and not (tmp_path / "none").exists()
 
 
 def test_standard_input(spark, monkeypatch):
@@ -331,10 +568,46 @@ def test_standard_input(spark, monkeypatch):
 
     from sluice.plans.load import spooled
 
-    for kind, want in (("CSV", b"1,a\n"), ("BINARY", b"1,a\n\\.\n\x00\xff\n\\")):
-        monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"1,a\n\\.\n\x00\xff\n\\")))
-        found = spark.read.format("binaryFile").load(spooled(spark, kind)).first()
-        assert bytes(found.content) == want
+    for kind, want in (("CSV", b"1,a\n2,b\n"), ("BINARY", b"1,a\n2,b\n\\.\n\x00\xff\n\\")):
+        for most in (None, 3):
+            monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"1,a\n2,b\n\\.\n\x00\xff\n\\")))
+            path, ended = spooled(spark, kind, most)
+            if most:
+                assert not ended and len(spark.read.format("binaryFile").load(path).first().content) < len(want)
+                path, ended = spooled(spark, kind, None, path)
+            assert ended and bytes(spark.read.format("binaryFile").load(path).first().content) == want
+
+
+def test_a_bounded_load_of_standard_input_reads_no_further(spark, tmp_path, monkeypatch):
+    import io
+
+    from sluice.plans import load as module
+
+    monkeypatch.setattr(module, "HEAD_BYTES", 1000)
+    given = io.BytesIO("".join(f"{i}\n" for i in range(5000)).encode())
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(given))
+    options = {"INPUT": "stdin", "OUTPUT": str(tmp_path / "t"), "LIMIT": "20"}
+    assert load(spark, options, spec_of("i int")).count == 20 and given.tell() < 20_000
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("".join(f"{i}\n" for i in range(5000)).encode())))
+    assert load(spark, options | {"LIMIT": "4000", "TRUNCATE": "YES"}, spec_of("i int")).count == 4000
+
+
+def test_a_bounded_load_opens_a_few_files_of_a_folder(spark, tmp_path, monkeypatch):
+    from sluice.plans import load as module
+
+    monkeypatch.setattr(module, "HEAD_BYTES", 500)
+    (tmp_path / "in").mkdir()
+    for k in range(100):
+        (tmp_path / "in" / f"part-{k:03d}").write_text("".join(f"{k * 40 + i}\n" for i in range(40)))
+    seen, whole = [], module.parsed
+    monkeypatch.setattr(module, "parsed", lambda s, o, *rest: seen.append(o.INPUT) or whole(s, o, *rest))
+    options = {"INPUT": str(tmp_path / "in"), "OUTPUT": str(tmp_path / "t")}
+    assert load(spark, options | {"LIMIT": "100"}, spec_of("i int")).count == 100
+    assert len(seen) == 1 and len(seen[0]) <= 5
+    assert load(spark, options | {"LIMIT": "500", "TRUNCATE": "YES"}, spec_of("i int")).count == 500
+    assert [len(x) for x in seen[1:]] == [len(seen[0]), 30] or len(seen[-1]) < 60
+    assert sorted(r.i for r in table.read_table(spark, str(tmp_path / "t"), "i int").collect()) == list(range(500))
+    assert load(spark, options | {"LIMIT": "3990", "TRUNCATE": "YES"}, spec_of("i int")).count == 3990 and seen[-1] == str(tmp_path / "in")
 
 
 def test_a_bounded_load_reads_the_beginning(run, spark, monkeypatch):
@@ -346,8 +619,10 @@ def test_a_bounded_load_reads_the_beginning(run, spark, monkeypatch):
     spec = spec_of("i int, t text")
     data = "".join(f'{i},"text\n{i}"\n' for i in range(1, 500))
     assert run(data, spec, LIMIT="3") == (0, 3, 0, 0, 0) and len(seen) == 1 and "head" in seen[0]
-    assert run("x,y\n" * 300, spec, PARSE_ERRORS="4", TRUNCATE="YES") == (0, 0, 5, 0, 0) and len(seen) == 2
-    assert run(data, spec, LIMIT="300", TRUNCATE="YES") == (0, 300, 0, 0, 0) and len(seen) == 4
+    assert run("x,y\n" * 3000, spec, PARSE_ERRORS="4", TRUNCATE="YES") == (0, 0, 5, 0, 0) and len(seen) == 2
+    assert run("1,y\n" * 3000, spec, PARSE_ERRORS="4", TRUNCATE="YES") == (0, 3000, 0, 0, 0) and len(seen) == 4
+    assert run(data, spec, LIMIT="30", TRUNCATE="YES") == (0, 30, 0, 0, 0) and len(seen) == 6 and "head" in seen[5]
+    assert run(data, spec, LIMIT="490", TRUNCATE="YES") == (0, 490, 0, 0, 0) and seen[-1].endswith(".txt")
     assert run(data, spec, SKIP="600", LIMIT="3", TRUNCATE="YES") == (600, 3, 0, 0, 0)
     assert [i for i, _ in run.rows(spec)] == [301, 302, 303]
 
