@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.convert import code, faulty, typed
-from ..operators.checks import error, first_of
+from ..operators.checks import checked_values, error, first_of
 from ..plans.spec import TableSpec
 from ..sinks.ordered import resolved
 from . import ranges
@@ -48,6 +47,11 @@ def text_of(data: Column, f: Field) -> Column:
     return F.when(own != null, text)
 
 
+def valid_text(data: Column) -> Column:
+    upto = F.substring_index(F.decode(data, "ISO-8859-1"), "\0", 1)
+    return F.is_valid_utf8(F.encode(upto, "ISO-8859-1").cast("string"))
+
+
 def wrapped(value: Column, kind: str) -> Column:
     """A number as an integer of fewer bits, as C casts it."""
     bits = {"smallint": 16, "int": 32}[kind]
@@ -85,18 +89,22 @@ def convert_fields(
     missing = spec.columns[len(fields) :]
     if len(fields) > len(spec.columns) or any(c.name not in (defaults or {}) for c in missing):
         raise ValueError(f"{len(fields)} COL for {len(spec.columns)} columns")
-    columns, errors = [], []
-    for i, (f, c) in enumerate(zip(fields, spec.columns, strict=False)):
+    plain = lambda f, c: f.code and (c.spark_type in ("smallint", "int", "bigint", "float", "double") or c.base in ("numeric", "decimal"))
+    pairs = list(zip(fields, spec.columns, strict=False))
+    # Texts are columns of their own: each is looked at several times, and Spark computes columns once.
+    texts, wrong = [], []
+    for i, (f, c) in enumerate(pairs):
         own = F.col(f"f{i}")
-        if f.code and (c.spark_type in ("smallint", "int", "bigint", "float", "double") or c.base in ("numeric", "decimal")):
-            columns.append(number_as(own, f, c.spark_type).alias(c.name))
+        texts.append((F.lit(None).cast("string") if plain(f, c) else number_as(own, f, "string") if f.code else text_of(own, f)).alias(f"_t{i}"))
+        wrong.append((F.lit(False) if f.code else ~valid_text(own)).alias(f"_w{i}"))
+    rows = records.select("*", *texts, *wrong)
+    rows, values, faults = checked_values(rows, TableSpec(tuple(c for _, c in pairs)))
+    columns, errors = [], []
+    for i, (f, c) in enumerate(pairs):
+        if plain(f, c):
+            columns.append(number_as(F.col(f"f{i}"), f, c.spark_type).alias(c.name))
             continue
-        text = text_of(own, f) if not f.code else number_as(own, f, "string")
-        if not f.code:
-            valid = F.is_valid_utf8(F.encode(F.substring_index(F.decode(own, "ISO-8859-1"), "\0", 1), "ISO-8859-1").cast("string"))
-            errors.append(F.when(~valid, error("encoding", i + 1, c.name)))
-        value = typed(text, c)
-        columns.append(value.cast(c.spark_type).alias(c.name))
-        errors.append(F.when(faulty(text, value, c), error(code(text, c), i + 1, c.name)))
+        errors += [F.when(F.col(f"_w{i}"), error("encoding", i + 1, c.name)), faults[i]]
+        columns.append(values[i].alias(c.name))
     columns += [F.lit(defaults[c.name]).cast(c.spark_type).alias(c.name) for c in missing]
-    return records.select("rec_no", "raw", first_of(errors).alias("err"), *columns)
+    return rows.select("rec_no", "raw", first_of(errors).alias("err"), *columns)
