@@ -21,7 +21,12 @@ class FunctionError(ValueError):
 
 @dataclass(frozen=True)
 class Filter:
-    """``body`` takes columns and gives a list of result columns, or (``python``) takes values and gives a tuple or None.
+    """``body`` takes columns and gives a list of result columns, or (``python``) takes values and gives a tuple or None,
+    or (``batch``) takes pandas series of values and gives a sequence of result series, a row of nulls standing for None.
+
+    A filter over batches is called with some thousands of rows at once, so it should look at rows one by one only where
+    it must. If it raises an exception, the batch is halved until the rows that cause it are alone; so it may be called
+    again with the same rows, and what it gives for a row must not depend on the others.
 
     ``arguments`` and ``result`` are columns; the last ``defaults`` arguments have these values. A strict one isn't
     called with a null: its result is then all nulls.
@@ -34,20 +39,35 @@ class Filter:
     defaults: tuple = ()
     strict: bool = False
     python: bool = False
+    batch: bool = False
 
 
 @dataclass(frozen=True)
 class Source:
-    """``body(spark, *values)`` gives a DataFrame; a variadic one takes any number of values of the last type."""
+    """``body(spark, *values)`` gives a DataFrame, or ``body`` is the class of a Python table function, which Spark calls; a
+    variadic one takes any number of values of the last type.
+
+    An argument of type ``table`` is a table or view of the session, ``TABLE(name)`` in a call; its rows go to the table
+    function in parallel, a partition to each of its instances.
+    """
 
     name: str
     arguments: tuple[str, ...]
-    body: Callable[..., DataFrame]
+    body: Callable[..., DataFrame] | type
     defaults: tuple = ()
     variadic: bool = False
     strict: bool = False
 
 
+@dataclass(frozen=True)
+class TableArgument:
+    name: str
+
+
+#: Types that a filter's arguments and results can't have (fixed values).
+REFUSED = ("any", "anyelement", "anyarray", "anynonarray", "anyenum", "internal", "record", "void", "trigger", "cstring")
+
+
 @dataclass
 class Registry:
     filters: list[Filter] = field(default_factory=list)
@@ -65,8 +85,7 @@ class Registry:
             found = [f for f in found if [a.spark_type for a in f.arguments] == kinds]
         if len(found) != 1:
             raise FunctionError(f"function {call} " + ("is not unique" if found else "does not exist"))
-        if len(found[0].arguments) > MOST_ARGUMENTS:
-            raise FunctionError("too many arguments")
+        refuse(found[0])
         return found[0]
 
     def source_called(self, call: str) -> tuple[Source, list]:
@@ -95,8 +114,30 @@ class Registry:
         return source, values
 
 
+def refuse(f: Filter) -> None:
+    """Raise an error for a filter that can't be used: of an unknown or pseudo type, without a row as its result, with more
+    defaults than arguments, or with too many arguments."""
+    if len(f.arguments) > MOST_ARGUMENTS:
+        raise FunctionError("too many arguments")
+    if not f.result:
+        raise FunctionError(f"function {f.name} doesn't return a row")
+    if len(f.defaults) > len(f.arguments):
+        raise FunctionError(f"function {f.name} has more defaults than arguments")
+    for c in (*f.arguments, *f.result):
+        if c.base in REFUSED or c.kind.strip().lower().startswith(("setof", "variadic")):
+            raise FunctionError(f"function {f.name} has a column of type {c.kind}, which can't be used")
+        try:
+            c.spark_type
+        except ValueError as e:
+            raise FunctionError(f"function {f.name}: {e}") from e
+
+
 def _fit(value, kind: str) -> int | None:
     """How well a literal fits a type; None if not at all."""
+    if (kind == "table") != isinstance(value, TableArgument):
+        return None
+    if kind == "table":
+        return 2
     if value is None or isinstance(value, str):
         return 1 if value is None or kind == "text" else 0
     order = {"int2": 15, "int4": 31, "int8": 63}
@@ -114,12 +155,12 @@ def _as(value, kind: str):
 
 
 def parse_call(call: str) -> tuple[str, list]:
-    """A name and literals: ``'text'`` with doubled quotes, NULL, numbers with any number of signs apart from ``--``."""
+    """A name and literals: ``'text'`` with doubled quotes, NULL, numbers with any number of signs apart from ``--``, ``TABLE(name)``."""
     m = re.fullmatch(r"\s*((?:\"(?:[^\"]|\"\")+\"|\w+)(?:\.(?:\"(?:[^\"]|\"\")+\"|\w+))*)\s*\((.*)\)\s*;?\s*", call, re.S)
     if not m:
         raise FunctionError(f"can't read {call!r}")
     rest, values = m[2].strip(), []
-    literal = re.compile(r"\s*(?:'((?:[^']|'')*)'|(null)\b|([-+\s]*)(\d+\.?\d*(?:e[-+]?\d+)?|\.\d+))\s*(,|$)", re.I)
+    literal = re.compile(r"\s*(?:'((?:[^']|'')*)'|(null)\b|([-+\s]*)(\d+\.?\d*(?:e[-+]?\d+)?|\.\d+)|table\s*\(\s*([\w.`]+)\s*\))\s*(,|$)", re.I)
     at = 0
     while at < len(rest):
         x = literal.match(rest, at)
@@ -129,11 +170,13 @@ def parse_call(call: str) -> tuple[str, list]:
             values.append(x[1].replace("''", "'"))
         elif x[2]:
             values.append(None)
+        elif x[5]:
+            values.append(TableArgument(x[5]))
         else:
             number = int(x[4]) if x[4].isdigit() else Decimal(x[4])
             values.append(-number if x[3].count("-") % 2 else number)
         at = x.end()
-        if x[5] == "," and at >= len(rest):
+        if x[6] == "," and at >= len(rest):
             raise FunctionError("an argument is missing")
     if len(values) > MOST_ARGUMENTS:
         raise FunctionError("too many arguments")
@@ -151,10 +194,12 @@ def apply_filter(rows: DataFrame, f: Filter) -> DataFrame:
     nulls = F.lit(False)
     for x in own if f.strict else []:
         nulls = nulls | x.isNull()
-    if not f.python:
+    if not (f.python or f.batch):
         values = f.body(*own)
         columns = [F.when(F.col("err").isNull() & ~nulls, v).cast(c.spark_type).alias(c.name) for v, c in zip(values, f.result, strict=True)]
         return rows.select("rec_no", "raw", "err", *columns)
+    if f.batch:
+        return _filtered_batches(rows, f, own, nulls)
     body, width = f.body, len(f.result)
     inner = ", ".join(f"r{i}: {c.spark_type}" for i, c in enumerate(f.result))
 
@@ -174,16 +219,97 @@ def apply_filter(rows: DataFrame, f: Filter) -> DataFrame:
     return found.select("rec_no", "raw", F.coalesce("err", failed).alias("err"), *columns)
 
 
+def halved(body: Callable, columns: list, n: int) -> tuple[list[tuple[int, int, list]], list[tuple[int, str]]]:
+    """(first row, rows, result columns) of the parts of a batch that ``body`` takes, and (row, message) of rows that it doesn't.
+
+    A row that fails costs as many calls as halving a batch down to it, so good rows still go in large parts.
+    """
+    good, bad, parts = [], [], [(0, n)] if n else []
+    while parts:
+        at, size = parts.pop()
+        try:
+            found = list(body(*(c.iloc[at : at + size] for c in columns)))
+            if any(len(x) != size for x in found):
+                raise ValueError(f"{size} rows were given, and results have others")
+            good.append((at, size, found))
+        except Exception as e:  # the filter's own: a reject, not a failure
+            if size == 1:
+                bad.append((at, str(e) or type(e).__name__))
+            else:
+                half = size // 2
+                parts += [(at, half), (at + half, size - half)]
+    return good, bad
+
+
+def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Column) -> DataFrame:
+    """``apply_filter`` for a filter over batches: Arrow columns go to Python and back, rows are never made of them."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    body, names, width = f.body, [f"r{i}" for i in range(len(f.result))], len(own)
+    inner = ", ".join(f"{x} {c.spark_type}" for x, c in zip(names, f.result, strict=True))
+    schema = StructType.fromDDL(f"msg string, {inner}")
+    kinds = [to_arrow_type(x.dataType) for x in schema.fields]
+
+    def call(given: pd.DataFrame) -> pd.DataFrame:
+        n, taken = len(given), (~given["skip"].astype(bool)).to_numpy().nonzero()[0]
+        columns = [given[f"a{i}"].iloc[taken].reset_index(drop=True) for i in range(width)]
+        good, bad = halved(body, columns, len(taken))
+        told: list[str | None] = [None] * n
+        for at, message in bad:
+            told[taken[at]] = message
+        # Where each row's result lies among the parts, which are Arrow arrays of the declared types from here on.
+        place = np.full(n, -1, np.int64)
+        before = 0
+        for at, size, _ in good:
+            place[taken[at : at + size]] = np.arange(before, before + size)
+            before += size
+        index = pa.array(place, mask=place < 0)
+        out = {"msg": pd.Series(told, dtype=object)}
+        for i, (name, kind) in enumerate(zip(names, kinds[1:], strict=True)):
+            parts = [pa.array(found[i], kind, from_pandas=True) for _, _, found in good]
+            whole = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts] or [pa.nulls(0, kind)])
+            out[name] = pd.Series(whole.take(index), dtype=pd.ArrowDtype(kind))
+        return pd.DataFrame(out)
+
+    call.__annotations__ = {"given": pd.DataFrame, "return": pd.DataFrame}
+    given = F.struct((F.col("err").isNotNull() | nulls).alias("skip"), *(x.alias(f"a{i}") for i, x in enumerate(own)))
+    found = rows.withColumn("_f", F.pandas_udf(call, schema)(given))
+    failed = F.when(F.col("_f.msg").isNotNull(), F.struct(F.lit("filter").alias("code"), F.lit(None).cast("int").alias("col"), F.col("_f.msg").alias("msg")))
+    columns = [F.col(f"_f.{x}").cast(c.spark_type).alias(c.name) for x, c in zip(names, f.result, strict=True)]
+    return found.select("rec_no", "raw", F.coalesce("err", failed).alias("err"), *columns)
+
+
 def as_spec(columns: tuple[ColumnSpec, ...]) -> TableSpec:
     return TableSpec(columns)
 
 
+def _called(spark: SparkSession, source: Source, values: list) -> DataFrame:
+    """A table function registered with the session and called in SQL, where its own ``analyze`` or return type tells the columns."""
+    from pyspark.sql.functions import udtf
+
+    body = udtf(source.body) if hasattr(source.body, "analyze") else udtf(source.body, returnType=source.body.columns)
+    name = f"sluice_{source.name.lower()}"
+    spark.udtf.register(name, body)
+    given, literals = [], {}
+    for i, v in enumerate(values):
+        if isinstance(v, TableArgument):
+            given.append(f"TABLE({v.name})")
+        else:
+            given.append(f":a{i}")
+            literals[f"a{i}"] = v
+    return spark.sql(f"SELECT * FROM {name}({', '.join(given)})", args=literals)
+
+
 def from_source(spark: SparkSession, registry: Registry, call: str, most: int | None = None) -> DataFrame:
     """``rec_no`` and the columns of the rows that a source call gives, in its order; of the first ``most`` (some thousands) only."""
     from ..sources.ordinal import numbered
 
     source, values = registry.source_called(call)
-    rows = source.body(spark, *values)
+    rows = _called(spark, source, values) if isinstance(source.body, type) else source.body(spark, *values)
     if most is not None:  # Spark runs as few tasks as it takes
         rows = spark.createDataFrame(rows.take(most), rows.schema).coalesce(1)
     rows = rows.withColumn("_block", F.spark_partition_id()).withColumn("_within", F.monotonically_increasing_id())

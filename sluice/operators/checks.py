@@ -78,10 +78,14 @@ def constrain(rows: DataFrame, spec: TableSpec, checks: bool = False) -> DataFra
     return rows.withColumn("err", reduce(lambda a, b: F.coalesce(a, b), errors))
 
 
+class ShapeError(ValueError):
+    """Rows that no coercion makes rows of the target."""
+
+
 def coerce(rows: DataFrame, source: TableSpec, target: TableSpec) -> DataFrame:
     """Row-shape coercion: columns by position; equal types pass, others go through their text. Counts must match."""
     if len(source.columns) != len(target.columns):
-        raise ValueError(f"{len(source.columns)} columns returned, {len(target.columns)} expected")
+        raise ShapeError(f"{len(source.columns)} columns returned, {len(target.columns)} expected")
     pairs = list(zip(source.columns, target.columns, strict=True))
     same = [a.spark_type == b.spark_type and not b.arguments for a, b in pairs]
     texts = [F.col(f"`{a.name}`").cast("string").alias(f"_t{i}") for i, (a, _) in enumerate(pairs)]

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from .functions.registry import Filter, Registry, Source
 from .operators.checks import coerce, constrain
@@ -169,6 +171,30 @@ def decimal_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _csv(rows, ["l_orderkey", "l_linenumber", "cast(l_extendedprice as decimal(12,2))"], LINEITEM.names[:4], spec).accepted
 
 
+def strict_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates without a day, days and floats that don't exist, and text of any length; the rest is loaded, by a load."""
+    rows, path = _read(spark, sf_dir, "orders"), new_path(spark, "target")
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    date = f"CASE o_orderkey % 7 WHEN 0 THEN substr({day}, 1, 4) WHEN 1 THEN substr({day}, 1, 7) WHEN 2 THEN replace({day}, '-', '') ELSE {day} END"
+    moment = "CASE o_orderkey % 5 WHEN 0 THEN substr(cast(o_orderdate as string), 1, 4) ELSE cast(o_orderdate as string) END"
+    small = "CASE o_orderkey % 11 WHEN 0 THEN '1e-50' WHEN 1 THEN '1e-30' WHEN 2 THEN '0e-50' ELSE '2.5' END"
+    tiny = "CASE o_orderkey % 13 WHEN 0 THEN '1e-400' WHEN 1 THEN '1e309' ELSE '-1e-300' END"
+    spec = spec_of("o_orderkey bigint, d date, t timestamp, small real, tiny float8, said varchar")
+    given = _rendered(rows, _line(["o_orderkey", date, moment, small, tiny, "concat(o_orderpriority, repeat('x', 40))"]), ["o_orderkey"])
+    load(spark, {"INPUT": given, "OUTPUT": path, "DELIMITER": "|", "PARSE_ERRORS": "INFINITE"}, spec)
+    return table.read_table(spark, path, spec.ddl).withColumn("d", F.col("d").cast("string"))
+
+
+def fast_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours, minutes and seconds beyond their ends carry over; a text of another form is read as usual."""
+    rows, path = _read(spark, sf_dir, "orders"), new_path(spark, "target")
+    text = "CASE WHEN o_orderkey % 3 = 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') ELSE concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' ', lpad(o_orderkey % 90, 2, '0'), ':99:61') END"
+    spec = spec_of("o_orderkey bigint, t timestamp")
+    given = _rendered(rows, _line(["o_orderkey", text]), ["o_orderkey"])
+    load(spark, {"INPUT": given, "OUTPUT": path, "DELIMITER": "|", "FAST_TIMESTAMP": "YES"}, spec)
+    return table.read_table(spark, path, spec.ddl)
+
+
 def dedup_input_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "orders")
     return _csv(rows, ORDERS.names, ["o_orderkey"], TableSpec(ORDERS.columns, (UniqueKey(("o_custkey",)),))).accepted
@@ -181,12 +207,23 @@ def _with_existing(spark: SparkSession, sf_dir: str, keep: str) -> LoadPlan:
     return _csv(rows, CUSTOMER.names, ["c_custkey"], spec, existing, ON_DUPLICATE_KEEP=keep)
 
 
+def _merged(spark: SparkSession, sf_dir: str, keep: str) -> DataFrame:
+    """Two loads into one table, with keys that both have."""
+    rows, path = _read(spark, sf_dir, "customer"), new_path(spark, "target")
+    old = rows.withColumns({"c_custkey": F.col("c_custkey") * 2, "c_acctbal": F.lit(-1.0)})
+    spec = TableSpec(CUSTOMER.columns, (UniqueKey(("c_custkey",)),))
+    for part in (old, rows):
+        given = {"INPUT": _rendered(part, _line(CUSTOMER.names), ["c_custkey"]), "OUTPUT": path, "DELIMITER": "|", "DUPLICATE_ERRORS": "INFINITE"}
+        load(spark, given | {"ON_DUPLICATE_KEEP": keep}, spec)
+    return table.read_table(spark, path, spec.ddl)
+
+
 def dedup_keep_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_existing(spark, sf_dir, "NEW").accepted
+    return _merged(spark, sf_dir, "NEW")
 
 
 def dedup_keep_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_existing(spark, sf_dir, "OLD").accepted
+    return _merged(spark, sf_dir, "OLD")
 
 
 def dedup_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +340,7 @@ def _filters() -> Registry:
         [
             Filter("by_columns", arguments, FILTERED.columns, lambda a, b, c: [a * 2, F.upper(b), F.when(a % 7 != 0, c + 1)]),
             Filter("by_python", arguments, FILTERED.columns, _row_filter, python=True),
+            Filter("by_batches", arguments, FILTERED.columns, _batch_filter, batch=True),
             Filter("strict", arguments, FILTERED.columns, lambda a, b, c: [a, b, c], strict=True),
             Filter("with_defaults", arguments, FILTERED.columns, lambda a, b, c: [a, b, c], defaults=("none", 1.5)),
         ]
@@ -315,6 +353,14 @@ def _row_filter(a: int, b: str, c: float):
     return None if a % 7 == 0 else (a * 2, b.upper(), c + 1)
 
 
+def _batch_filter(a, b, c):
+    """As ``_row_filter``, for series: rows with sevenths become nulls, a row with a fifth fails its batch."""
+    if (a % 5 == 0).any():
+        raise ValueError("five")
+    keep = a % 7 != 0
+    return (a * 2).where(keep, None), b.str.upper().where(keep, None), (c + 1).where(keep, None)
+
+
 def _filtered(spark: SparkSession, sf_dir: str, name: str, columns: list) -> DataFrame:
     return _csv(_read(spark, sf_dir, "events"), columns, ["event_id"], FILTERED, registry=_filters(), FILTER=name).accepted
 
@@ -327,6 +373,10 @@ def filter_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, "by_python(bigint, text, double)", ["event_id", "event_type", "value"])
 
 
+def filter_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filtered(spark, sf_dir, "by_batches", ["event_id", "event_type", "value"])
+
+
 def filter_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, "strict", ["event_id", "CASE WHEN event_id % 6 = 0 THEN '' ELSE event_type END", "value"])
 
@@ -336,24 +386,38 @@ def filter_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, "with_defaults", [F.concat(F.col("event_id").cast("string"), rest)])
 
 
+class OrdersWith:
+    """Orders of a status, with what is said of them; the kind of the key is that of the table."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, status: AnalyzeArgument, *said: AnalyzeArgument) -> AnalyzeResult:
+        key = next(f for f in rows.dataType.fields if f.name == "o_orderkey")
+        return AnalyzeResult(StructType().add("o_orderkey", key.dataType).add("said", "string"))
+
+    def eval(self, row: Row, status: str | None, *said: str):
+        if row["o_orderstatus"] == status:
+            for x in said:
+                yield row["o_orderkey"], x + row["o_orderpriority"]
+
+
+ORDERS_WITH = Source("orders_with", ("table", "text", "text"), OrdersWith, variadic=True)
+SAID = spec_of("o_orderkey bigint not null, said text")
+
+
 def function_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two calls: a series with repeated signs and a default, and a variadic one."""
-    series = Source("series", ("int4", "int4", "text"), lambda s, a, b, t: s.range(a, b + 1).select(F.col("id").cast("int").alias("n"), F.lit(t).alias("t")), defaults=("default value",))
-    items = Source("items", ("text", "int4"), lambda s, t, *n: s.range(len(n)).select(F.try_element_at(F.array(*map(F.lit, n)), (F.col("id") + 1).cast("int")).alias("n"), F.lit(t).alias("t")), variadic=True)
-    registry, spec = Registry(sources=[series, items]), spec_of("n int not null, t text")
-    found = []
-    for call in ("series( - - - 3, -+- 5)", "items('it''s', 7, 8, 9)"):
-        o = options_of({"TYPE": "FUNCTION", "INPUT": call, "OUTPUT": "t"})
-        found.append(load_rows(parsed(spark, o, spec, registry), o, spec).accepted)
-    return found[0].unionByName(found[1])
+    """A table function over ``orders`` with two values for its last argument, one of them with a quote."""
+    _read(spark, sf_dir, "orders").createOrReplaceTempView("sluice_orders")
+    o = options_of({"TYPE": "FUNCTION", "INPUT": "orders_with(TABLE(sluice_orders), 'F', 'it''s ', 'also ')", "OUTPUT": "t"})
+    return load_rows(parsed(spark, o, SAID, Registry(sources=[ORDERS_WITH])), o, SAID).accepted
 
 
 def function_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of a source of 2,147,483,647 is loaded; its beginning is all that is run."""
-    series = Source("series", ("int4", "int4"), lambda s, a, b: s.range(a, b + 1).select(F.col("id").cast("int").alias("n"), F.concat(F.lit("row "), "id").alias("t")))
-    spec, path = spec_of("n int not null, t text"), new_path(spark, "target")
-    load(send_package(spark), {"TYPE": "FUNCTION", "INPUT": "series(1, 2147483647)", "OUTPUT": path, "LIMIT": "1"}, spec, Registry(sources=[series]))
-    return table.read_table(spark, path, spec.ddl)
+    """The first hundred rows that a table function gives for ``orders`` are loaded; its beginning is all that is run."""
+    _read(spark, sf_dir, "orders").createOrReplaceTempView("sluice_orders")
+    path = new_path(spark, "target")
+    given = {"TYPE": "FUNCTION", "INPUT": "orders_with(TABLE(sluice_orders), 'O', '')", "OUTPUT": path, "LIMIT": "100"}
+    load(spark, given, SAID, Registry(sources=[ORDERS_WITH]))
+    return table.read_table(spark, path, SAID.ddl)
 
 
 def encoding_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,6 +471,8 @@ SQL = {
     "check_constraint": f"SELECT {_li.replace('l_quantity', 'CASE WHEN l_orderkey % 9 <> 0 THEN l_quantity END AS l_quantity')} FROM lineitem WHERE l_orderkey % 9 = 0 OR l_quantity < 30",
     "varchar_limit": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN rpad(p_name, 12, ' ') ELSE p_name END AS p_name FROM part WHERE length(p_name) <= 12",
     "decimal_cast": "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(7,2)) AS price FROM lineitem WHERE l_extendedprice < 99999.995",
+    "strict_casts": "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS d, o_orderdate AS t, CASE o_orderkey % 11 WHEN 1 THEN 1e-30 WHEN 2 THEN 0 ELSE 2.5 END::FLOAT AS small, -1e-300::DOUBLE AS tiny, o_orderpriority || repeat('x', 40) AS said FROM orders WHERE o_orderkey % 7 NOT IN (0, 1) AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 NOT IN (0, 1)",
+    "fast_timestamps": "SELECT o_orderkey, date_trunc('day', o_orderdate) + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL 0 SECOND ELSE to_hours(o_orderkey % 90) + to_minutes(99) + to_seconds(61) END AS t FROM orders",
     "dedup_input_first": _first.format(c=_or, k="o_custkey", o="o_orderkey", t="orders", w="r = 1"),
     "dedup_keep_new": f"SELECT {_cu} FROM customer UNION ALL {_old} WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)",
     "dedup_keep_old": f"SELECT {_cu} FROM customer WHERE c_custkey NOT IN (SELECT c_custkey * 2 FROM customer) UNION ALL {_old}",
@@ -423,10 +489,11 @@ SQL = {
     "unsigned_range_reject": "SELECT p_partkey, p_size AS n FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0",
     "filter_expression": "SELECT event_id * 2 AS event_id, upper(event_type) AS kind, CASE WHEN event_id % 7 <> 0 THEN value + 1 END AS value FROM events",
     "filter_udf": "SELECT CASE WHEN event_id % 7 <> 0 THEN event_id * 2 END AS event_id, CASE WHEN event_id % 7 <> 0 THEN upper(event_type) END AS kind, CASE WHEN event_id % 7 <> 0 THEN value + 1 END AS value FROM events WHERE event_id % 5 <> 0",
+    "filter_batches": "SELECT CASE WHEN event_id % 7 <> 0 THEN event_id * 2 END AS event_id, CASE WHEN event_id % 7 <> 0 THEN upper(event_type) END AS kind, CASE WHEN event_id % 7 <> 0 THEN value + 1 END AS value FROM events WHERE event_id % 5 <> 0",
     "filter_strict": "SELECT CASE WHEN event_id % 6 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 6 <> 0 THEN event_type END AS kind, CASE WHEN event_id % 6 <> 0 THEN value END AS value FROM events",
     "filter_defaults": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE event_type END AS kind, CASE WHEN event_id % 3 = 2 THEN value ELSE 1.5 END AS value FROM events",
-    "function_source": "SELECT i::INT AS n, 'default value' AS t FROM range(-3, 6) r(i) UNION ALL SELECT i::INT, 'it''s' FROM range(7, 10) r(i)",
-    "function_limit": "SELECT 1::INT AS n, 'row 1' AS t",
+    "function_source": "SELECT o_orderkey, s || o_orderpriority AS said FROM orders, (VALUES ('it''s '), ('also ')) v(s) WHERE o_orderstatus = 'F'",
+    "function_limit": "SELECT o_orderkey, o_orderpriority AS said FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100",
     "encoding_validate": "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') || chr(12354) AS text FROM documents WHERE doc_id % 6 <> 0",
     "coercion": "SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal::DECIMAL(12,2) AS s_acctbal FROM supplier WHERE s_suppkey % 9 <> 0",
     "load_append": "SELECT * FROM nation WHERE n_nationkey < 15 UNION ALL SELECT * FROM nation WHERE n_nationkey >= 10",
