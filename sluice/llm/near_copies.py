@@ -19,8 +19,10 @@ from .tokens import mapped
 BANDS, ROWS = 24, 5
 #: Rounds that compare each group's texts with one of them only, before all pairs not linked by then are compared.
 STARS = 3
-#: Texts of one band that are paired in one group; more are paired block by block.
+#: Texts of one band that are compared in one group; more are compared block by block.
 BLOCK = 1024
+#: A set's shingles are counted in so many bins. The lesser counts of two sets, added up, are no less than what they have in common.
+BINS = 512
 #: Groups that the pairs of one text are dealt to, so that no text gathers all its pairs in a task.
 SLOTS = 256
 SHINGLES_AT_ONCE = 1 << 15
@@ -96,15 +98,83 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
     return mapped(docs, [id_col, text_col], StructType.fromDDL("id long, same binary, n long, keys array<long>"), work)
 
 
+def _bins(shingles: np.ndarray) -> bytes:
+    """How many shingles lie in each bin; 255 stands for 255 and more."""
+    return np.minimum(np.bincount(shingles.view(np.uint64) >> np.uint64(55), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``node``, ``shingles`` of each row."""
+    """``node``, ``shingles``, ``bins`` of each row."""
 
     def work(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(x.as_py() or "", words).view(np.int64) for x in batch.column(1)]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        return {"node": batch.column(0), "shingles": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets or [np.zeros(0, np.int64)])))}
+        shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets or [np.zeros(0, np.int64)])))
+        return {"node": batch.column(0), "shingles": shingles, "bins": pa.array([_bins(x) for x in sets], pa.binary())}
+
+    return mapped(docs, [id_col, text_col], StructType.fromDDL("node long, shingles array<long>, bins binary"), work)
+
+
+def possible_pairs(half: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, bins: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(a node, nodes that may be ``least`` similar to it) among rows of a group that are not linked yet.
 
-    return mapped(docs, [id_col, text_col], StructType.fromDDL("node long, shingles array<long>"), work)
+    Rows with ``half`` 2 are compared with each other, those with 1 with those with 0. Sizes and bins bound a similarity
+    from above, so no pair that is ``least`` similar is left out.
+    """
+    counts = bins if bins.max(initial=0) < 255 else np.where(bins == 255, np.int32(1 << 20), bins.astype(np.int32))
+    for i in np.flatnonzero(half):
+        j = np.flatnonzero(half == 0) if half[i] == 1 else i + 1 + np.flatnonzero(half[i + 1 :] == 2)
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]) - 1e-9)]
+        if len(j):
+            common = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
+            j = j[common * (1 + least) >= least * (n[j] + n[i]) - 1e-9]
+        if len(j):
+            yield int(node[i]), node[j]
+
+
+def _paired(rows: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b`` of ``possible_pairs`` among rows (``key``, ``size``, ``node``, ``n``, ``root``, ``bins``) that share a key.
+
+    A key with more than ``BLOCK`` rows is divided into pairs of blocks, so that no group outgrows a task.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    half = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int")).cast("long")
+    dealt = rows.select("*", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    # Two groups with one hash only mean a few comparisons more.
+    dealt = dealt.select(group.alias("group"), half.alias("half"), "node", "n", "root", "bins").repartition("group").sortWithinPartitions("group")
+
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = [table.column(i).to_numpy() for i in range(5)]
+        bins = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(-1, BINS)
+        cuts = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(bins)]
+        left, right = [], []
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            for node, others in possible_pairs(*(c[at:end] for c in columns[1:]), bins[at:end], least):
+                left.append(np.full(len(others), node))
+                right.append(others)
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups; the last one of a batch may go on in the next."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not len(table):
+                continue
+            group = table.column(0).to_numpy()
+            whole = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
+            if whole:
+                yield from told(table.slice(0, whole))
+            rest = table.slice(whole)
+        if rest is not None and len(rest):
+            yield from told(rest)
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def _alike(a: Column, b: Column, least: float) -> Column:
@@ -134,7 +204,8 @@ def near_copies(
 
     Texts with equal sets are one row from the start. Two sets that share a band (``BANDS`` says how surely) are
     compared by all their shingles, unless links join them already: first every text of a band with one of them, in
-    ``STARS`` rounds, so that a group of copies costs as much as its texts, then all pairs that are left.
+    ``STARS`` rounds, so that a group of copies costs as much as its texts, then all others, inside tasks, by counts that
+    bound their similarity from above. Only pairs within the bound leave a task, and are compared by their shingles.
 
     Words and shingles are those of ``near_duplicates``; texts without words, and nulls, are copies of each other.
     """
@@ -162,14 +233,12 @@ def near_copies(
         ).where("low <> high")
         if turn < STARS:
             found = named.join(groups, "key").select("node", "n", "root", F.col("one.node").alias("node2"), F.col("one.n").alias("n2"), F.col("one.root").alias("root2"))
+            found = found.where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("n2"), least))
+            pairs = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
         else:
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            left = named.join(groups.select("key"), "key", "left_semi")
-            right = left.select("key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), *(F.col(x).alias(f"{x}2") for x in ("node", "n", "root")))
-            left = left.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            found = left.join(right, ["key", "block"]).where("node < node2")
-        found = found.where((F.col("root") != F.col("root2")) & _alike(F.col("n"), F.col("n2"), least))
-        pairs = found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+            left = named.join(groups.select("key"), "key", "left_semi").join(sets.select("node", "bins"), "node")
+            pairs = _paired(left.select("key", "size", "node", "n", "root", "bins"), least)
+        pairs = pairs.distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue

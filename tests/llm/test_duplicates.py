@@ -192,3 +192,59 @@ def test_walk_prunes_and_loses_nothing(monkeypatch):
                 assert visits.seen > 0 and visits.pruned <= visits.seen
                 if groups > 2 and size > 1:  # what lies apart is dropped before its points are met
                     assert visits.points < 0.5 * near.size and visits.pruned > 0
+
+
+def test_bounds_leave_no_similar_pair_out():
+    """Counts in bins bound what sets have in common, full bins as well; only unlinked rows of the right halves are paired."""
+    import random
+
+    import numpy as np
+
+    from sluice.llm.near_copies import BINS, _bins, possible_pairs
+
+    draw = random.Random(6)
+    base = [draw.getrandbits(64) for _ in range(300)] + [draw.getrandbits(50) for _ in range(700)]
+    sets = [np.unique(np.array(draw.sample(base, draw.choice([300, 700, 900, 950, 990])), np.uint64)).view(np.int64) for _ in range(40)]
+    bins = np.frombuffer(b"".join(_bins(x) for x in sets), np.uint8).reshape(-1, BINS)
+    assert bins.max() == 255
+    n, node = np.array([len(x) for x in sets]), np.arange(40)
+    root = np.array([i if i % 4 else 0 for i in range(40)])
+    for half in (np.full(40, 2), node % 2):
+        found = {tuple(sorted((a, int(b)))) for a, others in possible_pairs(half, node, n, root, bins, 0.8) for b in others}
+        for i in range(40):
+            for j in range(i):
+                alike = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+                apart = root[i] != root[j] and (half[0] == 2 or (i + j) % 2)
+                assert not (alike and apart) or (j, i) in found
+                assert apart or (j, i) not in found
+    assert 0 < len(found) < 400
+
+
+def test_near_copies_that_no_star_joins(docs, monkeypatch):
+    """A chain in which only neighbours are similar, and texts that share bands with all of it but are similar to none."""
+    import random
+
+    from sluice.llm import near_copies as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    draw = random.Random(3)
+    text = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(30):
+        text = text.copy()
+        text[4 * i % 120] = f"new{i}"
+        texts.append(" ".join(text))
+    for i in range(12):
+        other = text.copy()
+        for k in draw.sample(range(120), 9):
+            other[k] = f"other{i}{k}"
+        texts.append(" ".join(other))
+    found = {r.id: r.component for r in module.near_copies(docs(texts)).collect()}
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    top = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) / len(a | b) >= 0.8:
+                    top[i] = top[j] = min(top[i], top[j])
+    assert found == dict(enumerate(top))
