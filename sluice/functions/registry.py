@@ -22,7 +22,7 @@ class FunctionError(ValueError):
 @dataclass(frozen=True)
 class Filter:
     """``body`` takes columns and gives a list of result columns, or (``python``) takes values and gives a tuple or None,
-    or (``batch``) takes pandas series of values and gives a sequence of result series, a row of nulls standing for None.
+    or (``batch``) takes pandas series of values (of Arrow types) and gives a sequence of result series, a row of nulls standing for None.
 
     A filter over batches is called with some thousands of rows at once, so it should look at rows one by one only where
     it must. If it raises an exception, the batch is halved until the rows that cause it are alone; so it may be called
@@ -254,9 +254,12 @@ def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Colu
     schema = StructType.fromDDL(f"msg string, {inner}")
     kinds = [to_arrow_type(x.dataType) for x in schema.fields]
 
-    def call(given: pd.DataFrame) -> pd.DataFrame:
-        n, taken = len(given), (~given["skip"].astype(bool)).to_numpy().nonzero()[0]
-        columns = [given[f"a{i}"].iloc[taken].reset_index(drop=True) for i in range(width)]
+    def call(given: pa.Array) -> pa.Array:
+        n = len(given)
+        taken = np.flatnonzero(~given.field(0).to_numpy(zero_copy_only=False).astype(bool))
+        at_all = pa.array(taken)
+        # Series of Arrow values: a null doesn't turn whole numbers into others.
+        columns = [pd.Series(given.field(1 + i).take(at_all), dtype=pd.ArrowDtype(given.field(1 + i).type)) for i in range(width)]
         good, bad = halved(body, columns, len(taken))
         told: list[str | None] = [None] * n
         for at, message in bad:
@@ -268,16 +271,16 @@ def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Colu
             place[taken[at : at + size]] = np.arange(before, before + size)
             before += size
         index = pa.array(place, mask=place < 0)
-        out = {"msg": pd.Series(told, dtype=object)}
-        for i, (name, kind) in enumerate(zip(names, kinds[1:], strict=True)):
+        out = [pa.array(told, pa.string())]
+        for i, kind in enumerate(kinds[1:]):
             parts = [pa.array(found[i], kind, from_pandas=True) for _, _, found in good]
             whole = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts] or [pa.nulls(0, kind)])
-            out[name] = pd.Series(whole.take(index), dtype=pd.ArrowDtype(kind))
-        return pd.DataFrame(out)
+            out.append(whole.take(index))
+        return pa.StructArray.from_arrays(out, ["msg", *names])
 
-    call.__annotations__ = {"given": pd.DataFrame, "return": pd.DataFrame}
+    call.__annotations__ = {"given": pa.Array, "return": pa.Array}
     given = F.struct((F.col("err").isNotNull() | nulls).alias("skip"), *(x.alias(f"a{i}") for i, x in enumerate(own)))
-    found = rows.withColumn("_f", F.pandas_udf(call, schema)(given))
+    found = rows.withColumn("_f", F.arrow_udf(call, schema)(given))
     failed = F.when(F.col("_f.msg").isNotNull(), F.struct(F.lit("filter").alias("code"), F.lit(None).cast("int").alias("col"), F.col("_f.msg").alias("msg")))
     columns = [F.col(f"_f.{x}").cast(c.spark_type).alias(c.name) for x, c in zip(names, f.result, strict=True)]
     return found.select("rec_no", "raw", F.coalesce("err", failed).alias("err"), *columns)

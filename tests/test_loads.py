@@ -671,3 +671,112 @@ def test_one_place_under_two_names(tmp_path):
     for other in ("OUTPUT", "LOGFILE", "PARSE_BADFILE"):
         with pytest.raises(OptionError, match="must differ"):
             options_of({"INPUT": "/a/in.csv", "OUTPUT": "/a/t", other: "/a/b/../in.csv"})
+
+
+def test_batches_are_halved_down_to_bad_rows():
+    import pandas as pd
+
+    from sluice.functions.registry import halved
+
+    calls = []
+
+    def body(a, b):
+        calls.append(len(a))
+        if (a % 100 == 37).any():
+            raise ValueError(f"row of {int(a[a % 100 == 37].iloc[0])}")
+        return a + b, b.astype(str)
+
+    a = pd.Series(range(1000))
+    good, bad = halved(body, [a, a * 2], 1000)
+    assert sorted(bad) == [(100 * i + 37, f"row of {100 * i + 37}") for i in range(10)]
+    whole = sorted((at + i, int(x)) for at, n, found in good for i, x in enumerate(found[0]))
+    assert whole == [(i, 3 * i) for i in range(1000) if i % 100 != 37]
+    assert len(calls) < 250
+    assert halved(body, [a[:0], a[:0]], 0) == ([], [])
+    assert halved(lambda a: [a[:-1]], [a[:1]], 1)[1] == [(0, "1 rows were given, and results have others")]
+
+
+def test_batch_filter(run):
+    """Nulls of every type, strict arguments, rows of nulls, and rejects of the filter and of the parser, against a loop."""
+    arguments = spec_of("a bigint, b text, c double, d int").columns
+    result = spec_of("x bigint, y text, z double").columns
+
+    def body(a, b, c, d):
+        if (b == "bad").any():
+            raise ValueError("bad word")
+        return (a * 2).where(d != 3, None), (b + "!").where(d != 3, None), (c / 2).where(d != 3, None)
+
+    rng, lines, want, bad = random.Random(8), [], [], 0
+    for _ in range(300):
+        a, b, c, d = rng.choice(["", str(2**53 + 1), "5", "x"]), rng.choice(["ok", "bad", "", "ü"]), rng.choice(["1.5", ""]), rng.choice(["1", "3"])
+        lines.append(f"{a},{b},{c},{d}")
+        if a == "x":
+            bad += 1
+        elif "" in (a, b, c, d):
+            want.append((None,) * 3)
+        elif b == "bad":
+            bad += 1
+        else:
+            want.append((None,) * 3 if d == "3" else (2 * int(a), b + "!", float(c) / 2))
+    spec = spec_of("x bigint, y text, z double")
+    f = Registry([Filter("f", arguments, result, body, strict=True, batch=True)])
+    assert run("\n".join(lines), spec, f, FILTER="f") == (0, len(want), bad, 0, 0)
+    assert run.rows(spec) == sorted(want, key=str)
+
+
+def test_functions_that_are_refused():
+    good = spec_of("a int").columns
+    for arguments, result, more in (
+        (spec_of("a anyelement").columns, good, {}),
+        (spec_of("a internal").columns, good, {}),
+        (good, spec_of("a record").columns, {}),
+        (good, spec_of("a setof int").columns, {}),
+        (good, (), {}),
+        (good, spec_of("a nonsense").columns, {}),
+        (good, good, {"defaults": (1, 2)}),
+        (spec_of(", ".join(f"a{i} int" for i in range(101))).columns, good, {}),
+    ):
+        with pytest.raises(FunctionError):
+            Registry([Filter("f", arguments, result, lambda *a: a, **more)]).filter_named("f")
+    assert Registry([Filter("f", good, good, lambda a: [a])]).filter_named("f")
+
+
+def test_table_functions(run, spark):
+    class Pairs:
+        columns = "k int, word string"
+
+        def eval(self, row, word, times):
+            for i in range(times):
+                yield row["n"] + 1000 * i, word
+
+    source = Source("pairs", ("table", "text", "int4"), Pairs, defaults=(2,), strict=True)
+    registry, spec = Registry(sources=[source]), spec_of("k int not null, word text")
+    spark.range(40).selectExpr("cast(id as int) n").createOrReplaceTempView("forty")
+    assert run("", spec, registry, TYPE="FUNCTION", INPUT="pairs(TABLE(forty), 'it''s')") == (0, 80, 0, 0, 0)
+    assert run.rows(spec) == sorted(((n + 1000 * i, "it's") for n in range(40) for i in range(2)), key=str)
+    assert run("", spec, registry, TYPE="FUNCTION", INPUT="pairs(table(forty), 'x', 1)", LIMIT="7", TRUNCATE="YES") == (0, 7, 0, 0, 0)
+    for wrong in ("pairs('forty', 'x')", "pairs(TABLE(forty), TABLE(forty))", "pairs(TABLE(forty), NULL)"):
+        with pytest.raises(FunctionError):
+            registry.source_called(wrong)
+
+
+def test_dates_and_floats_are_strict(run):
+    spec = spec_of("d date, t timestamp, f float8, r real, v varchar, c char")
+    good = ["2024-02-29,2024-02-29,1e-300,1e-40,any length at all,x", "20240229,20240229,0e-999,0.0e-99,v,x ", "2024-2-9,2024-02-29 10:30,-0,1e38,,", "2024-02-29 10:00:00,2024-02-29T10:30:00.5+02,nan,inf,v,"]
+    bad = ["2024,,,,,", "2024-02,,,,,", ",2024,,,,", ",2024-02,,,,", ",2024-02-29 10,,,,", "0000-01-01,,,,,", ",0000-01-01,,,,", "2023-02-29,,,,,", "20230229,,,,,",
+           ",,1e-400,,,", ",,-3.5e-400,,,", ",,,1e-50,,", ",,,1e39,,", ",,,,,xy"]
+    assert run("\n".join(good + bad), spec) == (0, len(good), len(bad), 0, 0)
+
+
+def test_fast_timestamps(run):
+    from datetime import datetime, timedelta
+
+    spec = spec_of("t timestamp")
+    rng, lines, want = random.Random(2), [], []
+    for _ in range(60):
+        y, mo, d, h, mi, s = 2000 + rng.randrange(30), rng.randrange(1, 13), rng.randrange(1, 100), rng.randrange(100), rng.randrange(100), rng.randrange(100)
+        lines.append(f"{y:04}-{mo:02}-{d:02} {h:02}:{mi:02}:{s:02}")
+        want.append((datetime(y, mo, 1) + timedelta(days=d - 1, hours=h, minutes=mi, seconds=s),))
+    assert run("\n".join(lines), spec, FAST_TIMESTAMP="YES") == (0, 60, 0, 0, 0)
+    assert run.rows(spec) == sorted(want, key=str)
+    assert run("\n".join(["2024-13-40", "2024-01-01 24:00", *lines]), spec, TRUNCATE="YES")[2] > 30
