@@ -22,7 +22,7 @@ class FunctionError(ValueError):
 @dataclass(frozen=True)
 class Filter:
     """``body`` takes columns and gives a list of result columns, or (``python``) takes values and gives a tuple or None,
-    or (``batch``) takes pandas series of values (of Arrow types) and gives a sequence of result series, a row of nulls standing for None.
+    or (``batch``) takes pandas series of values (of pandas' types with nulls) and gives a sequence of result series, a row of nulls standing for None.
 
     A filter over batches is called with some thousands of rows at once, so it should look at rows one by one only where
     it must. If it raises an exception, the batch is halved until the rows that cause it are alone; so it may be called
@@ -254,12 +254,17 @@ def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Colu
     schema = StructType.fromDDL(f"msg string, {inner}")
     kinds = [to_arrow_type(x.dataType) for x in schema.fields]
 
+    nullable = {
+        pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.float32(): pd.Float32Dtype(),
+        pa.float64(): pd.Float64Dtype(), pa.bool_(): pd.BooleanDtype(), pa.string(): pd.StringDtype("pyarrow"),
+    }
+
     def call(given: pa.Array) -> pa.Array:
         n = len(given)
         taken = np.flatnonzero(~given.field(0).to_numpy(zero_copy_only=False).astype(bool))
         at_all = pa.array(taken)
-        # Series of Arrow values: a null doesn't turn whole numbers into others.
-        columns = [pd.Series(given.field(1 + i).take(at_all), dtype=pd.ArrowDtype(given.field(1 + i).type)) for i in range(width)]
+        # Types that have nulls of their own: a null doesn't turn whole numbers into others.
+        columns = [given.field(1 + i).take(at_all).to_pandas(types_mapper=lambda t: nullable.get(t, pd.ArrowDtype(t))) for i in range(width)]
         good, bad = halved(body, columns, len(taken))
         told: list[str | None] = [None] * n
         for at, message in bad:

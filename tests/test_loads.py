@@ -704,6 +704,7 @@ def test_batch_filter(run):
     def body(a, b, c, d):
         if (b == "bad").any():
             raise ValueError("bad word")
+        assert (a % 2 >= 0).all() and b.str.len().min() > 0
         return (a * 2).where(d != 3, None), (b + "!").where(d != 3, None), (c / 2).where(d != 3, None)
 
     rng, lines, want, bad = random.Random(8), [], [], 0
