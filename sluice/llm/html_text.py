@@ -70,6 +70,8 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 #: What a character in a part that names hint at weighs.
 HINTED = 0.01
+#: So many times the weight of a page's articles is taken for text of the article outside of them.
+OUTSIDE = 5
 #: Share of the page's text from which on a hint, or an element for parts, is taken for an error.
 MOST = {"hint": 0.5, "part": 0.9}
 
@@ -86,13 +88,14 @@ def hints_at_part(name: str, in_article: bool = False) -> bool:
 
 @dataclass
 class Line:
-    """A line of the page: its text, the characters of it outside links, the article it stands in (0: none), and the
-    open elements that mark it as a part. An empty line has no text."""
+    """A line of the page: its text, the characters of it outside links, the article or main element it stands in (0:
+    none), the open elements that mark it as a part, and whether it is a heading. An empty line has no text."""
 
     text: str = ""
     size: int = 0
     article: int = 0
     marks: tuple[int, ...] = ()
+    heading: bool = False
 
 
 @dataclass
@@ -100,6 +103,8 @@ class Run:
     """Lines that are kept or dropped together, with their places on the page and what they weigh."""
 
     hinted: bool = False
+    article: bool = False
+    headings: bool = True  # and nothing else
     places: list[int] = field(default_factory=list)
     sizes: list[float] = field(default_factory=list)
 
@@ -136,8 +141,8 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                _, marks, article, _ = self.open[-1] if self.open else ("", (), 0, False)
-                self.lines.append(Line(text, self.size, article, marks))
+                name, marks, article, _ = self.open[-1] if self.open else ("", (), 0, False)
+                self.lines.append(Line(text, self.size, article, marks, name in _headings))
             self.parts.clear()
             self.link = 0 if self.loose else self.link
         self.size = 0
@@ -206,7 +211,7 @@ class _Reader:
             self.kinds[marks[-1]] = kind
         if gap := self.gap(name, bool(kind)):
             self.end_line(gap)
-        if name == "article":
+        if name in ("article", "main"):
             self.articles += 1
             article = self.articles
         self.open.append((name, marks, article, dropped or name in _dropped))
@@ -307,7 +312,7 @@ def runs_of(lines: list[Line], kinds: dict[int, str], window: int, surge: int) -
         if line.text and key != (0, -1):
             own = closed.get(key)
             if own is None:
-                own = closed[key] = Run(bool(marks))
+                own = closed[key] = Run(bool(marks), line.article > 0)
                 runs.append(own)
             own.places.append(place)
             own.sizes.append(line.size * (HINTED if marks else 1))
@@ -322,25 +327,48 @@ def runs_of(lines: list[Line], kinds: dict[int, str], window: int, surge: int) -
         else:
             run.places += pending
             run.sizes += [0] * len(pending)
+        run.headings &= line.heading
         run.places.append(place)
         run.sizes.append(line.size)
         pending, zeros = [], 0
     return runs
 
 
+def kept_runs(runs: list[Run], window: int, surge: int, share: float) -> list[Run]:
+    """The runs that are text of the article.
+
+    Where articles (or a main element) have text, they are the text, however short one is, and anything outside needs
+    ``OUTSIDE`` times their greatest weight. Elsewhere text surges with the first run that weighs enough and dives after the last
+    one, so what has text outside links between the two stays as well, and so do headings right before.
+    """
+    weights = [x.weight(window) for x in runs]
+    peak = max(weights, default=0)
+    need = max(min(surge, peak / 2), share * peak)
+    articles = [w for x, w in zip(runs, weights, strict=True) if x.article and not x.hinted]
+    if any(articles):
+        outside = max(need, OUTSIDE * max(articles))
+        return [x for x, w in zip(runs, weights, strict=True) if w and (w >= outside or x.article and not x.hinted)]
+    kept = [w >= need and (w > 0 or not x.hinted) for x, w in zip(runs, weights, strict=True)]
+    plain = [i for i, x in enumerate(runs) if not x.hinted]
+    surged = [k for k, i in enumerate(plain) if kept[i]]
+    if surged:
+        first = surged[0]
+        while first and runs[plain[first - 1]].headings and weights[plain[first - 1]]:
+            first -= 1
+        for k in range(first, surged[-1]):
+            kept[plain[k]] |= weights[plain[k]] > 0
+    return [x for x, k in zip(runs, kept, strict=True) if k]
+
+
 def main_text(page: str, window: int = 3, surge: int = 80, share: float = 0.2) -> str:
     """The text between surge and dive points of the page's lines.
 
     The weight of a line is the length of the text outside links in the ``window`` lines from it. Where it dives to
-    nothing a run of lines ends. A run is kept, every line of it, if its weight surges to ``surge`` characters (to half
-    of the page's greatest weight where that is less), and to ``share`` of the page's greatest weight.
+    nothing a run of lines ends. A run weighs enough if its weight surges to ``surge`` characters (to half of the page's
+    greatest weight where that is less), and to ``share`` of the page's greatest weight; see ``kept_runs`` for others.
     """
     lines, kinds = lines_of(page, window)
-    runs = runs_of(lines, kinds, window, surge)
-    weights = [x.weight(window) for x in runs]
-    peak = max(weights, default=0)
-    need = max(min(surge, peak / 2), share * peak)
-    kept = sorted(p for run, w in zip(runs, weights, strict=True) if w >= need and (w or not run.hinted) for p in run.places)
+    kept = sorted(p for run in kept_runs(runs_of(lines, kinds, window, surge), window, surge, share) for p in run.places)
     return " ".join(lines[p].text for p in kept if lines[p].text)
 
 

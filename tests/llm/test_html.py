@@ -114,7 +114,8 @@ def test_distribution_as_brute_force():
         weight = {i: max(sum(n for _, n in items[k : k + window] if k >= g[0]) if k + window <= g[-1] + 1 else sum(n for _, n in items[k : g[-1] + 1]) for k in range(g[0], g[-1] + 1)) for i, g in groups.items()}
         peak = max(weight.values(), default=0)
         need = max(min(surge, peak / 2), share * peak)
-        kept = {k for i in texts if weight[i] >= need for k in range(groups[i][0], groups[i][-1] + 1)}
+        surged = [i for i in texts if weight[i] >= need]
+        kept = {k for i in texts if surged and surged[0] <= i <= surged[-1] for k in range(groups[i][0], groups[i][-1] + 1)}
         assert main_text("".join(body), window, surge, share) == " ".join(items[k][0] for k in sorted(kept) if items[k][0]), seed
 
 
@@ -123,3 +124,21 @@ def test_deep_and_unclosed():
     assert main_text(f"<table><tr><td>{LONG}<td>{LONG}<tr><td>c</table>") == f"{LONG} {LONG} c"
     assert main_text(f"<a href=x>menu<p>{LONG}</p></div><p>{LONG}</p>").endswith(LONG)
     assert main_text(f"<div><a href=x>menu</div><p>{LONG}</p>").endswith(LONG)
+
+
+def test_headings_and_short_boxes_between_long_ones_stay():
+    box = lambda x: f"<div><div>{x}</div></div>"
+    titled = "".join(box(f"<h2>Heading {i}</h2>") + box(f"<p>{LONG} {LONG} {i}</p>") for i in range(2))
+    assert main_text(page(titled)) == f"Heading 0 {LONG} {LONG} 0 Heading 1 {LONG} {LONG} 1"
+    said = box(f"<p>{LONG} {LONG}</p>") + box("<p>They said no.</p>") + box(f"<p>{LONG} {LONG}</p>")
+    assert main_text(page(box("<p>Menu</p>") + said + box("<p>Imprint</p>"))) == f"{LONG} {LONG} They said no. {LONG} {LONG}"
+
+
+def test_every_article_counts_and_main_is_one():
+    assert main_text(page(f"<article><p>{LONG} {LONG}</p></article><article><p>Short news.</p></article>")) == f"{LONG} {LONG} Short news."
+    comments = "<section class=comments>" + f"<p>{LONG}</p>" * 8 + "</section>"
+    assert main_text(page(f"<main><p>{LONG}</p><p>{LONG} 2</p>{comments}</main>")) == f"{LONG} {LONG} 2"
+    assert main_text(page(f"<main><article><p>{LONG}</p>{comments}</article><div>More</div></main>")) == f"{LONG} More"
+    assert main_text(page(f"<div>Please accept our cookies, all of them, for ever and in every browser you use.</div><article><p>{LONG[:40]}</p></article>")) == LONG[:40]
+    teaser = "<article><p>Read on.</p></article>"
+    assert main_text(page(f"{teaser}<div><div><p>{LONG} {LONG} {LONG}</p></div></div>")) == f"Read on. {LONG} {LONG} {LONG}"
