@@ -88,10 +88,13 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
     earlier tasks, which are summed per task and length. No length, however frequent, is gathered anywhere.
 
     Lengths must lie in 1..``capacity``; others, and nulls, raise an error. No pieces, no rows. All columns of
-    ``pieces`` stay; ``sequence_id``, ``offset``, ``_task`` and ``_rank`` are taken. Offsets are gapless from 0.
+    ``pieces`` stay, whatever their names; those that are called ``sequence_id`` or ``offset`` are replaced. Offsets are
+    gapless from 0. Pieces of equal length are interchangeable, and so are equal rows.
     """
-    kept = pieces.columns
-    at = kept.index(length_col)
+    pieces = pieces.drop("sequence_id", "offset")
+    names, at = pieces.columns, pieces.columns.index(length_col)
+    pieces = pieces.toDF(*(f"c{i}" for i in range(len(names))))  # no name clashes with those used here
+    kept, length_col = pieces.columns, f"c{at}"
     same = {x: x for x in kept}
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,4 +136,4 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], [*kept, "sequence_id", "offset"])
 
     ranked = rows.join(first.drop("_n"), ["_task", length_col]).select(*kept, (F.col("_rank") + F.col("_first")).alias("_rank"))
-    return ranked.mapInArrow(place, schema_of(pieces, same, "sequence_id long, offset long"))
+    return ranked.mapInArrow(place, schema_of(pieces, same, "sequence_id long, offset long")).toDF(*names, "sequence_id", "offset")

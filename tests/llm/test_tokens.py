@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from conftest import CLASHING
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluice.llm.packing import fullest, pack, places, plan
@@ -126,3 +127,22 @@ def test_digests_of_the_queries(spark):
         ids = np.array(enc.encode_ordinary(texts[r.doc_id]), "<u4").tobytes()
         assert r.ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_packing_with_names_of_its_own(spark):
+    names = ("_first", "_rank", "_task", "_n", "c0", "c1", "sequence_id", "offset", "n")
+    pieces = spark.createDataFrame([(i, 1 + i % 5) for i in range(40)], "doc_id long, length long")
+    own = pieces
+    for name in names:
+        own = own.withColumn(name, F.lit("own"))
+    found = pack(own, 7)
+    assert found.columns == ["doc_id", "length", *(x for x in names if x not in ("sequence_id", "offset")), "sequence_id", "offset"]
+    rows = found.collect()
+    assert all(r._first == r.c1 == "own" for r in rows)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted((r.doc_id, r.length) for r in rows) == [(i, 1 + i % 5) for i in range(40)]
+    for parts in places.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 7
