@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..workspace import send_package
-from .layout import Field
+from .layout import Field, parse_layout
 
 #: Bytes read together.
 READ_BYTES = 4 << 20
@@ -103,13 +103,81 @@ class FixedReader(DataSourceReader):
                 left, rec_no = left - n, rec_no + n
 
 
+def texts_of(column: pa.Array, f: Field) -> pa.Array:
+    """Text up to the first NUL; null if it equals NULLIF (which is empty if not given) or isn't UTF-8; CHAR loses blanks at its end."""
+
+    def one(data: bytes) -> str | None:
+        data = data.split(b"\0", 1)[0]
+        if data == (f.nullif or b""):
+            return None
+        try:
+            return (data.rstrip(b" ") if f.kind == "CHAR" else data).decode()
+        except UnicodeDecodeError:
+            return None
+
+    return pa.array([one(x) for x in column.to_pylist()], pa.string())
+
+
+class TypedReader(FixedReader):
+    """Values only, under the names of the view."""
+
+    def __init__(self, plan: dict, names: list[str]):
+        super().__init__(plan)
+        self.names = names
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        for batch in super().read(partition):
+            columns = [batch.column(2 + i) if f.code else texts_of(batch.column(2 + i), f) for i, f in enumerate(self.fields)]
+            yield pa.RecordBatch.from_arrays(columns, self.names)
+
+
 class FixedRecords(DataSource):
+    """Options for SQL: ``input`` (a file or a folder), ``col`` (columns of the layout, separated by ``;``), ``names`` (by
+    ``,``; c1, c2, ... otherwise), ``stride``, ``skip``. ``read`` gives its own ``plan``."""
+
     @classmethod
     def name(cls) -> str:
         return "sluice_fixed"
 
+    def _layout(self) -> tuple[list[Field], int, list[str]]:
+        fields, stride = parse_layout([x.strip() for x in self.options["col"].split(";")], int(self.options.get("stride", 0)))
+        names = [x.strip() for x in self.options["names"].split(",")] if "names" in self.options else [f"c{i + 1}" for i in range(len(fields))]
+        if len(names) != len(fields):
+            raise ValueError(f"{len(names)} names for {len(fields)} columns")
+        return fields, stride, names
+
+    def schema(self) -> str:
+        fields, _, names = self._layout()
+        return ", ".join(f"`{x}` {f.spark_type}" for x, f in zip(names, fields, strict=True))
+
     def reader(self, schema: StructType) -> FixedReader:
-        return FixedReader(json.loads(self.options["plan"]))
+        if "plan" in self.options:
+            return FixedReader(json.loads(self.options["plan"]))
+        fields, stride, names = self._layout()
+        files = [(f, n // stride) for f, n in listed(self.options["input"])]
+        return TypedReader(plan_of(files, stride, int(self.options.get("skip", 0)), fields, None, 128 << 20), names)
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """Files and their bytes, as Python sees them: a file, or those of a folder by name."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+    prefix = path[: len(path) - len(base)] if ":" in path else "file:"
+    info = store.get_file_info(base)
+    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(base))
+    return sorted((prefix + x.path, x.size) for x in found if x.is_file and x.base_name[0] not in "._")
+
+
+def plan_of(files: list[tuple[str, int]], stride: int, skip: int, fields: list[Field], encoding: str | None, size: int) -> dict:
+    kinds = [[f.kind, f.offset, f.length, f.code, f.nullif.hex() if f.nullif is not None else None] for f in fields]
+    return {"files": files, "stride": stride, "skip": skip, "encoding": encoding, "size": size, "fields": kinds}
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``sluice_fixed`` known to the session."""
+    send_package(spark)
+    spark.dataSource.register(FixedRecords)
 
 
 def _bytes(text: str) -> int:
@@ -123,11 +191,7 @@ def _bytes(text: str) -> int:
 
 def read(spark: SparkSession, files: list[tuple[str, int]], stride: int, skip: int, fields: list[Field], encoding: str | None) -> DataFrame:
     """Records of files (path, whole records) in order, numbered from 1 after ``skip``."""
-    send_package(spark)
-    spark.dataSource.register(FixedRecords)
-    plan = {
-        "files": files, "stride": stride, "skip": skip, "encoding": encoding, "size": _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
-        "fields": [[f.kind, f.offset, f.length, f.code, f.nullif.hex() if f.nullif is not None else None] for f in fields],
-    }
+    register(spark)
+    plan = plan_of(files, stride, skip, fields, encoding, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     types = "".join(f", f{i} {f.spark_type if f.code else 'binary'}" for i, f in enumerate(fields))
     return spark.read.format("sluice_fixed").schema(f"rec_no long, raw binary{types}").option("plan", json.dumps(plan)).load()

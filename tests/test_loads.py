@@ -781,3 +781,18 @@ def test_fast_timestamps(run):
     assert run("\n".join(lines), spec, FAST_TIMESTAMP="YES") == (0, 60, 0, 0, 0)
     assert run.rows(spec) == sorted(want, key=str)
     assert run("\n".join(["2024-13-40", "2024-01-01 24:00", *lines]), spec, TRUNCATE="YES")[2] > 30
+
+
+def test_fixed_width_in_sql(spark, tmp_path):
+    from sluice.sources import ranges
+
+    (tmp_path / "in.bin").write_bytes(b"".join(struct.pack("<i6sh", i, f"n{i}".ljust(6).encode() if i % 3 else b"none  ", -i) for i in range(50)) + b"rest")
+    ranges.register(spark)
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY VIEW fixed_rows USING sluice_fixed OPTIONS (input '{tmp_path}/in.bin', skip '2', "
+        "col 'INT; CHAR(6) NULLIF ''none  ''; SMALLINT', names 'id, name, small')"
+    )
+    found = spark.sql("SELECT id, name, small FROM fixed_rows WHERE small < -4 ORDER BY id").collect()
+    assert [tuple(r) for r in found] == [(i, f"n{i}" if i % 3 else None, -i) for i in range(5, 50)]
+    plain = spark.sql("SELECT count(*) FROM fixed_rows").first()[0]
+    assert plain == 48
