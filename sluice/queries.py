@@ -22,7 +22,7 @@ from .plans.spec import TableSpec, UniqueKey, spec_of
 from .sinks import table
 from .sinks.fixed import check_output, chunks, write_fixed
 from .sinks.ordered import write_chunks
-from .sources import fixed
+from .sources import fixed, ranges
 from .sources.layout import parse_layout
 from .workspace import new_path, send_package, written
 
@@ -314,6 +314,29 @@ def fixed_partial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.convert_fields(fixed.read_records(spark, path, stride, fields=fields), fields, spec).where("err IS NULL").select(*spec.names)
 
 
+def fixed_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of records as a view, made and read in SQL."""
+    rows = _read(spark, sf_dir, "orders").withColumn("rec_no", F.col("o_orderkey"))
+    columns = ["BIGINT", "INTEGER", "CHAR(1)", "CHAR(15)"]
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    path = new_path(spark, "fixed")
+    write_fixed(rows, names, parse_layout(columns, output=True)[0], path)
+    ranges.register(spark)
+    given = f"input '{path}', col '{'; '.join(columns)}', names '{', '.join(names)}'"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW sluice_fixed_orders USING sluice_fixed OPTIONS ({given})")
+    return spark.sql("SELECT o_custkey, o_orderstatus, min(o_orderpriority) AS first_priority, count(*) AS n, sum(o_orderkey) AS keys FROM sluice_fixed_orders GROUP BY ALL")
+
+
+def fixed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the file as columns of other types: narrower integers wrap, decimals are exact, text has six digits after the point."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("rec_no"), "l_orderkey", (F.col("l_orderkey") * 1000003).alias("big"), (F.col("l_linenumber") * 9001).alias("mid"), F.col("l_quantity").cast("float").alias("quantity"), "l_extendedprice")
+    fields, stride = parse_layout(["BIGINT", "BIGINT", "INTEGER", "FLOAT", "DOUBLE"], output=True)
+    path = new_path(spark, "fixed")
+    write_fixed(rows, rows.columns[1:], fields, path)
+    spec = spec_of("l_orderkey bigint, wrapped int, short smallint, quantity numeric(16,4), price text")
+    return fixed.convert_fields(fixed.read_records(spark, path, stride, fields=fields), fields, spec).where("err IS NULL").select(*spec.names)
+
+
 def fixed_nullif(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "nation").withColumn("rec_no", F.col("n_nationkey").cast("long"))
     rows = rows.withColumn("n_name", F.expr("CASE WHEN n_nationkey % 4 <> 0 THEN n_name END"))
@@ -485,6 +508,8 @@ SQL = {
     "fixed_write_roundtrip": "SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity::FLOAT AS l_quantity, l_returnflag, l_linestatus FROM lineitem",
     "fixed_read": "SELECT o_orderkey, (o_custkey % 60000)::INT AS cust, (-(o_orderkey % 3000))::INT AS neg, o_orderpriority, o_orderstatus FROM orders",
     "fixed_partial_tail": "SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate FROM lineitem",
+    "fixed_in_sql": "SELECT o_custkey::INT AS o_custkey, o_orderstatus, min(o_orderpriority) AS first_priority, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL",
+    "fixed_numbers": "SELECT l_orderkey, (((l_orderkey * 1000003 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)::INT AS wrapped, (((l_linenumber * 9001 + 32768) % 65536 + 65536) % 65536 - 32768)::SMALLINT AS short, l_quantity::DECIMAL(16,4) AS quantity, format('{:.6f}', l_extendedprice) AS price FROM lineitem",
     "fixed_nullif": "SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS n_name, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS n_regionkey FROM nation",
     "unsigned_range_reject": "SELECT p_partkey, p_size AS n FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0",
     "filter_expression": "SELECT event_id * 2 AS event_id, upper(event_type) AS kind, CASE WHEN event_id % 7 <> 0 THEN value + 1 END AS value FROM events",
