@@ -12,6 +12,9 @@ from .plans.load import load
 from .plans.options import parse_control, with_paths
 from .plans.spec import spec_of
 
+#: Exit codes (fixed values): the load failed, no session, something wrong with what was given (also: records were rejected), anything else.
+COMMAND, CONNECTION, USER, OTHER = 1, 2, 3, 4
+
 
 def pairs_of(args: argparse.Namespace) -> list[tuple[str, str]]:
     """The control file's options, then those of the command line; file names are relative to where each stands."""
@@ -37,11 +40,22 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--columns", required=True, help="name type [not null], ...")
     p.add_argument("--reports", default="sluice_reports", help="folder of log and reject files that have no name of their own")
     args = p.parse_args(argv)
+    def failed(e: Exception, code: int) -> int:
+        print(f"error: {e}", file=sys.stderr)
+        return code
+
     try:
-        result = load(SparkSession.builder.getOrCreate(), pairs_of(args), spec_of(args.columns), reports=args.reports)
+        given, spec = pairs_of(args), spec_of(args.columns)
     except Exception as e:
-        print(f"error: {e}", file=sys.stderr)
-        return 1
+        return failed(e, USER if isinstance(e, ValueError) else OTHER)
+    try:
+        spark = SparkSession.builder.getOrCreate()
+    except Exception as e:
+        return failed(e, CONNECTION)
+    try:
+        result = load(spark, given, spec, reports=args.reports)
+    except Exception as e:
+        return failed(e, COMMAND)
     for k in ("skip", "count", "parse_errors", "duplicate_new", "duplicate_old"):
         print(f"{getattr(result, k):>12} {k}")
     return result.exit_code

@@ -82,7 +82,7 @@ def parsed(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry: Regis
         rows = rows.select("rec_no", "raw", "err", *(F.col(f"`{a}`").cast(c.spark_type).alias(c.name) for a, c in zip(names, spec.columns, strict=True)))
         return constrain(rows, spec, o.CHECK_CONSTRAINTS)
     path = o.INPUT
-    if path == "stdin":
+    if isinstance(path, str) and path.lower() == "stdin":
         path, _ = spooled(spark, o.TYPE)
     encoding = encoding_named(o.ENCODING) if o.ENCODING else None
     other = None if encoding == "utf-8" else encoding
@@ -208,6 +208,7 @@ class Staged:
     good: int
     bad: int
     most: int
+    raw: str = "string"
 
     @property
     def rows(self) -> str:
@@ -219,8 +220,6 @@ class Staged:
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(f"{self.folder}/_good={str(good).lower()}")
 
-    raw: str = "string"
-
     def delete(self) -> None:
         fs, place = table.file_system(self.spark, self.folder)
         fs.delete(place, True)
@@ -404,7 +403,8 @@ def _load_table(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry:
         if good - removed[1]:
             name = rows[len(o.OUTPUT) + 1 :]
             if spec.unique:
-                summaries.write(spark, f"{o.OUTPUT}/{summaries.folder_of(name)}", rows, spec)
+                made.append(f"{o.OUTPUT}/{summaries.folder_of(name)}")
+                summaries.write(spark, made[-1], rows, spec)
             data = (*data, (name, tuple(summaries.signature(k) for k in spec.unique)))
         table.commit(spark, o.OUTPUT, version, table.Version(0, data, marks), claim)
     except BaseException:
@@ -412,6 +412,9 @@ def _load_table(spark: SparkSession, o: LoadOptions, spec: TableSpec, registry:
             fs, place = table.file_system(spark, folder)
             fs.delete(place, True)
         raise
+    if rows != staged.rows:  # the rows that stay were written again
+        fs, place = table.file_system(spark, staged.rows)
+        fs.delete(place, True)
     n = {"count": good - removed[1], "parse_errors": bad, "duplicate_new": removed[1], "duplicate_old": removed[0]}
     return n, staged, last, gone if sum(removed.values()) else None
 

@@ -96,16 +96,21 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
 def current(spark: SparkSession, table: str) -> Version:
     """The table's last version."""
     fs, place = file_system(spark, f"{table}/{VERSIONS}")
-    if not fs.exists(place):
-        return Version()
-    names = [s.getPath().getName() for s in fs.listStatus(place)]
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
     numbers = [int(x[:-5]) for x in names if x.endswith(".json")]
     if not numbers:
-        return Version()
+        return _older(spark, table)
     found = json.loads(_read(spark, f"{table}/{VERSIONS}/{max(numbers):012d}.json"))
     return Version(max(numbers), tuple((d, tuple(k)) for d, k in found["data"]), tuple(found["marks"]))
 
 
+def _older(spark: SparkSession, table: str) -> Version:
+    """A table that has no version file yet: none, or one with the pointer file that tables had before."""
+    fs, place = file_system(spark, f"{table}/_CURRENT")
+    folders = json.loads(_read(spark, f"{table}/_CURRENT"))["folders"] if fs.exists(place) else []
+    return Version(0, tuple((d, ()) for d in folders))
+
+
 class Claim:
     """The right to load a table, renewed by a thread until it is given back.
 

@@ -500,6 +500,10 @@ def test_log_and_cli(run, capsys, monkeypatch):
     said = (run.folder / "a.log").read_text()
     assert "record 1, input record 2, column 1: syntax i" in said and "PARSE_ERRORS = 5" in said
     assert cli.main([str(run.folder / "a.ctl"), "--columns", "i int", "-o", "BAD=1"]) == 1
+    assert cli.main([str(run.folder / "none.ctl"), "--columns", "i int"]) == 4
+    assert cli.main([str(run.folder / "a.ctl"), "--columns", "i"]) == 3
+    (run.folder / "b.ctl").write_text("INPUT\n")
+    assert cli.main([str(run.folder / "b.ctl"), "--columns", "i int"]) == 3
 
 
 @pytest.fixture
