@@ -48,7 +48,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five words, a similarity of 0.8 or more."""
+    """The document with the smallest id of each group of near copies: five words, a similarity of 0.8 or more.
+
+    SimHashes under op9's Golay-code keys find the pairs, exact similarity verifies them; MinHash bands add those that bits lose.
+    """
     return drop_near_duplicates(docs)
 
 

@@ -1,4 +1,5 @@
-"""Near copies by exact Jaccard similarity of shingle sets; MinHash bands only say which pairs are looked at."""
+"""Near copies by exact Jaccard similarity of shingle sets: SimHashes under Golay-code keys (``simhash``) find and link most
+of them, MinHash bands say which other pairs are looked at, since bits alone lose some."""
 
 from __future__ import annotations
 
@@ -26,6 +27,9 @@ BINS = 512
 #: Groups that the pairs of one text are dealt to, so that no text gathers all its pairs in a task.
 SLOTS = 256
 SHINGLES_AT_ONCE = 1 << 15
+#: Texts whose SimHashes share a Golay-code key and differ in so many bits of 64 are compared by their shingles: at a
+#: similarity of 0.8 the mean is 10 (sets of one size), unrelated texts differ in 32.
+PRINT_BITS = 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _TURNS = np.random.default_rng(42).integers(0, 1 << 32, (2, BANDS * ROWS, 1), np.uint32)
 
@@ -83,19 +87,25 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``same`` (equal for equal shingle sets), ``n`` (distinct shingles), ``keys`` of each row."""
+    """``id``, ``same`` (equal for equal shingle sets), ``n`` (distinct shingles), ``fp0`` (SimHash), ``keys`` of each row."""
+    from .simhash import fingerprint_of
 
     def work(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(x.as_py() or "", words) for x in batch.column(1)]
+        sets, prints = [], []
+        for x in batch.column(1):
+            hashes = list(shingle_hashes(x.as_py() or "", words))
+            sets.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes])))
+            prints += fingerprint_of(hashes)
         keys = band_keys(np.array([least_hashes(x) for x in sets], np.uint32)) if sets else np.zeros(0, np.int64)
         return {
             "id": batch.column(0),
             "same": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()),
             "n": pa.array([len(x) for x in sets], pa.int64()),
+            "fp0": pa.array(prints, pa.int64()),
             "keys": pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1))),
         }
 
-    return mapped(docs, [id_col, text_col], StructType.fromDDL("id long, same binary, n long, keys array<long>"), work)
+    return mapped(docs, [id_col, text_col], StructType.fromDDL("id long, same binary, n long, fp0 long, keys array<long>"), work)
 
 
 def _bins(shingles: np.ndarray) -> bytes:
@@ -189,6 +199,22 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataF
     return dealt.join(dealt.select(side, "slot").distinct().join(own, side), [side, "slot"]).drop("slot")
 
 
+def _print_pairs(prints: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b`` of nodes of ``prints`` (``node``, ``n``, ``fp0``) whose SimHashes are alike, as many as it takes to connect them.
+
+    Nodes with one fingerprint are paired with the smallest of them, which alone goes to the keys.
+    """
+    from .simhash import linked
+
+    firsts = written(prints.groupBy("fp0").agg(F.min("node").alias("b"), F.count("*").alias("size")))
+    equal = prints.join(firsts.where("size > 1"), "fp0").where("node <> b").select(F.col("node").alias("a"), "b")
+    alike = linked(firsts.select(F.col("b").alias("node"), "fp0"), PRINT_BITS, compared=True)
+    pairs = equal.unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(prints.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
+    return pairs.where(_alike(F.col("n_a"), F.col("n_b"), least)).select(F.col("b").alias("a"), F.col("a").alias("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs`` (``a``, ``b``) whose sets have a Jaccard similarity of ``least`` or more."""
     both = _with_set(_with_set(pairs, sets, "a", "b"), sets, "b", "a")
@@ -202,8 +228,10 @@ def near_copies(
     """``id``, ``component`` of each row of ``docs``: rows are linked if their sets of ``words``-word shingles have a
     Jaccard similarity of ``least`` or more, and ``component`` is the smallest id reachable by links.
 
-    Texts with equal sets are one row from the start. Two sets that share a band (``BANDS`` says how surely) are
-    compared by all their shingles, unless links join them already: first every text of a band with one of them, in
+    Texts with equal sets are one row from the start. Others are linked first by the method of ``simhash``: texts whose
+    SimHashes share a Golay-code key and differ in ``PRINT_BITS`` or fewer are compared by all their shingles. Bits only
+    estimate a similarity, so further pairs are looked at: two sets that share a band (``BANDS`` says how surely) are
+    compared likewise, unless links join them already, first every text of a band with one of them, in
     ``STARS`` rounds, so that a group of copies costs as much as its texts, then all others, inside tasks, by counts that
     bound their similarity from above. Only pairs within the bound leave a task, and are compared by their shingles.
 
@@ -211,19 +239,18 @@ def near_copies(
     """
     sketches = written(_sketches(docs, words, id_col, text_col))
     classes = written(sketches.groupBy("same").agg(F.min("id").alias("node")))
-    banded = (
-        sketches.where("n > 0")
-        .join(classes.select(F.col("node").alias("id")), "id", "left_semi")
-        .select(F.col("id").alias("node"), "n", F.explode("keys").alias("key"))
-    )
+    own = sketches.where("n > 0").join(classes.select(F.col("node").alias("id")), "id", "left_semi").withColumnRenamed("id", "node")
+    banded = own.select("node", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(banded.join(shared, "key"))
-    wanted = if_small(shared.select(F.col("node").alias(id_col)).distinct())
+    alike = written(_print_pairs(own.select("node", "n", "fp0"), least))
+    paired = alike.select(F.explode(F.array("a", "b")).alias("node"))
+    wanted = if_small(shared.select("node").unionByName(paired).distinct().withColumnRenamed("node", id_col))
     sets = written(_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), words, id_col, text_col))
 
     spark = docs.sparkSession
-    seen = links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
+    seen, links = alike, written(_verified(alike, sets, least))
+    roots = components(links)
     for turn in range(STARS + 1):
         named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = named.groupBy("key").agg(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +28,13 @@ BLOCK = 4096
 
 def fingerprint(text: str, words: int, width: int = 1) -> list[int]:
     """``width`` 64-bit SimHashes of the text's word shingles, as signed numbers; 0 without words."""
+    return fingerprint_of(shingle_hashes(text, words), width)
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray], width: int = 1) -> list[int]:
+    """The SimHashes of shingles whose hashes come in parts."""
     n, ones = 0, np.zeros((width, 64), np.int64)
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         n += len(h)
         for k in range(width):
             h = remixed(h) if k else h
@@ -118,21 +123,23 @@ class _Forest:
             above[x] = x = above.get(y, y)
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
         a, b = self.top(a), self.top(b)
         if a != b:
             self.above[max(a, b)] = min(a, b)
+        return a != b
 
 
 def _link(
     group: np.ndarray, half: np.ndarray, nodes: np.ndarray, fps: list[np.ndarray], bits: int, forest: _Forest
-) -> None:
-    """Join in ``forest`` what is linked inside groups (rows are sorted by group).
+) -> list[tuple[int, int]]:
+    """Join in ``forest`` what is linked inside groups (rows are sorted by group); the compared pairs that joined something.
 
     Rows d apart are compared for d = 1, 2, ... until no group is that long. A row of a block pair is compared with
     rows of the other block only, unless both blocks are the same. Rows with one label are joined already.
     """
-    label, d = np.arange(len(nodes)), 1
+    label, d, joined = np.arange(len(nodes)), 1, []
     here = np.arange(len(nodes) - 1)
     fps = [x.view(np.uint64) for x in fps]
     while len(here := here[here < len(nodes) - d]) and len(here := here[group[here] == group[here + d]]):
@@ -147,16 +154,18 @@ def _link(
             np.minimum.at(label, a, low)
             np.minimum.at(label, b, low)
             label = label[label]
-            for x, y in zip(nodes[a].tolist(), nodes[b].tolist(), strict=True):
-                forest.join(x, y)
+            pairs = zip(nodes[a].tolist(), nodes[b].tolist(), strict=True)
+            joined += [(x, y) for x, y in pairs if forest.join(x, y)]
         d += 1
+    return joined
 
 
-def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
+def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False) -> DataFrame:
     """Links (``a``, ``b``) that connect the ``node`` of ``prints`` whose fingerprints differ in ``bits`` or fewer.
 
     Each row goes to the keys of its fingerprints; those that share one are compared by all fingerprints. What comes
-    out is not every pair but one row for each node that a task linked, with the smallest node it is connected to. Keys shared by more than ``BLOCK``
+    out is not every pair but one row for each node that a task linked, with the smallest node it is connected to; with ``compared``
+    as many pairs, which connect the same nodes and differ in ``bits`` or fewer themselves. Keys shared by more than ``BLOCK``
     rows are divided into pairs of blocks, each compared in a group of its own, so that no group outgrows a task and
     no pair is lost.
 
@@ -197,6 +206,7 @@ def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
         rest = [np.zeros(0, np.int64)] * (3 + width)
+        joined: list[tuple[int, int]] = []
 
         for batch in batches:
             rows = [np.concatenate([x, y.to_numpy().astype(np.int64)]) for x, y in zip(rest, batch.columns, strict=True)]
@@ -206,9 +216,9 @@ def linked(prints: DataFrame, bits: int, width: int = 1) -> DataFrame:
             rest = [x[whole:] for x in rows]
             if whole:
                 own = [x[:whole] for x in rows]
-                _link(*own[:3], own[3:], bits, forest)
-        _link(*rest[:3], rest[3:], bits, forest)
-        pairs = np.array([(x, forest.top(x)) for x in list(forest.above)], np.int64).reshape(-1, 2)
+                joined += _link(*own[:3], own[3:], bits, forest)
+        joined += _link(*rest[:3], rest[3:], bits, forest)
+        pairs = np.array(joined if compared else [(x, forest.top(x)) for x in list(forest.above)], np.int64).reshape(-1, 2)
         for at in range(0, len(pairs), 10_000):
             part = pairs[at : at + 10_000]
             yield pa.RecordBatch.from_pydict({"a": pa.array(part[:, 0]), "b": pa.array(part[:, 1])})
@@ -242,5 +252,6 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose component has a smaller id. See ``near_copies``."""
+    """``docs`` with all its columns, without the rows whose component has a smaller id: copies by SimHashes under Golay-code
+    keys, verified by exact similarity, and completed where bits say too little. See ``near_copies``."""
     return without(docs, near_copies(docs, words, least, id_col, text_col).where("component <> id"), id_col)

@@ -248,3 +248,14 @@ def test_near_copies_that_no_star_joins(docs, monkeypatch):
                 if len(a & b) / len(a | b) >= 0.8:
                     top[i] = top[j] = min(top[i], top[j])
     assert found == dict(enumerate(top))
+
+
+def test_near_copies_come_from_simhash_keys(docs):
+    """The first pairs that are looked at come from SimHashes under Golay-code keys, not from MinHash bands."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+    own = [" ".join(words), " ".join(edited(words, [200], rng)), " ".join(edited(words, [100], rng)), "some other text of a few words"]
+    found = near_copies._sketches(docs(own), 5, "doc_id", "text").select("id", "n", "fp0").withColumnRenamed("id", "node")
+    assert [r.fp0 for r in found.orderBy("node").collect()] == [fingerprint(x, 5)[0] for x in own]
+    pairs = {(r.a, r.b) for r in near_copies._print_pairs(found, 0.8).collect()}
+    assert len(pairs) == 2 and all(a < b < 3 for a, b in pairs)
