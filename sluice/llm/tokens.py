@@ -38,6 +38,10 @@ LOOSE = re.compile(f"[{WHITE}] ")
 MARKS = ".,!?;:"
 #: Pre-tokens that a worker remembers; the store starts anew when full, which costs time only.
 REMEMBERED = 200_000
+#: Words of an encoder that a worker remembers in each of two generations: when the newer one is full, the older one goes.
+GENERATION = 150_000
+#: Words of these characters are one pre-token, which neither the normaliser nor the pattern changes.
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+")
 #: Longer texts are encoded in parts cut at safe boundaries.
 LONG_CHARS = 50_000
 
@@ -252,6 +256,14 @@ def token_counts(
     return sums.select("id", "n_bytes", "n_tokens")
 
 
+@functools.cache
+def _as_bytes() -> dict[int, str]:
+    """What byte-level vocabularies write for each byte: printable characters of Latin-1 as they are, others from U+0100 on (fixed values)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class _Words:
     """Packed ids of each distinct word, encoded once while remembered."""
 
@@ -259,8 +271,10 @@ class _Words:
         self.library = _library(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
 
     def encode(self, words: list[str]) -> None:
         for at in range(0, len(words), 1024):
@@ -268,12 +282,23 @@ class _Words:
             for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[word] = np.asarray(found.ids, "<u4").tobytes()
 
+    def merge(self, words: list[str]) -> None:
+        """Words of ``LATIN`` go to the vocabulary's merges at once: there is nothing to normalise or to cut."""
+        tokenize, packed, table = self.library.model.tokenize, self.packed, _as_bytes()
+        for word in words:
+            own = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+            self.known[word] = b"".join([packed[x.id] for x in tokenize(own)])
+
     def learn(self, words: set[str]) -> None:
         """A word of letters only is one pre-token, so many are encoded as one text and told apart by their last
         tokens; one mark behind letters is a pre-token of its own."""
         marked = {x for x in words if len(x) > 1 and x[-1] in MARKS and x[:-1].isalpha()}
         wanted = {x for x in words - marked if x.isalpha()} | {x[:-1] for x in marked}
+        self.recall(wanted)
         letters = [x for x in wanted if x not in self.known]
+        latin = LATIN.fullmatch
+        self.merge([x for x in letters if latin(x)])
+        letters = [x for x in letters if not latin(x)]
         self.encode([x for x in words - marked if not x.isalpha()] + [x for x in MARKS if x not in self.known])
         for at in range(0, len(letters), 512):
             part = letters[at : at + 512]
@@ -289,6 +314,14 @@ class _Words:
         for word in marked:
             self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
 
+    def recall(self, words: set[str]) -> None:
+        """Words of the older generation that are met again become part of the newer one."""
+        if self.older:
+            older, known = self.older, self.known
+            for word in words:
+                if word not in known and (found := older.get(word)) is not None:
+                    known[word] = found
+
     def __call__(self, text: str) -> bytes:
         if any(x in text for x in self.special):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -299,10 +332,11 @@ class _Words:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
+            if len(self.known) > GENERATION:
+                self.older, self.known = self.known, {}
             new = {x for x in words if x not in self.known}
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = set(words)
+            self.recall(new)
+            new = {x for x in new if x not in self.known}
             self.learn(new) if plain else self.encode(list(new))
             return b"".join(map(self.known.__getitem__, words))
 

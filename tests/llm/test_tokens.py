@@ -146,3 +146,19 @@ def test_packing_with_names_of_its_own(spark):
     for parts in places.values():
         parts.sort()
         assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 7
+
+
+def test_words_are_remembered_in_two_generations(monkeypatch):
+    """Words that are met again and again are encoded once, however many others come between; ids are the library's."""
+    from sluice.llm import tokens
+
+    monkeypatch.setattr(tokens, "GENERATION", 60)
+    path = P.path("word_bpe_49k.json")
+    words = tokens._Words(path)
+    learned, merge = [], words.merge
+    words.merge = lambda x: (learned.extend(x), merge(x))
+    odd = "Ünïted naïve Straße œuvre ｆｕｌｌ ªº Ωμ дом don't x2 été! ŁÓDŹ ǆ"
+    for i in range(200):
+        text = f"{odd} the same words again " + " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}q" for k in range(20))
+        assert words(text) == np.asarray(tokens._library(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert learned.count("again") == 1 and learned.count("straße") == 1 and len(words.known) < 200
