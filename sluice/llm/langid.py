@@ -22,6 +22,8 @@ ORDERS = (5, 4, 3, 2, 1)
 #: Words whose evidence counts in the score; more would only saturate it.
 SATURATED = 20
 REMEMBERED = 100_000
+#: Words that a task cuts into n-grams at once.
+WORDS_AT_ONCE = 1_000
 UNDETERMINED = "und"
 
 
@@ -93,7 +95,7 @@ def fit_language_model(
     )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(at, WORDS_AT_ONCE) for x in batches for at in range(0, x.num_rows, WORDS_AT_ONCE)):
             rows = [
                 (lang, gram, n)
                 for lang, word, n in zip(*(x.to_pylist() for x in batch.columns), strict=True)

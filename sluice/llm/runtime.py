@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from ..workspace import send_package, written
 
 #: Bytes of an Arrow batch handed to Python: a worker holds a batch of whole texts several times over.
-ARROW_BYTES = "4m"
+ARROW_BYTES = "2m"
 
 
 def session_of(spark: SparkSession) -> SparkSession:

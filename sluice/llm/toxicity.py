@@ -23,6 +23,8 @@ TRAINED = 8_192
 #: Compression level; lower ones miss matches in texts as short as a window.
 LEVEL = 5
 REMEMBERED = 100_000
+#: Settings that a task holds at once.
+SETTINGS_AT_ONCE = 50_000
 #: Settings that a word of a toxic dictionary may be required to stand in, in half of the sample.
 LEAST = (2, 3, 4, 6, 10)
 #: Of a text, how many of the windows most like toxic text count.
@@ -109,15 +111,24 @@ def settings_of(texts: DataFrame) -> DataFrame:
     A setting counts once, so passages that many texts share, and copies, count once.
     """
 
+    def told(rows: set) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["word", "label", "half", "at"])
+
     def settings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: set = set()
         for batch in batches:
-            rows = set()
-            for label, half, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                words = words_of(text)
-                rows.update((w, label, half, f"{a} {b}") for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["word", "label", "half", "at"])
+            for label, half, text in zip(*batch.columns, strict=True):
+                label, half, words = label.as_py(), half.as_py(), words_of(text.as_py())
+                for at in range(0, len(words), SETTINGS_AT_ONCE):
+                    own, end = words[at : at + SETTINGS_AT_ONCE], at + SETTINGS_AT_ONCE
+                    before, after = words[max(0, at - 1) : end - 1] if at else ["", *own[:-1]], [*words[at + 1 : end + 1], ""]
+                    rows.update((w, label, half, f"{a} {b}") for a, w, b in zip(before, own, after, strict=False))
+                    if len(rows) >= SETTINGS_AT_ONCE:
+                        yield told(rows)
+                        rows.clear()
+        yield told(rows)
 
     found = texts.select("label", "half", "text").mapInArrow(settings, "word string, label int, half int, at string")
     found = found.select("word", "label", "half", F.xxhash64("at").alias("at")).distinct()
