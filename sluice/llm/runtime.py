@@ -11,16 +11,9 @@ from pyspark.sql.types import StructField, StructType
 
 from ..workspace import send_package, written
 
-#: Bytes of an Arrow batch handed to Python: a worker holds a batch of whole texts several times over.
-ARROW_BYTES = "2m"
-
-
 def session_of(spark: SparkSession) -> SparkSession:
     """Send the package to the executors, and set the batch size for Python stages where it is Spark's default."""
-    send_package(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    return spark
+    return send_package(spark)
 
 
 def schema_of(df: DataFrame, names: dict[str, str], more: str) -> StructType:

@@ -13,9 +13,9 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..workspace import written
 from .table import file_system
@@ -57,15 +57,12 @@ def write_chunks(chunks: DataFrame, path: str) -> int:
     """Write column ``data`` of ``chunks``, which have ``n`` records each and come by partition in order; how many records there were."""
     spark = chunks.sparkSession
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, part = 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for n, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at]), pa.array([n]), pa.array([data], pa.binary())], ["part", "at", "n", "data"])
-                at += len(data)
-
-    staged = written(chunks.select("n", "data").mapInArrow(place, "part int, at long, n long, data binary"))
-    sizes = staged.groupBy("part").agg(F.max(F.col("at") + F.octet_length("data")).alias("size"), F.sum("n").alias("n")).orderBy("part").collect()
+    # Places are sums of sizes, which Spark adds up without the bytes: no task runs a second Python worker for them.
+    staged = written(chunks.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("within"), "n", "data"))
+    before = Window.partitionBy("part").orderBy("within").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("size").over(before), F.lit(0))
+    placed = written(staged.select("part", "within", "n", F.octet_length("data").cast("long").alias("size")).select("*", at.alias("at")))
+    sizes = placed.groupBy("part").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).orderBy("part").collect()
     total = sum(r["n"] for r in sizes)
     if not total:
         return 0
@@ -85,8 +82,8 @@ def write_chunks(chunks: DataFrame, path: str) -> int:
         file = os.open(f"{name}.tmp", os.O_WRONLY) if name else None
         try:
             for batch in batches:
-                for part, at, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    at += sent.value[part]
+                for part, at, data in zip(*batch.columns, strict=True):
+                    at, data = at.as_py() + sent.value[part.as_py()], memoryview(data.as_buffer())
                     if file is not None:
                         while data:
                             done = os.pwrite(file, data, at)
@@ -104,7 +101,9 @@ def write_chunks(chunks: DataFrame, path: str) -> int:
                 os.close(file)
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], ["done"])
 
-    staged.select("part", "at", "data").mapInArrow(put, "done int").agg(F.sum("done")).collect()
+    # One row a chunk: three numbers for some megabytes at most.
+    chunked = staged.select("within", "data").join(F.broadcast(placed.select("within", "part", "at")), "within")
+    chunked.select("part", "at", "data").mapInArrow(put, "done int").agg(F.sum("done")).collect()
     if name:
         os.replace(f"{name}.tmp", name)
     return total

@@ -51,7 +51,13 @@ def _send(application: str, context) -> None:
     context.addPyFile(path)
 
 
+#: Bytes of an Arrow batch handed to Python: a worker holds a batch several times over.
+ARROW_BYTES = "2m"
+
+
 def send_package(spark: SparkSession) -> SparkSession:
-    """The package's modules to the executors, whatever their Python path."""
+    """The package's modules to the executors, whatever their Python path; the batch size for Python stages where it is Spark's default."""
     _send(spark.sparkContext.applicationId, spark.sparkContext)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark

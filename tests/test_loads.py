@@ -800,3 +800,19 @@ def test_fixed_width_in_sql(spark, tmp_path):
     assert [tuple(r) for r in found] == [(i, f"n{i}" if i % 3 else None, -i) for i in range(5, 50)]
     plain = spark.sql("SELECT count(*) FROM fixed_rows").first()[0]
     assert plain == 48
+
+
+def test_writing_holds_small_batches_and_one_worker(spark, tmp_path):
+    """Chunks go to Python in batches of a few MB, and their places are known without a step in Python."""
+    import inspect
+
+    from sluice.sinks import ordered
+    from sluice.workspace import send_package
+
+    assert send_package(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+    assert inspect.getsource(ordered.write_chunks).count(".mapInArrow(") == 1
+    rows = [(1, bytes([65 + i % 26]) * (i % 7 * 300_000 + 1)) for i in range(40)]
+    chunks = spark.createDataFrame(rows, "n long, data binary").repartitionByRange(3, "data").sortWithinPartitions("data")
+    want = b"".join(bytes(r.data) for r in chunks.collect())
+    assert ordered.write_chunks(chunks, f"file://{tmp_path}/out") == 40
+    assert (tmp_path / "out").read_bytes() == want
