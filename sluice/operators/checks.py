@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.convert import code, faulty, typed
 from ..plans.spec import TableSpec
+from ..workspace import compiled
 
 ERR = "struct<code: string, col: int, msg: string>"
 
@@ -21,7 +22,12 @@ def error(name: str | Column, col: int | Column | None = None, msg: str | Column
 
 
 def first_of(errors: list[Column]) -> Column:
-    return F.coalesce(*errors, F.lit(None).cast(ERR))
+    """The first error, as a column that Spark computes where it is made.
+
+    A filter on a column made of others is pushed below them: each use of a text or value in the errors would then cut
+    and convert the record again. One that names a row's place isn't moved.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, F.coalesce(*errors, F.lit(None).cast(ERR)))
 
 
 def text_of(position: int, null: str, force: bool, plain: bool) -> Column:
@@ -37,6 +43,7 @@ def checked_values(rows: DataFrame, spec: TableSpec) -> tuple[DataFrame, list[Co
 
     Texts and values are columns of their own: both are looked at more than once, and Spark computes columns once.
     """
+    compiled(rows.sparkSession)
     texts = [F.col(f"_t{i}") for i in range(len(spec.columns))]
     values = [F.col(f"_v{i}") for i in range(len(spec.columns))]
     rows = rows.select("*", *(typed(t, c).cast(c.spark_type).alias(f"_v{i}") for i, (t, c) in enumerate(zip(texts, spec.columns, strict=True))))
@@ -93,4 +100,4 @@ def coerce(rows: DataFrame, source: TableSpec, target: TableSpec) -> DataFrame:
     rows, values, wrong = checked_values(rows.select("rec_no", "raw", "err", *kept, *texts), target)
     columns = [(F.col(f"_s{i}") if same[i] else v).alias(c.name) for i, (v, c) in enumerate(zip(values, target.columns, strict=True))]
     errors = [w for w, x in zip(wrong, same, strict=True) if not x]
-    return rows.select("rec_no", "raw", F.coalesce("err", *errors).alias("err"), *columns)
+    return rows.select("rec_no", "raw", first_of([F.col("err"), *errors]).alias("err"), *columns)

@@ -362,6 +362,7 @@ def read_records(
         lines = in_encoding(lines, encoding)
     value = F.col("value")
     returns = F.length(value) - F.length(F.replace(value, F.lit("\r"))) - F.endswith(value, F.lit("\r")).cast("int")
+    returns = F.when(F.contains(value, F.lit("\r")), returns).otherwise(0)
     per = lines.groupBy("block").agg(F.count("*").alias("n"), F.sum(returns).alias("returns"), F.max(F.contains(value, F.lit(d.quote))).alias("quotes"), F.min("within").alias("first"))
     blocks = per.orderBy("block").collect()  # a row for each part of a file that a task reads
     total = sum(b["n"] + b["returns"] for b in blocks)

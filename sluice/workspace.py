@@ -61,3 +61,13 @@ def send_package(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
+
+
+#: Bytes of a method beyond which HotSpot only interprets it.
+COMPILED_BYTES = "8000"
+
+
+def compiled(spark: SparkSession) -> None:
+    """Whole-stage code that HotSpot wouldn't compile, as that of a dozen conversions, gives way to code by operator, where the limit is Spark's default."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_BYTES)

@@ -816,3 +816,19 @@ def test_writing_holds_small_batches_and_one_worker(spark, tmp_path):
     want = b"".join(bytes(r.data) for r in chunks.collect())
     assert ordered.write_chunks(chunks, f"file://{tmp_path}/out") == 40
     assert (tmp_path / "out").read_bytes() == want
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_good_records_are_converted_once(spark, tmp_path):
+    """The filter on errors stays above the columns that it is made of, so a line is cut once."""
+    from sluice.plans.load import parsed
+
+    path = tmp_path / "in"
+    path.write_text("".join(f"{i},{i / 8},2024-01-02 03:04:05,{i % 3 or 'x'}\n" for i in range(60)))
+    spec = spec_of("a bigint, b double, c timestamp, d int")
+    good = parsed(spark, options_of({"INPUT": str(path), "OUTPUT": "t", "PARSE_ERRORS": "INFINITE"}), spec).where("err IS NULL").select(*spec.names)
+    assert _plan(good).count("split(") == 1
+    assert sorted(r["a"] for r in good.collect()) == [i for i in range(60) if i % 3]
