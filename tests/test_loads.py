@@ -832,3 +832,16 @@ def test_good_records_are_converted_once(spark, tmp_path):
     good = parsed(spark, options_of({"INPUT": str(path), "OUTPUT": "t", "PARSE_ERRORS": "INFINITE"}), spec).where("err IS NULL").select(*spec.names)
     assert _plan(good).count("split(") == 1
     assert sorted(r["a"] for r in good.collect()) == [i for i in range(60) if i % 3]
+
+
+def test_checked_records_are_converted_once(spark, tmp_path):
+    """As above with a CHECK constraint, which is one more use of each value."""
+    from sluice.plans.load import parsed
+
+    path = tmp_path / "in"
+    path.write_text("".join(f"{i},{i / 8}\n" for i in range(60)))
+    spec = TableSpec(spec_of("a bigint, b double").columns, checks=(("small", "b < 5 AND a % 2 = 0"),))
+    o = options_of({"INPUT": str(path), "OUTPUT": "t", "PARSE_ERRORS": "INFINITE", "CHECK_CONSTRAINTS": "YES"})
+    good = parsed(spark, o, spec).where("err IS NULL").select(*spec.names)
+    assert _plan(good).count("split(") == 1
+    assert sorted(r["a"] for r in good.collect()) == list(range(0, 40, 2))
