@@ -6,12 +6,17 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import first_of
 from ..plans.spec import ColumnSpec, TableSpec
 
+if TYPE_CHECKING:
+    import numpy as np
+
 MOST_ARGUMENTS = 100
 
 
@@ -19,13 +24,23 @@ class FunctionError(ValueError):
     """A call that no function, or more than one, fits; or a function that can't be used here."""
 
 
+class BadRows(ValueError):
+    """Raised by a filter over batches that knows the rows it refuses: a boolean for each row that it was given (a null
+    counts as false), and a message that holds for all of them."""
+
+    def __init__(self, rows, message: str):
+        super().__init__(message)
+        self.rows = rows
+
+
 @dataclass(frozen=True)
 class Filter:
     """``body`` takes columns and gives a list of result columns, or (``python``) takes values and gives a tuple or None,
     or (``batch``) takes pandas series of values (of pandas' types with nulls) and gives a sequence of result series, a row of nulls standing for None.
 
     A filter over batches is called with some thousands of rows at once, so it should look at rows one by one only where
-    it must. If it raises an exception, the batch is halved until the rows that cause it are alone; so it may be called
+    it must. If it raises ``BadRows``, it is called again without these rows. If it raises another exception, the batch is
+    halved until the rows that cause it are alone, which with many bad rows takes about a call a row; so it may be called
     again with the same rows, and what it gives for a row must not depend on the others.
 
     ``arguments`` and ``result`` are columns; the last ``defaults`` arguments have these values. A strict one isn't
@@ -216,7 +231,7 @@ def apply_filter(rows: DataFrame, f: Filter) -> DataFrame:
     found = rows.withColumn("_f", run(F.col("err").isNotNull() | nulls, *own))
     failed = F.when(F.col("_f.msg").isNotNull(), F.struct(F.lit("filter").alias("code"), F.lit(None).cast("int").alias("col"), F.col("_f.msg").alias("msg")))
     columns = [F.col(f"_f.row.r{i}").cast(c.spark_type).alias(c.name) for i, c in enumerate(f.result)]
-    return found.select("rec_no", "raw", F.coalesce("err", failed).alias("err"), *columns)
+    return found.select("rec_no", "raw", first_of([F.col("err"), failed]).alias("err"), *columns)
 
 
 def halved(body: Callable, columns: list, n: int) -> tuple[list[tuple[int, int, list]], list[tuple[int, str]]]:
@@ -241,6 +256,37 @@ def halved(body: Callable, columns: list, n: int) -> tuple[list[tuple[int, int,
     return good, bad
 
 
+#: Calls for one batch in which a filter may name bad rows before the rest is halved: one that named a row a call would be as slow as the batch is long, squared.
+MOST_NAMINGS = 8
+
+
+def tried(body: Callable, columns: list, n: int) -> tuple[np.ndarray, list[tuple[int, int, list]], list[tuple[int, str]]]:
+    """``halved`` without the rows that ``body`` names as bad: the places of the others, their parts by place among these, (row, message) of bad rows."""
+    import numpy as np
+    import pandas as pd
+
+    left, named = np.arange(n), []
+    for _ in range(MOST_NAMINGS if n else 0):
+        try:
+            found = list(body(*columns))
+        except BadRows as e:
+            mark = pd.array(e.rows, dtype="boolean").fillna(False).to_numpy(bool)
+            if len(mark) != len(left) or not mark.any():
+                break
+            named += [(int(i), str(e) or type(e).__name__) for i in left[mark]]
+            left, columns = left[~mark], [c[~mark].reset_index(drop=True) for c in columns]
+            if not len(left):
+                return left, [], named
+        except Exception:  # the filter's own, of rows that only halving finds
+            break
+        else:
+            if any(len(x) != len(left) for x in found):
+                break
+            return left, [(0, len(left), found)], named
+    good, bad = halved(body, columns, len(left))
+    return left, good, named + [(int(left[i]), message) for i, message in bad]
+
+
 def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Column) -> DataFrame:
     """``apply_filter`` for a filter over batches: Arrow columns go to Python and back, rows are never made of them."""
     import numpy as np
@@ -265,10 +311,11 @@ def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Colu
         at_all = pa.array(taken)
         # Types that have nulls of their own: a null doesn't turn whole numbers into others.
         columns = [given.field(1 + i).take(at_all).to_pandas(types_mapper=lambda t: nullable.get(t, pd.ArrowDtype(t))) for i in range(width)]
-        good, bad = halved(body, columns, len(taken))
+        left, good, bad = tried(body, columns, len(taken))
         told: list[str | None] = [None] * n
         for at, message in bad:
             told[taken[at]] = message
+        taken = taken[left]
         # Where each row's result lies among the parts, which are Arrow arrays of the declared types from here on.
         place = np.full(n, -1, np.int64)
         before = 0
@@ -288,7 +335,7 @@ def _filtered_batches(rows: DataFrame, f: Filter, own: list[Column], nulls: Colu
     found = rows.withColumn("_f", F.arrow_udf(call, schema)(given))
     failed = F.when(F.col("_f.msg").isNotNull(), F.struct(F.lit("filter").alias("code"), F.lit(None).cast("int").alias("col"), F.col("_f.msg").alias("msg")))
     columns = [F.col(f"_f.{x}").cast(c.spark_type).alias(c.name) for x, c in zip(names, f.result, strict=True)]
-    return found.select("rec_no", "raw", F.coalesce("err", failed).alias("err"), *columns)
+    return found.select("rec_no", "raw", first_of([F.col("err"), failed]).alias("err"), *columns)
 
 
 def as_spec(columns: tuple[ColumnSpec, ...]) -> TableSpec:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from .functions.registry import Filter, Registry, Source
+from .functions.registry import BadRows, Filter, Registry, Source
 from .operators.checks import coerce, constrain
 from .operators.encoding import decoded
 from .plans.load import LoadPlan, load, load_rows, parsed
@@ -377,9 +377,9 @@ def _row_filter(a: int, b: str, c: float):
 
 
 def _batch_filter(a, b, c):
-    """As ``_row_filter``, for series: rows with sevenths become nulls, a row with a fifth fails its batch."""
-    if (a % 5 == 0).any():
-        raise ValueError("five")
+    """As ``_row_filter``, for series: rows with sevenths become nulls, rows with fifths are refused by name."""
+    if (fives := a % 5 == 0).any():
+        raise BadRows(fives, "five")
     keep = a % 7 != 0
     return (a * 2).where(keep, None), b.str.upper().where(keep, None), (c + 1).where(keep, None)
 

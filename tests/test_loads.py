@@ -700,6 +700,43 @@ def test_batches_are_halved_down_to_bad_rows():
     assert halved(lambda a: [a[:-1]], [a[:1]], 1)[1] == [(0, "1 rows were given, and results have others")]
 
 
+def test_batches_without_the_rows_that_a_filter_names():
+    import pandas as pd
+
+    from sluice.functions.registry import BadRows, tried
+
+    calls = []
+
+    def body(a, b):
+        calls.append(len(a))
+        if (a % 5 == 0).any():
+            raise BadRows(a % 5 == 0, "five")
+        if (a % 7 == 0).any():
+            raise BadRows(list(a % 7 == 0), "seven")
+        if (a == 501).any():
+            raise ValueError("another")
+        return a + b, b.astype(str)
+
+    a = pd.Series(range(1000))
+    left, good, bad = tried(body, [a, a * 2], 1000)
+    want = {i: "five" if i % 5 == 0 else "seven" if i % 7 == 0 else "another" for i in range(1000) if i % 5 == 0 or i % 7 == 0 or i == 501}
+    assert dict(bad) == want and len(bad) == len(want)
+    whole = sorted((int(left[at + i]), int(x)) for at, n, found in good for i, x in enumerate(found[0]))
+    assert whole == [(i, 3 * i) for i in range(1000) if i not in want]
+    assert len(calls) < 30
+    assert tried(body, [a[:0], a[:0]], 0)[1:] == ([], [])
+    assert [x[1:] for x in (tried(body, [a[:1], a[:1]], 1),)] == [([], [(0, "five")])]
+
+    def one_by_one(a):  # names a row a call, or rows that aren't there: halved
+        if (a % 2 == 0).any():
+            raise BadRows(a == a[a % 2 == 0].iloc[0] if len(a) % 3 else [True] * (len(a) + 1), "even")
+        return [a]
+
+    left, good, bad = tried(one_by_one, [a[:64]], 64)
+    assert sorted(bad) == [(i, "even") for i in range(0, 64, 2)]
+    assert sorted(int(x) for _, _, found in good for x in found[0]) == list(range(1, 64, 2))
+
+
 def test_batch_filter(run):
     """Nulls of every type, strict arguments, rows of nulls, and rejects of the filter and of the parser, against a loop."""
     arguments = spec_of("a bigint, b text, c double, d int").columns
@@ -845,3 +882,23 @@ def test_checked_records_are_converted_once(spark, tmp_path):
     good = parsed(spark, o, spec).where("err IS NULL").select(*spec.names)
     assert _plan(good).count("split(") == 1
     assert sorted(r["a"] for r in good.collect()) == list(range(0, 40, 2))
+
+
+def test_filters_in_python_are_called_once_a_row(spark, tmp_path):
+    from sluice.plans.load import parsed
+
+    path, calls = tmp_path / "in", tmp_path / "calls"
+    path.write_text("".join(f"{i},{i % 3 or 'x'}\n" for i in range(60)))
+    spec = spec_of("a bigint, d int")
+
+    def body(a, d):
+        with open(calls, "a") as f:
+            f.write("x" * (len(a) if hasattr(a, "iloc") else 1))
+        return [a, d]
+
+    for more in ({"python": True}, {"batch": True}):
+        calls.write_text("")
+        f = Registry([Filter("f", spec.columns, spec.columns, body, **more)])
+        o = options_of({"INPUT": str(path), "OUTPUT": "t", "PARSE_ERRORS": "INFINITE", "FILTER": "f"})
+        assert len(parsed(spark, o, spec, f).where("err IS NULL").select(*spec.names).collect()) == 40
+        assert len(calls.read_text()) == 40
