@@ -249,8 +249,7 @@ def near_copies(
     sets = written(_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), words, id_col, text_col))
 
     spark = docs.sparkSession
-    seen, links = alike, written(_verified(alike, sets, least))
-    roots = components(links)
+    seen, roots = alike, components(written(_verified(alike, sets, least)))
     for turn in range(STARS + 1):
         named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = named.groupBy("key").agg(
@@ -270,7 +269,10 @@ def near_copies(
         if pairs.isEmpty():
             continue
         seen = seen.unionByName(pairs)
-        links = links.unionByName(written(_verified(pairs, sets, least)))
-        roots = components(links)
+        links = written(_verified(pairs, sets, least))
+        if links.isEmpty():
+            continue
+        # Components so far are stars, so few rounds join them by the new links.
+        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component"))
     return sketches.select("id", "same").join(written(named), "same").select("id", "component")

@@ -259,3 +259,20 @@ def test_near_copies_come_from_simhash_keys(docs):
     assert [r.fp0 for r in found.orderBy("node").collect()] == [fingerprint(x, 5)[0] for x in own]
     pairs = {(r.a, r.b) for r in near_copies._print_pairs(found, 0.8).collect()}
     assert len(pairs) == 2 and all(a < b < 3 for a, b in pairs)
+
+
+def test_components_are_found_again_only_for_new_links(spark, monkeypatch):
+    """On sf0.01 bands bring pairs, but none of them is similar enough: SimHash keys have found all links (four searches before)."""
+    from sluice.llm import near_copies
+
+    calls, own = [], near_copies.components
+
+    def counted(links):
+        calls.append(links)
+        return own(links)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = near_copies.near_copies(docs)
+    assert len(calls) == 1
+    assert found.where("component = id").count() == 922
