@@ -200,19 +200,18 @@ def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataF
 
 
 def _print_pairs(prints: DataFrame, least: float) -> DataFrame:
-    """``a``, ``b`` of nodes of ``prints`` (``node``, ``n``, ``fp0``) whose SimHashes are alike, as many as it takes to connect them.
+    """``a``, ``b`` of nodes of ``prints`` (``node``, ``n``, ``fp0``) whose SimHashes are alike and whose sets can be, as many as it takes to connect them.
 
     Nodes with one fingerprint are paired with the smallest of them, which alone goes to the keys.
     """
     from .simhash import linked
 
-    firsts = written(prints.groupBy("fp0").agg(F.min("node").alias("b"), F.count("*").alias("size")))
-    equal = prints.join(firsts.where("size > 1"), "fp0").where("node <> b").select(F.col("node").alias("a"), "b")
-    alike = linked(firsts.select(F.col("b").alias("node"), "fp0"), PRINT_BITS, compared=True)
-    pairs = equal.unionByName(alike).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(prints.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
-    return pairs.where(_alike(F.col("n_a"), F.col("n_b"), least)).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    firsts = prints.groupBy("fp0").agg(F.min(F.struct("node", "n")).alias("one"), F.count("*").alias("size"))
+    firsts = written(firsts.select("fp0", F.col("one.node").alias("a"), F.col("one.n").alias("n_a"), "size"))
+    equal = prints.join(firsts.where("size > 1"), "fp0").where((F.col("node") != F.col("a")) & _alike(F.col("n"), F.col("n_a"), least))
+    alike = linked(firsts.select(F.col("a").alias("node"), "fp0", F.col("n_a").alias("n")), PRINT_BITS, compared=True, least=least)
+    pairs = equal.select("a", F.col("node").alias("b")).unionByName(alike)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -222,6 +221,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(common / (F.size("set_a") + F.size("set_b") - common) >= least).select("a", "b")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a``, ``b``) that ``roots`` (``node``, ``root``) don't join yet."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_copies(
     docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -229,8 +235,8 @@ def near_copies(
     Jaccard similarity of ``least`` or more, and ``component`` is the smallest id reachable by links.
 
     Texts with equal sets are one row from the start. Others are linked first by the method of ``simhash``: texts whose
-    SimHashes share a Golay-code key and differ in ``PRINT_BITS`` or fewer are compared by all their shingles. Bits only
-    estimate a similarity, so further pairs are looked at: two sets that share a band (``BANDS`` says how surely) are
+    SimHashes share a Golay-code key and differ in ``PRINT_BITS`` or fewer are compared by all their shingles, each with one, then
+    those that this leaves apart. Bits only estimate a similarity, so further pairs are looked at: two sets that share a band (``BANDS`` says how surely) are
     compared likewise, unless links join them already, first every text of a band with one of them, in
     ``STARS`` rounds, so that a group of copies costs as much as its texts, then all others, inside tasks, by counts that
     bound their similarity from above. Only pairs within the bound leave a task, and are compared by their shingles.
@@ -248,8 +254,9 @@ def near_copies(
     wanted = if_small(shared.select("node").unionByName(paired).distinct().withColumnRenamed("node", id_col))
     sets = written(_sets(docs.select(id_col, text_col).join(wanted, id_col, "left_semi"), words, id_col, text_col))
 
-    spark = docs.sparkSession
-    seen, roots = alike, components(written(_verified(alike, sets, least)))
+    # A group of copies has many pairs; one for each text joins most of it. The others are compared below, where they still may join something.
+    seen = written(alike.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    roots = components(written(_verified(seen, sets, least)))
     for turn in range(STARS + 1):
         named = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         groups = named.groupBy("key").agg(
@@ -264,6 +271,8 @@ def near_copies(
         else:
             left = named.join(groups.select("key"), "key", "left_semi").join(sets.select("node", "bins"), "node")
             pairs = _paired(left.select("key", "size", "node", "n", "root", "bins"), least)
+        if not turn:
+            pairs = pairs.unionByName(_apart(alike, roots))
         pairs = pairs.distinct()
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"))
         if pairs.isEmpty():

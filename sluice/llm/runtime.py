@@ -53,34 +53,48 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, n:
     return rows.join(hot, on).unionByName(cold)
 
 
+#: Links whose smallest nodes are broadcast whole.
+FEW_LINKS = 40_000
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``links`` (``a``, ``b``: long, any order, repeats and loops allowed).
 
     Returns ``node``, ``root`` (the smallest node reachable) for every node that has a link to another one.
-    Alternates large-star and small-star rounds until nothing changes: in each, every node is linked to the smallest
+    Alternates large-star and small-star rounds until all links are of stars: in each, every node is linked to the smallest
     node of its neighbourhood, so the number of rounds grows with the logarithm of the longest path. A star's rows are
-    made by a join with one minimum per node; ``with_groups`` keeps large neighbourhoods out of the shuffle.
+    made by a join with one minimum per node, broadcast if they are few; else ``with_groups`` keeps large neighbourhoods
+    out of the shuffle.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    state = _state(edges)
     for _ in range(max_rounds):
+        n, settled = _state(edges)
+        if settled:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = with_groups(both.where("b > a"), least, ["a"], "n", 2 * state[0], "inner")
+        large = _with_least(both.where("b > a"), least, 2 * n)
         large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = with_groups(large, down, ["a"], "n", state[0], "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = _with_least(large, down, n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         edges = written(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(edges)
-        if before == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """The number of links, and a sum over them that changes if any does."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _with_least(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """Each link of ``a`` with the smallest node beside it."""
+    if n <= FEW_LINKS:
+        return rows.join(F.broadcast(least.select("a", "m")), "a")
+    return with_groups(rows, least, ["a"], "n", n, "inner")
+
+
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of links, and whether all are of stars: no node has two smaller ones, or a smaller one and a greater one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("all_up"))
+    n, others = nodes.agg(F.sum("ups"), F.count_if((F.col("ups") > 1) | (F.col("ups") > F.col("all_up")))).first()
+    return n or 0, not others

@@ -132,19 +132,22 @@ class _Forest:
 
 
 def _link(
-    group: np.ndarray, half: np.ndarray, nodes: np.ndarray, fps: list[np.ndarray], bits: int, forest: _Forest
+    group: np.ndarray, half: np.ndarray, nodes: np.ndarray, fps: list[np.ndarray], bits: int, forest: _Forest, n: np.ndarray | None = None, least: float = 0
 ) -> list[tuple[int, int]]:
     """Join in ``forest`` what is linked inside groups (rows are sorted by group); the compared pairs that joined something.
 
-    Rows d apart are compared for d = 1, 2, ... until no group is that long. A row of a block pair is compared with
-    rows of the other block only, unless both blocks are the same. Rows with one label are joined already.
+    Rows are compared with their group's first, then rows d apart for d = 1, 2, ... until no group is that long. A row of a block pair is compared with
+    rows of the other block only, unless both blocks are the same. Rows with one label are joined already. With sizes ``n``,
+    the lesser of two must be ``least`` times the greater.
     """
-    label, d, joined = np.arange(len(nodes)), 1, []
-    here = np.arange(len(nodes) - 1)
+    label, joined = np.arange(len(nodes)), []
     fps = [x.view(np.uint64) for x in fps]
-    while len(here := here[here < len(nodes) - d]) and len(here := here[group[here] == group[here + d]]):
-        there = here + d
+
+    def meet(here: np.ndarray, there: np.ndarray) -> None:
+        nonlocal label
         near = sum(np.bitwise_count(x[here] ^ x[there]).astype(np.int16) for x in fps) <= bits
+        if n is not None:
+            near &= np.minimum(n[here], n[there]) / np.maximum(n[here], n[there]) >= least
         near &= (label[here] != label[there]) & ((half[here] != half[there]) | (half[here] == 2))
         if near.any():
             a, b = here[near], there[near]
@@ -155,17 +158,24 @@ def _link(
             np.minimum.at(label, b, low)
             label = label[label]
             pairs = zip(nodes[a].tolist(), nodes[b].tolist(), strict=True)
-            joined += [(x, y) for x, y in pairs if forest.join(x, y)]
+            joined.extend((x, y) for x, y in pairs if forest.join(x, y))
+
+    new = np.concatenate([np.ones(min(1, len(group)), bool), group[1:] != group[:-1]])
+    meet(np.flatnonzero(~new), np.flatnonzero(new)[np.cumsum(new) - 1][~new])
+    d, here = 1, np.arange(len(nodes) - 1)
+    while len(here := here[here < len(nodes) - d]) and len(here := here[group[here] == group[here + d]]):
+        meet(here, here + d)
         d += 1
     return joined
 
 
-def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False) -> DataFrame:
+def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False, least: float = 0) -> DataFrame:
     """Links (``a``, ``b``) that connect the ``node`` of ``prints`` whose fingerprints differ in ``bits`` or fewer.
 
     Each row goes to the keys of its fingerprints; those that share one are compared by all fingerprints. What comes
     out is not every pair but one row for each node that a task linked, with the smallest node it is connected to; with ``compared``
-    as many pairs, which connect the same nodes and differ in ``bits`` or fewer themselves. Keys shared by more than ``BLOCK``
+    as many pairs, which connect the same nodes and differ in ``bits`` or fewer themselves; with ``least``, of the sizes ``n`` (not 0) of a
+    pair the lesser is so many times the greater. Keys shared by more than ``BLOCK``
     rows are divided into pairs of blocks, each compared in a group of its own, so that no group outgrows a task and
     no pair is lost.
 
@@ -173,12 +183,13 @@ def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False)
     ``bits`` is below ``width * (MOST_BITS + 1)``. Others are found where two segments of a fingerprint have few of
     the differing bits.
     """
-    names = [f"fp{k}" for k in range(width)]
+    prints_of = [f"fp{k}" for k in range(width)]
+    names = [*prints_of, "n"] if least else prints_of
     fields = ", ".join(f"{x} long" for x in names)
 
     def spread(batch: pa.RecordBatch) -> dict:
         columns = [x.to_numpy() for x in batch.columns]
-        keys, rows = zip(*(keys_of(x) for x in columns[1:]), strict=True)
+        keys, rows = zip(*(keys_of(x) for x in columns[1 : 1 + width]), strict=True)
         key = np.concatenate([k + (np.int64(3 * i) << 24) for i, k in enumerate(keys)]).astype(np.int32)
         row = np.concatenate(rows)
         return {"key": pa.array(key), "node": pa.array(columns[0][row])} | {
@@ -189,10 +200,10 @@ def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False)
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = prints.select("node", *names).repartition(tasks)
     keys = mapped(rows, ["node", *names], StructType.fromDDL(f"key int, node long, {fields}"), spread)
-    hot = if_small(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    hot = if_small(keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK))
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.when(F.col("n").isNotNull(), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    other = F.explode(F.when(F.col("rows").isNotNull(), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
     half = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") < F.col("other")).cast("int"))
     dealt = (
         keys.join(hot, "key", "left")
@@ -200,12 +211,15 @@ def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False)
         # Two groups with one hash only mean a few comparisons more.
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), half.alias("half"), "node", *names)
         .repartition("group")
-        .sortWithinPartitions("group")
+        .sortWithinPartitions("group", "node")  # so that the tasks pair the texts of a group of copies with the same few
     )
 
+    def link(rows: list[np.ndarray], forest: _Forest) -> list[tuple[int, int]]:
+        return _link(*rows[:3], rows[3 : 3 + width], bits, forest, rows[-1] if least else None, least)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
-        rest = [np.zeros(0, np.int64)] * (3 + width)
+        rest = [np.zeros(0, np.int64)] * (3 + len(names))
         joined: list[tuple[int, int]] = []
 
         for batch in batches:
@@ -215,9 +229,8 @@ def linked(prints: DataFrame, bits: int, width: int = 1, compared: bool = False)
             whole = np.searchsorted(rows[0], rows[0][-1])
             rest = [x[whole:] for x in rows]
             if whole:
-                own = [x[:whole] for x in rows]
-                joined += _link(*own[:3], own[3:], bits, forest)
-        joined += _link(*rest[:3], rest[3:], bits, forest)
+                joined += link([x[:whole] for x in rows], forest)
+        joined += link(rest, forest)
         pairs = np.array(joined if compared else [(x, forest.top(x)) for x in list(forest.above)], np.int64).reshape(-1, 2)
         for at in range(0, len(pairs), 10_000):
             part = pairs[at : at + 10_000]

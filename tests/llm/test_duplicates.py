@@ -276,3 +276,40 @@ def test_components_are_found_again_only_for_new_links(spark, monkeypatch):
     found = near_copies.near_copies(docs)
     assert len(calls) == 1
     assert found.where("component = id").count() == 922
+
+
+def test_copies_with_one_key_are_paired_with_its_first():
+    n = 50
+    group, half, prints = np.repeat([4, 9], n), np.full(2 * n, 2), np.arange(2 * n) % n
+    pairs = simhash._link(group, half, np.arange(2 * n), [prints], 14, simhash._Forest())
+    assert {tuple(sorted(x)) for x in pairs} == {(0, i) for i in range(1, n)} | {(n, n + i) for i in range(1, n)}
+    assert not simhash._link(group[:0], half[:0], group[:0], [prints[:0]], 14, simhash._Forest())
+
+
+def test_near_copies_pair_texts_of_alike_sizes(docs):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    own = [" ".join(base), " ".join([*base[:40], "other", *base[41:]]), " ".join(base * 2), " ".join(base[:230])]
+    prints = near_copies._sketches(docs(own), 5, "doc_id", "text").select("id", "n", "fp0").withColumnRenamed("id", "node")
+    sizes = {r.node: r.n for r in prints.collect()}
+    pairs = [(r.a, r.b) for r in near_copies._print_pairs(prints, 0.8).collect()]
+    assert (0, 1) in pairs
+    assert all(min(sizes[a], sizes[b]) / max(sizes[a], sizes[b]) >= 0.8 and a < b for a, b in pairs)
+
+
+def test_stars_are_components_already(spark, monkeypatch):
+    from sluice.llm import runtime
+
+    rng = random.Random(6)
+    links = [(i, rng.randrange(i)) for i in range(1, 200) if i % 7] + [(3, 3), (300, 301), (301, 300)]
+    root = brute_components(302, lambda i, j: (i, j) in links or (j, i) in links)
+    want = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    for few in (runtime.FEW_LINKS, 0):
+        monkeypatch.setattr(runtime, "FEW_LINKS", few)
+        found = components(spark.createDataFrame(links, "a long, b long"))
+        assert sorted(map(tuple, found.collect())) == sorted(want.items())
+    made, written = [], runtime.written
+    monkeypatch.setattr(runtime, "written", lambda df: made.append(df) or written(df))
+    again = components(found.select(found.node.alias("a"), found.root.alias("b")))
+    assert {r.node: r.root for r in again.collect()} == want
+    assert len(made) == 1
