@@ -120,6 +120,56 @@ def test_embedding_links_as_brute_force(spark):
     assert embedding_links(own.where("embedding is null")).count() == 1
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_blocks_are_not_copied_for_each_pair(spark, monkeypatch):
+    """Vectors that are all about equally far apart, so that every block meets every other one, and near and equal copies."""
+    monkeypatch.setattr(cover_tree, "CELL_POINTS", 64)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(1200, 64))
+    v = np.vstack([v, v[:250] + rng.normal(size=(250, 64)) * 0.2, v[:50] + rng.normal(size=(50, 64)) * 0.29]).astype(np.float32)
+    v = np.vstack([v, v[40:60]])
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = [(i, x, 0) for i, x in enumerate(v.tolist())]
+    own = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    found = {r.id: r for r in embedding_links(own, block=32).collect()}
+    assert shuffled(spark) - before < 4 * v.nbytes
+    assert [found[i].n_links for i in range(len(v))] == near.sum(axis=1).tolist()
+    assert [found[i].component for i in range(len(v))] == brute_components(len(v), lambda i, j: near[i, j])
+
+
+def test_planes_between_cells_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(1500, 12))
+    v = np.vstack([v, v[:700] + rng.normal(size=(700, 12)) * 0.25])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centres = v[:2]
+    cell = (v @ centres.T).argmax(axis=1)
+    sides = []
+    for k in (0, 1):
+        tree = cover_tree.build(v[cell == k], np.flatnonzero(cell == k), np.ones((cell == k).sum(), np.int64))
+        sides.append(cover_tree.Side(tree, tree.points.astype(np.float32)))
+    apart = np.linalg.norm(centres[0] - centres[1])
+    beyond = [(x.centres @ (centres[k] - centres[1 - k])) / apart - x.reach for k, x in enumerate(sides)]
+    a, b = (x.tree for x in sides)
+    near = a.points @ b.points.T >= 0.95
+    assert near.any()
+    for rows, least in ((128, 1 << 17), (7, 1)):
+        monkeypatch.setattr(cover_tree, "ROWS", rows)
+        monkeypatch.setattr(cover_tree, "LEAST", least)
+        links, joined = (np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)), cover_tree.Joined()
+        cover_tree.walk(*sides, 0.95, False, *links, joined, None, tuple(beyond))
+        assert links[0].tolist() == near.sum(axis=1).tolist() and links[1].tolist() == near.sum(axis=0).tolist()
+
+
 def brute_set(text, words=5):
     found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
     return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
