@@ -18,8 +18,9 @@ from .runtime import components, written
 
 #: Points of a block, which one tree covers.
 BLOCK = 8192
-#: Points for each cell of the trees' common top, and the most cells, whose centres every task gets.
-CELL_POINTS, MOST_CELLS = 3072, 4096
+#: Most points for each cell of the trees' common top, of smaller tables so many times the root of their number; and the
+#: most cells, whose centres every task gets.
+CELL_POINTS, CELL_ROOTS, MOST_CELLS = 3072, 4, 4096
 #: Blocks of a group: a task holds two groups at a time.
 GROUP = 32
 #: Radius of the first level below a block's root; each further level halves it. Wider levels are the cells'.
@@ -346,8 +347,8 @@ def embedding_links(
     double precision, and the smallest id reachable by such links.
 
     Equal vectors are one class from the start: only vectors whose hash is repeated are compared whole. Centres, the top
-    of the tree, divide the classes into cells: one for ``CELL_POINTS`` classes, so that denser regions have more, but
-    ``MOST_CELLS`` at most. A cell of more than ``block`` points is divided by hash, so no cell outgrows a task, and
+    of the tree, divide the classes into cells: one for ``CELL_POINTS`` classes or fewer, so that denser regions have
+    more, but ``MOST_CELLS`` at most. A cell of more than ``block`` points is divided by hash, so no cell outgrows a task, and
     each block gets a cover tree of its own, once, in a file of the shared folder. Tasks take the pairs of two groups of
     blocks each and read the trees from there, so nothing is copied for a pair. Every pair of blocks whose cells are near
     enough for a link is traversed, from the roots down; the plane halfway between both cells' centres leaves out what
@@ -387,7 +388,7 @@ def embedding_links(
         return found
 
     n_classes = classes.select("id").count()
-    wanted = min(MOST_CELLS, -(-n_classes // CELL_POINTS))
+    wanted = min(MOST_CELLS, -(-n_classes // min(CELL_POINTS, int(CELL_ROOTS * n_classes**0.5) + 1)))
     # The least hashes of ids: of more than twice as many rows as are wanted, no more are ordered.
     drawn = F.xxhash64("id")
     least = int(-(2**63) + min(2**64 - 1, 2**64 * (2 * wanted + 64) // max(n_classes, 1)))
